@@ -7,13 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
     """``name type`` per line; a trailing ``!`` marks a required column."""
     fields = []
     for line in text.strip().splitlines():
         name, kind = line.split()
         required = kind.endswith("!")
-        fields.append(T.StructField(name, T.DataType.fromDDL(kind.rstrip("!")), not required))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not required))
     return T.StructType(fields)
 
 
