@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velospan.operators.running import with_running_totals
 from velospan.operators.stations import attach_station, starts_on
 
-_RANKING = [F.desc("trips"), F.asc("pair_from"), F.asc("pair_to")]
+
+def _ranking() -> list[Column]:
+    return [F.desc("trips"), F.asc("pair_from"), F.asc("pair_to")]
 
 
 def _pair_counts(trips: DataFrame, stations: DataFrame, day: date | None) -> DataFrame:
@@ -58,17 +60,17 @@ def _pair_counts(trips: DataFrame, stations: DataFrame, day: date | None) -> Dat
 
 def rank_pairs(trips: DataFrame, stations: DataFrame, day: date | None = None) -> DataFrame:
     """Undirected pairs of different matched stations by trips, busiest first."""
-    return _pair_counts(trips, stations, day).orderBy(*_RANKING)
+    return _pair_counts(trips, stations, day).orderBy(*_ranking())
 
 
 def candidate_pairs(ranked: DataFrame, limit: int) -> DataFrame:
-    return ranked.orderBy(*_RANKING).limit(limit)
+    return ranked.orderBy(*_ranking()).limit(limit)
 
 
 def pending_pairs(ranked: DataFrame, cached: DataFrame, limit: int) -> DataFrame:
     """The top ``limit`` pairs that no cached route covers; the limit comes first."""
     fetched = cached.select("pair_from", "pair_to").distinct()
-    return candidate_pairs(ranked, limit).join(fetched, ["pair_from", "pair_to"], "left_anti").orderBy(*_RANKING)
+    return candidate_pairs(ranked, limit).join(fetched, ["pair_from", "pair_to"], "left_anti").orderBy(*_ranking())
 
 
 def pending_summary(ranked: DataFrame, cached: DataFrame, limit: int) -> DataFrame:
@@ -86,7 +88,7 @@ def pending_summary(ranked: DataFrame, cached: DataFrame, limit: int) -> DataFra
 def pair_coverage(ranked: DataFrame) -> DataFrame:
     """Rank, trips, cumulative trips and cumulative share of all trips per pair."""
     pairs = ranked.select("pair_from", "pair_to", "trips")
-    summed = with_running_totals(pairs, _RANKING, cum_trips=F.col("trips"))
+    summed = with_running_totals(pairs, _ranking(), cum_trips=F.col("trips"))
     return summed.select(
         (F.col("position") + 1).alias("rank"),
         "pair_from",

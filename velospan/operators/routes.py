@@ -150,7 +150,7 @@ def pack_shards(
         "span bigint, high bigint, exit_limit bigint, opened bigint",
     )
     # One short table per span: a single group here holds 1/256th of the routes at most.
-    entries = crossings.groupBy(F.lit(0)).applyInPandas(_chain, "span bigint, limit bigint, shard bigint")
+    entries = crossings.groupBy().applyInPandas(_chain, "span bigint, limit bigint, shard bigint")
     labelled = rows.join(entries, "span").groupBy("span").applyInPandas(
         lambda span: _label(span, target),
         "place bigint, route_key string, route_bytes bigint, shard bigint",

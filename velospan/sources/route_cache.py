@@ -22,11 +22,11 @@ def read_route_lines(spark: SparkSession, path: str) -> DataFrame:
         *ROUTE_CACHE.fieldNames(),
         F.col("_metadata.file_modification_time").alias("_written"),
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    order = [F.asc(name) for name in ("_written", "_file", "_block", "_seq")]
-    return numbered(rows, order).drop("_written", "_file", "_block", "_seq")
+    order = [F.asc(name) for name in ("_written", "_file", "_start", "_seq")]
+    return numbered(rows, order).drop("_written", "_file", "_start", "_seq")
 
 
 def route_cache_snapshot(lines: DataFrame) -> DataFrame:
