@@ -46,12 +46,22 @@ def playback_end(start: Column, end: Column, duration_seconds: Column) -> Column
     return F.when(finish < begin, begin + duration_seconds).otherwise(finish).cast("bigint")
 
 
-def parse_datetime(value: Column, day_first: str) -> Column:
-    """ISO text, or day-first text of the given shape, as a zone-free timestamp."""
-    text = clean_text(value)
+def parse_datetime(value: Column, text: Column, day_first: Column) -> Column:
+    """ISO text, or day-first text turned year-first, as a zone-free timestamp.
+
+    ``text`` is ``value`` without white space around it; ``day_first`` is
+    ``turn_day_first(text, ...)``, which stays as it was when it has another shape.
+    """
+
+    def year_first(candidate: Column) -> Column:
+        return F.substring(candidate, 5, 1) == "-"
+
     iso = F.when(value.rlike(_ISO), value).when(text.rlike(_ISO_MINUTES), text)
-    turned = F.when(text.rlike(day_first), F.regexp_replace(text, day_first, "$3-$2-$1 $4"))
-    return F.coalesce(iso.try_cast("timestamp_ntz"), turned.try_cast("timestamp_ntz"))
+    return F.when(year_first(text), iso).when(year_first(day_first), day_first).try_cast("timestamp_ntz")
+
+
+def turn_day_first(text: Column, shape: str) -> Column:
+    return F.regexp_replace(text, shape, "$3-$2-$1 $4")
 
 
 def whole_number(value: Column) -> Column:

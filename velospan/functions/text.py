@@ -25,20 +25,36 @@ def clean_text(value: Column | str) -> Column:
 
 def text_or_null(value: Column | str) -> Column:
     """Cleaned text, with nothing left turned into null."""
-    return F.nullif(clean_text(value), F.lit(""))
+    return _filled(clean_text(value))
+
+
+def has_text(value: Column | str) -> Column:
+    """Whether anything but white space is there."""
+    return _col(value).rlike(r"(?U)\S")
+
+
+def _filled(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
+
+
+def digits(value: Column | str) -> Column:
+    """``numeric_key`` with empty text instead of null, in one replacement."""
+    return F.regexp_replace(_col(value), r"(?U)^[\D0]+(?=\d)|\D+", "")
+
+
+def words(value: Column | str) -> Column:
+    """``name_key`` with empty text instead of null."""
+    return F.trim(F.regexp_replace(F.lower(_col(value)), "[^a-z0-9]+", " "))
 
 
 def numeric_key(value: Column | str) -> Column:
     """The digits of a station number without leading zeros; null when it has none."""
-    digits = F.nullif(F.regexp_replace(_col(value), r"(?U)\D+", ""), F.lit(""))
-    significant = F.nullif(F.ltrim(digits, F.lit("0")), F.lit(""))
-    return F.when(digits.isNotNull(), F.coalesce(significant, F.lit("0")))
+    return _filled(digits(value))
 
 
 def name_key(value: Column | str) -> Column:
-    """Lower-case letters and digits with single spaces between runs."""
-    words = F.regexp_replace(F.lower(_col(value)), "[^a-z0-9]+", " ")
-    return F.nullif(F.trim(words), F.lit(""))
+    """Lower-case letters and digits with single spaces between runs; null when nothing is left."""
+    return _filled(words(value))
 
 
 def station_key(station_id: Column | str, station_name: Column | str) -> Column:

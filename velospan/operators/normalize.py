@@ -6,56 +6,69 @@ of every layout flow through one plan and no read depends on column order.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velospan.functions.clock import floor_seconds, millis_between, parse_datetime, whole_number
+from velospan.functions.clock import floor_seconds, millis_between, parse_datetime, turn_day_first, whole_number
 from velospan.functions.text import clean_text
-from velospan.schemas import LAYOUTS, TRIP_COLUMNS
+from velospan.schemas import LAYOUTS, TRIP_COLUMNS, Layout
+
+_TEXTS = [
+    "journey_id",
+    "bike_id",
+    "bike_model",
+    "start_station_id",
+    "start_station_name",
+    "end_station_id",
+    "end_station_name",
+]
+_COLUMNS = [*_TEXTS, "start_at", "end_at", "duration"]
 
 
 def detect_layout(header: Column) -> Column:
     """Name of the first layout whose columns are all in ``header``; null if none fits."""
 
-    def fits(required: list[str]) -> Column:
-        return F.size(F.array_except(F.lit(required), header)) == 0
+    def fits(layout: Layout) -> Column:
+        return F.forall(F.lit(layout.required), lambda name: F.array_contains(header, name))
 
-    return F.coalesce(*[F.when(fits(layout.required), F.lit(layout.name)) for layout in LAYOUTS])
+    return F.coalesce(*[F.when(fits(layout), F.lit(layout.name)) for layout in LAYOUTS])
 
 
 def unknown_layout_message(header: Column) -> Column:
     return F.concat(F.lit("Unknown CSV schema. Columns: "), F.array_join(header, ", ", "null"))
 
 
-def _per_layout(values: dict[str, Column]) -> Column:
-    """Pick the value of the row's layout; layouts left out give null."""
-    first, *rest = values.items()
-    start = F.when(F.col("layout") == first[0], first[1])
-    return reduce(lambda chain, item: chain.when(F.col("layout") == item[0], item[1]), rest, start)
-
-
-def _field(name: str) -> Column:
-    return F.get(F.col("fields"), (F.array_position("header", F.lit(name)) - 1).cast("int"))
+def with_layout(rows: DataFrame) -> DataFrame:
+    """Replace ``header`` by ``layout`` and ``places``, where each canonical column stands.
 
-
-def _raw(column: str) -> Column:
-    """The text of a canonical column; layouts sharing a header name share a branch."""
-    by_header: dict[str, list[str]] = {}
-    for layout in LAYOUTS:
-        if column in layout.headers:
-            by_header.setdefault(layout.headers[column], []).append(layout.name)
-    (name, layouts), *rest = by_header.items()
-    chain = F.when(F.col("layout").isin(layouts), _field(name))
-    for name, layouts in rest:
-        chain = chain.when(F.col("layout").isin(layouts), _field(name))
+    Readers apply this to their table of headers, so it runs once per file.
+    """
+    named = rows.select("*", detect_layout(F.col("header")).alias("layout"))
+    names = [F.lit([layout.headers.get(column, "") for column in _COLUMNS]) for layout in LAYOUTS]
+    chain = F.when(F.col("layout") == LAYOUTS[0].name, names[0])
+    for layout, list_of_names in zip(LAYOUTS[1:], names[1:]):
+        chain = chain.when(F.col("layout") == layout.name, list_of_names)
+    places = F.transform(chain, lambda name: F.array_position("header", name).cast("int"))
+    return named.select("*", places.alias("places")).drop("header")
+
+
+def _per_layout(values: dict[str, Any], build: Callable[[Any], Column]) -> Column:
+    """``build`` of the row's layout's value; layouts that share a value share a branch."""
+    groups: dict[Any, list[str]] = {}
+    for name, value in values.items():
+        groups.setdefault(value, []).append(name)
+    (value, names), *rest = groups.items()
+    chain = F.when(F.col("layout").isin(names), build(value))
+    for value, names in rest:
+        chain = chain.when(F.col("layout").isin(names), build(value))
     return chain
 
 
-def repair_duration(source: Column, unit: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """(seconds, milliseconds): the source value where it is a number, else end - start."""
-    measured = millis_between(start, end)
+def repair_duration(source: Column, unit: Column, measured: Column) -> tuple[Column, Column]:
+    """(seconds, milliseconds): the source value where it is a number, else the measured milliseconds."""
     millis = F.coalesce(source, measured)
     as_millis = F.coalesce(F.try_multiply(source, F.lit(1000).cast("bigint")), measured)
     seconds = F.when(unit == "ms", floor_seconds(millis)).otherwise(F.coalesce(source, floor_seconds(measured)))
@@ -63,34 +76,51 @@ def repair_duration(source: Column, unit: Column, start: Column, end: Column) ->
 
 
 def normalize_trips(rows: DataFrame) -> DataFrame:
-    """Canonical trips from (header, fields, source_key, source_etag, source_member,
-    source_row_number) rows. Rows of an unknown layout have no canonical form and are
-    not returned; ``detect_layout`` on the header tells which files those are.
+    """Canonical trips from (layout, places, fields, source_key, source_etag, source_member,
+    source_row_number) rows; a ``header`` instead of layout and places is resolved here.
+
+    Rows of an unknown layout have no canonical form and are not returned;
+    ``detect_layout`` on the header tells which files those are. The steps below
+    pass on only what the next one uses, so that each compiles to a method of its own.
     """
-    known = rows.withColumn("layout", detect_layout(F.col("header"))).filter(F.col("layout").isNotNull())
-    texts = ["journey_id", "bike_id", "bike_model", "start_station_id", "start_station_name"]
-    texts += ["end_station_id", "end_station_name"]
-    picked = known.select(
+    if "layout" not in rows.columns:
+        rows = with_layout(rows)
+    provenance = TRIP_COLUMNS[-4:]
+    found = rows.filter(F.col("layout").isNotNull()).select(
+        "layout", *provenance, F.transform("places", lambda place: F.get("fields", place - 1)).alias("raw")
+    )
+    raw = {column: F.get("raw", number) for number, column in enumerate(_COLUMNS)}
+    picked = found.select(
         "layout",
-        *[clean_text(_raw(column)).alias(column) for column in texts],
-        *[_raw(column).alias(column) for column in ("start_at", "end_at", "duration")],
-        *TRIP_COLUMNS[-4:],
+        *provenance,
+        *[clean_text(raw[column]).alias(column) for column in _TEXTS],
+        raw["start_at"].alias("start_at"),
+        raw["end_at"].alias("end_at"),
+        whole_number(raw["duration"]).alias("duration"),
+    )
+    kept = [*provenance, *_TEXTS]
+    shapes = {l.name: l.day_first for l in LAYOUTS}
+    times = ("start_at", "end_at")
+    stripped = picked.select("layout", *kept, "duration", *times, *[clean_text(c).alias(f"{c}_text") for c in times])
+
+    def turned(column: str) -> Column:
+        return _per_layout(shapes, lambda shape: turn_day_first(F.col(f"{column}_text"), shape)).alias(f"{column}_turned")
+
+    both = stripped.select(
+        *kept,
+        "duration",
+        *times,
+        *[f"{c}_text" for c in times],
+        *[turned(c) for c in times],
+        _per_layout({l.name: l.duration_unit for l in LAYOUTS}, F.lit).alias("unit"),
+    )
+    timed = both.select(
+        *kept,
+        "duration",
+        "unit",
+        *[parse_datetime(F.col(c), F.col(f"{c}_text"), F.col(f"{c}_turned")).alias(c) for c in times],
     )
-    timed = picked.select(
-        "*",
-        *[
-            _per_layout({l.name: parse_datetime(F.col(column), l.day_first) for l in LAYOUTS}).alias(parsed)
-            for column, parsed in (("start_at", "begin"), ("end_at", "finish"))
-        ],
-        whole_number(F.col("duration")).alias("source_duration"),
-        _per_layout({l.name: F.lit(l.duration_unit) for l in LAYOUTS}).alias("unit"),
-    ).drop("start_at", "end_at")
-    seconds, millis = repair_duration(F.col("source_duration"), F.col("unit"), F.col("begin"), F.col("finish"))
-    return timed.select(
-        *texts,
-        F.col("begin").alias("start_at"),
-        F.col("finish").alias("end_at"),
-        seconds.alias("duration_seconds"),
-        millis.alias("duration_ms"),
-        *TRIP_COLUMNS[-4:],
-    ).select(*TRIP_COLUMNS)
+    measured = timed.select(*timed.columns, millis_between(F.col("start_at"), F.col("end_at")).alias("measured"))
+    seconds, millis = repair_duration(F.col("duration"), F.col("unit"), F.col("measured"))
+    done = measured.select(*kept, *times, seconds.alias("duration_seconds"), millis.alias("duration_ms"))
+    return done.select(*TRIP_COLUMNS)

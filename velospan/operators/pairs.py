@@ -20,11 +20,12 @@ def _pair_counts(trips: DataFrame, stations: DataFrame, day: date | None) -> Dat
         trips = trips.filter(starts_on(day))
     ends = trips.select("start_station_id", "start_station_name", "end_station_id", "end_station_name")
     for side in ("start", "end"):
-        name = F.col(f"{side}_station_name")
-        ends = attach_station(ends, stations, F.col(f"{side}_station_id"), name, side)
+        ends = attach_station(
+            ends, stations, f"{side}_station_id", f"{side}_station_name", f"{side}_", ["ordinal"]
+        )
     # The count runs on two numbers per trip; names and coordinates join later.
     counts = (
-        ends.select(F.col("start.ordinal").alias("origin"), F.col("end.ordinal").alias("goal"))
+        ends.select(F.col("start_ordinal").alias("origin"), F.col("end_ordinal").alias("goal"))
         .filter(F.col("origin").isNotNull() & F.col("goal").isNotNull())
         .groupBy("origin", "goal")
         .agg(F.count(F.lit(1)).alias("trips"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velospan.functions.clock import BIN_SECONDS, DAY_SECONDS, LAST_SECOND, playback_end, second_of_day
-from velospan.functions.text import station_key, text_or_null
+from velospan.functions.text import station_key
 from velospan.operators.stations import attach_station, starts_on, station_matches
 
 _PLAYBACK_COLUMNS = [
@@ -59,33 +61,17 @@ def playback_trips(trips: DataFrame, day: date | None = None) -> DataFrame:
 
 def locate_trips(trips: DataFrame, stations: DataFrame) -> DataFrame:
     """Add the matched station of both ends: id, coordinates and match method."""
-    kept = trips.columns
     for side in ("start", "end"):
-        station_id, name = F.col(f"{side}_station_id"), F.col(f"{side}_station_name")
-        trips = attach_station(trips, stations, station_id, name, side)
-
-    def of(side: str, field: str) -> Column:
-        named = text_or_null(f"{side}_station_name").isNotNull()
-        return F.when(named, F.col(f"{side}.{field}"))
-
-    return trips.select(
-        *kept,
-        *[
-            of(side, field).alias(f"{side}_{name}")
-            for side in ("start", "end")
-            for field, name in (
-                ("bikepoint_id", "bikepoint_id"),
-                ("lat", "lat"),
-                ("lon", "lon"),
-                ("match_method", "match_method"),
-            )
-        ],
-    )
+        wanted = ["bikepoint_id", "lat", "lon", "match_method"]
+        trips = attach_station(
+            trips, stations, f"{side}_station_id", f"{side}_station_name", f"{side}_", wanted, need_name=True
+        )
+    return trips
 
 
 def has_coordinates() -> Column:
     """All four coordinates are known."""
-    return F.size(F.array_compact(F.array(*_COORDINATES))) == len(_COORDINATES)
+    return reduce(and_, [F.col(name).isNotNull() for name in _COORDINATES])
 
 
 def matched_trips(located: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velospan.functions.text import name_key, numeric_key, station_key, text_or_null
+from velospan.functions.text import digits, has_text, name_key, numeric_key, station_key, text_or_null, words
 
 # Labels of the three matching tiers, in priority order.
 BY_NUMBER = "bikepoint_number"
@@ -20,72 +20,77 @@ UNMATCHED = "unmatched"
 TOP_UNMATCHED = 25
 SEARCH_RESULTS = 8
 
-_MATCHED = ["ordinal", "bikepoint_id", "common_name", "terminal_name", "lat", "lon"]
+_MATCHED = ["match_method", "ordinal", "bikepoint_id", "common_name", "terminal_name", "lat", "lon"]
 
 
-def key_lookup(stations: DataFrame, key: str, columns: Iterable[str] = _MATCHED) -> DataFrame:
+def key_lookup(stations: DataFrame, key: str, columns: Iterable[str] = _MATCHED[1:]) -> DataFrame:
     """One row per key: the first station (by ``ordinal``) that carries it."""
     usable = stations.filter(F.col(key).isNotNull() & (F.col(key) != ""))
     first = F.min_by(F.struct(*columns), F.col("ordinal")).alias("station")
     return usable.groupBy(F.col(key).alias("key")).agg(first).select("key", "station.*")
 
 
-def id_lookup(stations: DataFrame) -> DataFrame:
+def id_lookup(stations: DataFrame, columns: Iterable[str] = _MATCHED) -> DataFrame:
     """Numeric keys -> station; a station number wins over a terminal with the same digits."""
-
-    def tier(key: str, rank: int, label: str) -> DataFrame:
-        return stations.select(
-            F.col(key).alias("key"),
-            F.struct(F.lit(rank).alias("rank"), F.col("ordinal")).alias("priority"),
-            F.struct(F.lit(label).alias("match_method"), *_MATCHED).alias("station"),
-        ).filter(F.col("key").isNotNull() & (F.col("key") != ""))
-
-    tiers = tier("bikepoint_number_key", 0, BY_NUMBER).unionByName(tier("terminal_name_key", 1, BY_TERMINAL))
-    return tiers.groupBy("key").agg(F.min_by("station", "priority").alias("station"))
+    tiers = F.array(
+        F.struct(F.col("bikepoint_number_key").alias("key"), F.lit(0).alias("rank"), F.lit(BY_NUMBER).alias("match_method")),
+        F.struct(F.col("terminal_name_key").alias("key"), F.lit(1).alias("rank"), F.lit(BY_TERMINAL).alias("match_method")),
+    )
+    keyed = stations.select("*", F.inline(tiers)).filter(F.col("key").isNotNull() & (F.col("key") != ""))
+    first = F.min_by(F.struct(*columns), F.struct("rank", "ordinal")).alias("station")
+    return keyed.groupBy("key").agg(first).select("key", "station.*")
 
 
-def name_lookup(stations: DataFrame) -> DataFrame:
-    named = key_lookup(stations, "common_name_key")
-    return named.select("key", F.struct(F.lit(BY_NAME).alias("match_method"), *_MATCHED).alias("station"))
+def name_lookup(stations: DataFrame, columns: Iterable[str] = _MATCHED) -> DataFrame:
+    return key_lookup(stations.withColumn("match_method", F.lit(BY_NAME)), "common_name_key", columns)
 
 
-def attach_station(df: DataFrame, stations: DataFrame, station_id: Column, station_name: Column, out: str) -> DataFrame:
-    """Add struct ``out``: the matched station of (id, name) and how it matched, or null.
+def attach_station(
+    df: DataFrame,
+    stations: DataFrame,
+    station_id: str,
+    station_name: str,
+    prefix: str,
+    columns: Iterable[str] = _MATCHED,
+    need_name: bool = False,
+) -> DataFrame:
+    """Add ``<prefix><column>`` of the station that (id, name) matches; null without a match.
 
     Two equi-joins with the station master's key tables. They carry no hint: the
     planner broadcasts them while the master is under its threshold, so the big
-    side is not shuffled, and falls back to a shuffle join beyond it.
+    side is not shuffled, and falls back to a shuffle join beyond it. White space
+    around an id or name does not matter to its key. ``need_name`` leaves rows
+    without a name unmatched.
     """
-    number, name = f"_{out}_number", f"_{out}_name"
-    by_id = id_lookup(stations).select(F.col("key").alias(number), F.col("station").alias("_by_id"))
-    by_name = name_lookup(stations).select(F.col("key").alias(name), F.col("station").alias("_by_name"))
-    return (
-        df.withColumn(number, numeric_key(text_or_null(station_id)))
-        .withColumn(name, name_key(text_or_null(station_name)))
-        .join(by_id, number, "left")
-        .join(by_name, name, "left")
-        .withColumn(out, F.coalesce("_by_id", "_by_name"))
-        .drop(number, name, "_by_id", "_by_name")
-    )
+    columns = list(columns)
+    number, name = digits(station_id), words(station_name)
+    if need_name:
+        number, name = F.when(has_text(station_name), number), F.when(has_text(station_name), name)
+    tiers = {"_i_": (id_lookup(stations, columns), "_number", number), "_n_": (name_lookup(stations, columns), "_name", name)}
+    joined = df.select("*", *[key.alias(label) for _, label, key in tiers.values()])
+    for mark, (lookup, label, _) in tiers.items():
+        renamed = [F.col(c).alias(f"{mark}{c}") for c in columns]
+        joined = joined.join(lookup.select(F.col("key").alias(label), *renamed, F.lit(True).alias(f"{mark}hit")), label, "left")
+    found = [
+        F.when(F.col("_i_hit"), F.col(f"_i_{c}")).otherwise(F.col(f"_n_{c}")).alias(f"{prefix}{c}") for c in columns
+    ]
+    return joined.select(*df.columns, *found)
 
 
 def match_stations(named: DataFrame, stations: DataFrame) -> DataFrame:
     """Match (station_id, station_name) rows to the master, keeping other columns."""
     others = [c for c in named.columns if c not in ("station_id", "station_name")]
-    matched = attach_station(named, stations, F.col("station_id"), F.col("station_name"), "match")
+    columns = [c for c in _MATCHED if c != "ordinal"]
+    matched = attach_station(named, stations, "station_id", "station_name", "matched_", columns)
     station_id, station_name = text_or_null("station_id"), text_or_null("station_name")
     return matched.select(
         *others,
         station_id.alias("station_id"),
-        numeric_key(station_id).alias("station_id_key"),
+        numeric_key("station_id").alias("station_id_key"),
         station_name.alias("station_name"),
-        name_key(station_name).alias("station_name_key"),
-        F.col("match.match_method").alias("match_method"),
-        F.col("match.bikepoint_id").alias("matched_bikepoint_id"),
-        F.col("match.common_name").alias("matched_common_name"),
-        F.col("match.terminal_name").alias("matched_terminal_name"),
-        F.col("match.lat").alias("matched_lat"),
-        F.col("match.lon").alias("matched_lon"),
+        name_key("station_name").alias("station_name_key"),
+        F.col("matched_match_method").alias("match_method"),
+        *[f"matched_{c}" for c in columns[1:]],
     )
 
 

@@ -1,11 +1,13 @@
 """The driver's tables read as journey data (Spark side; ``duck.py`` says the same in SQL).
 
-Trips come from ``events``, stations from ``supplier``, route caches from
+The base tables are written once per session to the shared folder, in the form
+the ingest job leaves them, and every query reads them from there. Trips come from ``events``, stations from ``supplier``, route caches from
 ``supplier`` with the pairs its trips ride, the listing and ledger from ``orders``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ from velospan.functions.text import name_key, numeric_key
 from velospan.operators.replay import locate_trips, playback_trips, replay_trips
 from velospan.operators.routes import load_routes, merge_providers, route_join, route_lookup
 from velospan.schemas import LAYOUTS, LEDGER_COLUMNS, TRIP_COLUMNS
+from velospan.sources.trips import scan_trips, write_by_source
+from velospan.staging import fresh_path
 
 CLOCKS = [0, 21600, 30600, 43200, 61200, 79200, 86399]
 SHARD_TARGET = (1000, 4.0)
@@ -22,22 +26,20 @@ SHARD_TARGET = (1000, 4.0)
 _text = "string"
 
 
-def _station_name(key: Column) -> Column:
-    return F.concat(F.lit("Dock "), (key - F.when(key % 10 == 9, 1).otherwise(0)).cast(_text), F.lit(", Area "), (key % 20).cast(_text))
+def _name(k: str, first: str = "'Dock '") -> str:
+    return f"concat({first}, {k} - ({k} % 10) div 9, ', Area ', {k} % 20)"
 
 
-def _named(key: Column, event: Column) -> Column:
-    return F.when(event % 5 == 0, F.upper(_station_name(key))).otherwise(_station_name(key))
+def _named(k: str, e: str) -> str:
+    shouted, spoken = _name(k, "'DOCK '").replace("Area", "AREA"), _name(k)
+    return f"if({e} % 5 = 0, {shouted}, {spoken})"
 
 
-def _station_id(key: Column, event: Column) -> Column:
-    number = key.cast(_text)
-    return (
-        F.when(event % 4 == 0, number)
-        .when(event % 4 == 1, F.concat(F.lit("00"), number))
-        .when(event % 4 == 2, (key + 2000000).cast(_text))
-        .otherwise(F.lit("T"))
-    )
+def _station_id(k: str, e: str) -> str:
+    return f"if({e} % 4 = 3, 'T', concat(if({e} % 4 = 1, '00', ''), {k} + if({e} % 4 = 2, 2000000, 0)))"
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 class Tables:
@@ -49,107 +51,120 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _written(self, name: str, build: Callable[[], DataFrame], by_source: bool = False) -> str:
+        """Folder of a base table, written by the first query of the session that needs it."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = fresh_path(self.spark, name)
+            if by_source:
+                write_by_source(build(), path)
+            else:
+                build().write.parquet(path)
+            _WRITTEN[key] = path
+        return _WRITTEN[key]
+
     @cached_property
     def trips(self) -> DataFrame:
-        event, user = F.col("event_id"), F.col("user_id")
-        origin = user
-        goal = F.when(event % 9 == 0, user).otherwise(F.floor(user / 2) + event % 11)
-        seconds = F.floor(F.col("value") * 240).cast("bigint")
-        day = F.to_date("ts").cast(_text)
-        values = {
-            "journey_id": event.cast(_text),
-            "bike_id": user.cast(_text),
-            "bike_model": F.col("event_type"),
-            "start_at": F.col("ts"),
-            "end_at": F.col("ts") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")),
-            "start_station_id": _station_id(origin, event),
-            "start_station_name": _named(origin, event),
-            "end_station_id": F.when(event % 10 != 7, _station_id(goal, event + 1)),
-            "end_station_name": F.when(event % 97 != 0, _named(goal, event + 1)),
-            "duration_seconds": seconds,
-            "duration_ms": seconds * 1000,
-            "source_key": F.concat(day, F.lit(".csv")),
-            "source_etag": F.concat(F.lit("etag-"), day),
-            "source_member": F.lit(None).cast(_text),
-            "source_row_number": event + 1,
-        }
-        return self.read("events").select(*[values[name].alias(name) for name in TRIP_COLUMNS])
+        return scan_trips(self.spark, self._written("trips", self._trips, by_source=True))
 
     @cached_property
     def stations(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        terminal = F.when(key % 7 != 0, (key + 2000000).cast(_text))
-        name = _station_name(key)
-        return self.read("supplier").select(
-            key.alias("ordinal"),
-            F.concat(F.lit("BikePoints_"), key.cast(_text)).alias("bikepoint_id"),
-            key.cast(_text).alias("bikepoint_number"),
-            numeric_key(key.cast(_text)).alias("bikepoint_number_key"),
-            terminal.alias("terminal_name"),
-            numeric_key(terminal).alias("terminal_name_key"),
-            name.alias("common_name"),
-            name_key(name).alias("common_name_key"),
-            F.when(key % 23 != 5, 51.5 + key / 1000).alias("lat"),
-            (key / 1000 - 3.0).alias("lon"),
-            (key % 2 == 0).alias("installed"),
-            (key % 3 == 0).alias("locked"),
-            F.lit(False).alias("temporary"),
-            F.col("s_nationkey").cast("bigint").alias("nb_docks"),
+        return self.spark.read.parquet(self._written("stations", self._stations))
+
+    def _trips(self) -> DataFrame:
+        events = self.read("events").selectExpr(
+            "event_id AS e",
+            "user_id AS u",
+            "event_type",
+            "ts",
+            "cast(floor(value * 240) AS bigint) AS seconds",
+            "if(event_id % 9 = 0, user_id, user_id div 2 + event_id % 11) AS g",
+        )
+        values = {
+            "journey_id": "cast(e AS string)",
+            "bike_id": "cast(u AS string)",
+            "bike_model": "event_type",
+            "start_at": "ts",
+            "end_at": "ts + make_dt_interval(0, 0, 0, cast(seconds AS decimal(18, 6)))",
+            "start_station_id": _station_id("u", "e"),
+            "start_station_name": _named("u", "e"),
+            "end_station_id": f"if(e % 10 = 7, NULL, {_station_id('g', '(e + 1)')})",
+            "end_station_name": f"if(e % 97 = 0, NULL, {_named('g', '(e + 1)')})",
+            "duration_seconds": "seconds",
+            "duration_ms": "seconds * 1000",
+            "source_key": "concat(cast(date(ts) AS string), '.csv')",
+            "source_etag": "concat('etag-', cast(date(ts) AS string))",
+            "source_member": "cast(NULL AS string)",
+            "source_row_number": "e + 1",
+        }
+        return events.selectExpr(*[f"{values[name]} AS {name}" for name in TRIP_COLUMNS])
+
+    def _stations(self) -> DataFrame:
+        station = self.read("supplier").selectExpr(
+            "s_suppkey AS k",
+            "s_nationkey",
+            "if(s_suppkey % 7 = 0, NULL, cast(s_suppkey + 2000000 AS string)) AS terminal",
+            f"{_name('s_suppkey')} AS name",
+        )
+        columns = station.selectExpr(
+            "k AS ordinal",
+            "concat('BikePoints_', k) AS bikepoint_id",
+            "cast(k AS string) AS bikepoint_number",
+            "terminal AS terminal_name",
+            "name AS common_name",
+            "if(k % 23 = 5, NULL, 51.5D + k / 1000) AS lat",
+            "k / 1000 - 3.0D AS lon",
+            "k % 2 = 0 AS installed",
+            "k % 3 = 0 AS locked",
+            "false AS temporary",
+            "cast(s_nationkey AS bigint) AS nb_docks",
+        )
+        return columns.select(
+            "*",
+            numeric_key("bikepoint_number").alias("bikepoint_number_key"),
+            numeric_key("terminal_name").alias("terminal_name_key"),
+            name_key("common_name").alias("common_name_key"),
         )
 
     @cached_property
     def route_pairs(self) -> DataFrame:
         """Pairs of different stations that trips ride, with repeats, and their place in a cache."""
-        far = F.floor(F.col("k") / 2) + F.col("j")
-        pairs = self.read("supplier").select(
-            F.col("s_suppkey").alias("k"), F.explode(F.lit(list(range(11))).cast("array<bigint>")).alias("j")
-        )
-        ids = [F.concat(F.lit("BikePoints_"), F.col(c).cast(_text)) for c in ("k", "far")]
-        forward = ids[0] < ids[1]
-        return (
-            pairs.withColumn("far", far.cast("bigint"))
-            .filter("k != far")
-            .select(
-                "k",
-                "j",
-                (F.col("k") * 11 + F.col("j")).alias("ordinal"),
-                F.least(*ids).alias("pair_from"),
-                F.greatest(*ids).alias("pair_to"),
-                F.when(forward, F.col("k")).otherwise(F.col("far")).alias("a"),
-                F.when(forward, F.col("far")).otherwise(F.col("k")).alias("b"),
-            )
+        pairs = self.read("supplier").selectExpr("s_suppkey AS k", "explode(sequence(0L, 10L)) AS j")
+        apart = pairs.selectExpr(
+            "k", "j", "k div 2 + j AS far", "concat('BikePoints_', k) AS own", "concat('BikePoints_', k div 2 + j) AS other"
+        ).filter("k <> far")
+        return apart.selectExpr(
+            "k",
+            "j",
+            "k * 11 + j AS ordinal",
+            "least(own, other) AS pair_from",
+            "greatest(own, other) AS pair_to",
+            "if(own < other, k, far) AS a",
+            "if(own < other, far, k) AS b",
         )
 
     def _cache(self, every: int) -> DataFrame:
-        last = (2 + F.col("k") % 4).cast("int")
-        a, b = F.col("a"), F.col("b")
-
-        def point(i: Column) -> Column:
-            east = F.round(a / 1000 - 3.0 + (b - a) / 1000 * i / last, 6)
-            north = F.round(51.5 + a / 1000 + (b - a) / 1000 * i / last, 6)
-            return F.concat(F.lit("["), east.cast(_text), F.lit(","), north.cast(_text), F.lit("]"))
-
-        line = F.array_join(F.transform(F.sequence(F.lit(0), last), point), ",")
-        inner = F.when(F.col("k") % 17 == 3, "").otherwise(line)
-        failed = F.col("k") % 13 == 5
-        geometry = F.concat(F.lit('{"type":"LineString","coordinates":['), inner, F.lit("]}"))
-        return self.route_pairs.filter((F.col("k") + F.col("j")) % every == 0).select(
+        step = "(b - a) / 1000 * i / (2 + k % 4)"
+        point = f"concat('[', round(a / 1000 - 3.0D + {step}, 6), ',', round(51.5D + a / 1000 + {step}, 6), ']')"
+        line = f"if(k % 17 = 3, '', array_join(transform(sequence(0L, 2 + k % 4), i -> {point}), ','))"
+        failed = "k % 13 = 5"
+        return self.route_pairs.filter(f"(k + j) % {every} = 0").selectExpr(
             "ordinal",
             "pair_from",
             "pair_to",
-            F.when(failed, "null").otherwise(geometry).alias("geometry"),
-            F.when(failed, '{"type":"FetchError"}').otherwise("null").alias("error"),
-            F.when(F.col("k") % 5 != 0, F.col("k") + every).alias("trip_count"),
-            (F.abs(a - b) * 100.0 + F.col("j") * 7.5 + every).alias("distance_meters"),
+            f"""if({failed}, 'null', concat('{{"type":"LineString","coordinates":[', {line}, ']}}')) AS geometry""",
+            f"""if({failed}, '{{"type":"FetchError"}}', 'null') AS error""",
+            f"if(k % 5 = 0, NULL, k + {every}) AS trip_count",
+            f"abs(a - b) * 100.0D + j * 7.5D + {every} AS distance_meters",
         )
 
     @cached_property
     def cache_a(self) -> DataFrame:
-        return self._cache(2)
+        return self.spark.read.parquet(self._written("cache-a", lambda: self._cache(2)))
 
     @cached_property
     def cache_b(self) -> DataFrame:
-        return self._cache(3)
+        return self.spark.read.parquet(self._written("cache-b", lambda: self._cache(3)))
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -174,32 +189,31 @@ class Tables:
     @cached_property
     def raw_columns(self) -> DataFrame:
         """Trip text as a landed file would hold it, with the layout it is written in."""
-        event = F.col("event_id")
-        odd = event % 3
-        stamp = {
-            name: F.when(event % 71 == 0, F.lit("n/a"))
-            .when((event % 5 == 4) & (odd == 0), F.concat(F.lit(" "), F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit("  ")))
-            .when((event % 5 != 4) & (odd == 2), F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
-            .when(
-                ((event % 5 == 4) & (odd == 1)) | ((event % 5 != 4) & (odd == 0)), F.date_format(at, "dd/MM/yyyy HH:mm")
+
+        def stamp(at: str) -> str:
+            shape = (
+                "if(layout_number = 4, "
+                "if(e % 3 = 0, ' yyyy-MM-dd HH:mm  ', if(e % 3 = 1, 'dd/MM/yyyy HH:mm', 'dd/MM/yyyy HH:mm:ss')), "
+                "if(e % 3 = 0, 'dd/MM/yyyy HH:mm', if(e % 3 = 1, 'dd/MM/yyyy HH:mm:ss', 'yyyy-MM-dd HH:mm:ss')))"
             )
-            .otherwise(F.date_format(at, "dd/MM/yyyy HH:mm:ss"))
-            for name, at in (("start_at", F.col("start_at")), ("end_at", F.col("end_at")))
-        }
-        duration = F.when(event % 5 == 4, F.col("duration_ms")).otherwise(F.col("duration_seconds")).cast(_text)
-        return self.trips.withColumn("event_id", F.col("journey_id").cast("bigint")).select(
-            "event_id",
-            (event % 5).alias("layout_number"),
-            F.concat(F.lit("  "), "journey_id", F.lit("\t")).alias("journey_id"),
+            return f"if(e % 71 = 0, 'n/a', date_format({at}, {shape})) AS {at}"
+
+        numbered = self.trips.selectExpr(
+            "*", "source_row_number - 1 AS e", "(source_row_number - 1) % 5 AS layout_number"
+        )
+        return numbered.selectExpr(
+            "e AS event_id",
+            "layout_number",
+            "concat('  ', journey_id, '\t') AS journey_id",
             "bike_id",
             "bike_model",
-            stamp["start_at"].alias("start_at"),
-            stamp["end_at"].alias("end_at"),
+            stamp("start_at"),
+            stamp("end_at"),
             "start_station_id",
-            F.concat("start_station_name", F.lit(" ")).alias("start_station_name"),
+            "concat(start_station_name, ' ') AS start_station_name",
             "end_station_id",
             "end_station_name",
-            F.when(event % 13 == 0, None).when(event % 17 == 0, "12.5").otherwise(duration).alias("duration"),
+            "if(e % 13 = 0, NULL, if(e % 17 = 0, '12.5', cast(if(layout_number = 4, duration_ms, duration_seconds) AS string))) AS duration",
             "source_key",
             "source_etag",
             "source_row_number",
