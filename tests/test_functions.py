@@ -14,7 +14,7 @@ from velospan.functions.clock import (
     turn_day_first,
     whole_number,
 )
-from velospan.functions.geometry import arc_path, path_window
+from velospan.functions.geometry import arc_path, line_path, path_window
 from velospan.functions.text import clean_text, name_key, numeric_key, station_key, text_or_null
 from velospan.schemas import LAYOUTS
 
@@ -91,7 +91,8 @@ def test_whole_number(spark):
 
 
 def test_arc_has_no_bend_between_equal_places(spark):
-    got = spark.range(1).select(arc_path(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0))).first()[0]
+    last, point = arc_path(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0))
+    got = spark.range(1).select(F.transform(F.sequence(F.lit(0), last), point)).first()[0]
     assert got == [[1.0, 2.0]] * 25
 
 
@@ -107,4 +108,7 @@ def test_arc_has_no_bend_between_equal_places(spark):
 )
 def test_path_window(spark, path, progress, window, want):
     rows = spark.createDataFrame([(path, progress)], "p array<array<double>>, s double")
-    assert rows.select(path_window("p", "s", window)).first()[0] == want
+    piece = path_window(line_path(F.col("p"), F.lit(False)), F.col("s"), window)
+    assert rows.select(piece).first()[0] == want
+    back = path_window(line_path(F.reverse("p"), F.lit(True)), F.col("s"), window)
+    assert rows.select(back).first()[0] == want

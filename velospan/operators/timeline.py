@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velospan.functions.clock import LAST_SECOND
-from velospan.functions.geometry import arc_path, path_window
+from velospan.functions.geometry import arc_path, line_path, path_window
 from velospan.functions.text import station_key
 
 # Seconds an event stays visible, share of the peak that counts as active.
@@ -212,21 +212,18 @@ def trip_traces(replay: DataFrame, routes: DataFrame, times: Sequence[int], wind
     as a share of the path; its last point is the trip's head.
     """
     under_way = active_at(replay, times).select("*", progress(F.col("clock")).alias("progress"))
-    on_route = under_way.join(routes.select("route_key", "coordinates"), "route_key", "left")
-    route = F.when(F.col("route_reversed"), F.reverse("coordinates")).otherwise(F.col("coordinates"))
+    drawn = under_way.join(routes.select("route_key", "coordinates"), "route_key", "left")
+    line = line_path(F.col("coordinates"), F.col("route_reversed"))
     arc = arc_path(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
-    drawn = on_route.select(
+    pieces = [path_window(path, F.col("progress"), window) for path in (line, arc)]
+    return drawn.select(
         "day",
         "clock",
         "journey_id",
         "progress",
         F.col("route_key").isNotNull().alias("routed"),
-        F.coalesce(route, arc).alias("path"),
-    )
-    traced = drawn.select(
-        "day", "clock", "journey_id", "progress", "routed", path_window("path", "progress", window).alias("path")
-    )
-    return traced.withColumn("head", F.element_at("path", -1))
+        F.when(F.col("coordinates").isNotNull(), pieces[0]).otherwise(pieces[1]).alias("path"),
+    ).withColumn("head", F.element_at("path", -1))
 
 
 def required_routes(replay: DataFrame) -> DataFrame:

@@ -18,21 +18,24 @@ MEMBER_ROWS = 1000
 
 def trip_csv(t: Tables) -> list[str]:
     """One folder of CSV files per layout; returns the folders."""
-    root = fresh_path(t.spark, "landed-csv")
-    folders = []
-    for number, layout in enumerate(LAYOUTS):
-        rows = t.raw_columns.filter(F.col("layout_number") == number)
-        named = rows.select(*[F.col(column).alias(header) for column, header in layout.headers.items()])
-        folder = f"{root}/layout{number}"
-        writer = named.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-        writer.option("ignoreTrailingWhiteSpace", False).csv(folder, header=True)
-        folders.append(folder)
-    return folders
+
+    def write(root: str) -> None:
+        for number, layout in enumerate(LAYOUTS):
+            rows = t.raw_columns.filter(F.col("layout_number") == number)
+            named = rows.select(*[F.col(column).alias(header) for column, header in layout.headers.items()])
+            writer = named.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            writer.option("ignoreTrailingWhiteSpace", False).csv(f"{root}/layout{number}", header=True)
+
+    root = t.once("landed-csv", write)
+    return [f"{root}/layout{number}" for number in range(len(LAYOUTS))]
 
 
 def trip_zip(t: Tables) -> list[str]:
     """ZIP archives of a thousand trips each, with one CSV member per layout; returns the folder."""
-    folder = fresh_path(t.spark, "landed-zip")
+    return [t.once("landed-zip", lambda folder: _write_zip(t, folder))]
+
+
+def _write_zip(t: Tables, folder: str) -> None:
     headers = {number: list(layout.headers.values()) for number, layout in enumerate(LAYOUTS)}
     columns = {number: list(layout.headers) for number, layout in enumerate(LAYOUTS)}
 
@@ -53,7 +56,6 @@ def trip_zip(t: Tables) -> list[str]:
     named = t.raw_columns.withColumn("bike_model", F.concat(F.lit("Café "), "bike_model"))
     bucketed = named.withColumn("bucket", F.floor(F.col("event_id") / MEMBER_ROWS))
     bucketed.groupBy("bucket").applyInPandas(pack, "bucket bigint").count()
-    return [folder]
 
 
 def listing_pages(t: Tables) -> str:

@@ -51,18 +51,20 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _written(self, name: str, build: Callable[[], DataFrame], by_source: bool = False) -> str:
-        """Folder of a base table, written by the first query of the session that needs it."""
+    def once(self, name: str, write: Callable[[str], None]) -> str:
+        """A folder written by the first query of the session that needs it."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
             path = fresh_path(self.spark, name)
-            if by_source:
-                write_by_source(build(), path)
-            else:
-                build().write.parquet(path)
+            write(path)
             _WRITTEN[key] = path
         return _WRITTEN[key]
 
+    def _written(self, name: str, build: Callable[[], DataFrame], by_source: bool = False) -> str:
+        if by_source:
+            return self.once(name, lambda path: write_by_source(build(), path))
+        return self.once(name, lambda path: build().write.parquet(path))
+
     @cached_property
     def trips(self) -> DataFrame:
         return scan_trips(self.spark, self._written("trips", self._trips, by_source=True))
