@@ -158,14 +158,14 @@ def activity_bins(located: DataFrame, days: DataFrame | None = None, bin_seconds
     changes = (
         timed.select("day", F.inline(steps)).groupBy("day", "bin").agg(F.sum("change").alias("change"))
     )
-    known = changes.select("day").distinct() if days is None else days.select("day").distinct()
-    grid = known.select("day", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    # One short map per day (a bin at most once), so that days and changes come from one pass.
+    by_day = changes.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("bin", "change"))).alias("changes"))
+    if days is not None:
+        by_day = days.select("day").distinct().join(by_day, "day", "left")
+    grid = by_day.select("day", "changes", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     running = W.partitionBy("day").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return grid.join(changes, ["day", "bin"], "left").select(
-        "day",
-        (F.col("bin") * bin_seconds).alias("time"),
-        F.sum(F.coalesce("change", F.lit(0))).over(running).alias("active_trips"),
-    )
+    change = F.coalesce(F.try_element_at("changes", "bin"), F.lit(0))
+    return grid.select("day", (F.col("bin") * bin_seconds).alias("time"), F.sum(change).over(running).alias("active_trips"))
 
 
 def day_summary(

@@ -32,6 +32,20 @@ def _first_at_or_after(times: Sequence[int], second: Column) -> Column:
     return F.get(F.filter(_clocks(times), lambda t: t >= second), 0)
 
 
+def _at_every_clock(per_clock: DataFrame, keys: list[str], times: Sequence[int]) -> DataFrame:
+    """Rows of (keys, clock, values) widened to every clock time, zero where there were none.
+
+    Values are gathered into one map per key, as long as the clock list, so the
+    keys and their values come from one pass over the trips.
+    """
+    values = [c for c in per_clock.columns if c not in (*keys, "clock")]
+    entry = F.when(F.col("clock").isNotNull(), F.struct("clock", F.struct(*values).alias("values")))
+    by_key = per_clock.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("clocks"))
+    grid = by_key.select(*keys, "clocks", F.explode(_clocks(times)).alias("clock"))
+    found = grid.select(*keys, "clock", F.try_element_at("clocks", "clock").alias("at"))
+    return found.select(*keys, "clock", *[F.coalesce(F.col(f"at.{v}"), F.lit(0)).alias(v) for v in values])
+
+
 def _running(keys: list[str]) -> W:
     return W.partitionBy(*keys).orderBy("clock").rowsBetween(W.unboundedPreceding, W.currentRow)
 
@@ -91,8 +105,7 @@ def running_totals(replay: DataFrame, times: Sequence[int]) -> DataFrame:
         .groupBy("day", "clock")
         .agg(*[F.sum(name).alias(name) for name in ("journeys", "routed", "whole", "active", "active_routed", "part")])
     )
-    grid = per_clock.select("day").distinct().select("day", F.explode(_clocks(times)).alias("clock"))
-    full = grid.join(per_clock, ["day", "clock"], "left").na.fill(0)
+    full = _at_every_clock(per_clock, ["day"], times)
     so_far = _running(["day"])
     journeys, routed_so_far = F.sum("journeys").over(so_far), F.sum("routed").over(so_far)
     return full.select(
@@ -133,8 +146,7 @@ def station_balance(replay: DataFrame, times: Sequence[int]) -> DataFrame:
         .groupBy(*keys, "clock")
         .agg(F.sum("departures").alias("departures"), F.sum("arrivals").alias("arrivals"))
     )
-    grid = counted.select(*keys).distinct().select(*keys, F.explode(_clocks(times)).alias("clock"))
-    full = grid.join(counted, [*keys, "clock"], "left").na.fill(0)
+    full = _at_every_clock(counted, keys, times)
     so_far = _running(keys)
     left, came = F.sum("departures").over(so_far), F.sum("arrivals").over(so_far)
     return full.select(*keys, "clock", left.alias("departures"), came.alias("arrivals"), (came - left).alias("net"))

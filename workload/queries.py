@@ -746,10 +746,11 @@ def load_shard(t: Tables) -> DataFrame:
 
 
 def _day_documents(t: Tables) -> DataFrame:
-    matches = stations.station_matches(t.playback, t.stations, F.col("day"))
-    summary = replay.day_summary(t.routed, t.playback, t.stations)
+    routed = staged(t.routed, "routed")
+    matches = stations.station_matches(routed, t.stations, F.col("day"))
+    summary = replay.day_summary(routed, routed, t.stations)
     records = stations.station_records(matches, "day")
-    return export.day_documents(t.replay, records, replay.activity_bins(t.located), summary)
+    return export.day_documents(replay.replay_trips(routed), records, replay.activity_bins(routed), summary)
 
 
 @query("""SELECT cast(day AS VARCHAR) AS id, 0 AS part, count(*) AS trips_in_day, count(route_key) AS routed_in_day FROM replay GROUP BY day""")
