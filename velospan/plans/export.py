@@ -206,9 +206,9 @@ def station_master_document(stations: DataFrame, limit: int = DOCUMENT_STATIONS)
 def write_documents(documents: DataFrame, root: str) -> None:
     """Write each document as one line of text below ``root/{raw,gzip}/kind/id/part``.
 
-    Documents are staged first so that both copies hold the same bytes.
+    Both copies are read from ``documents``, which should be a staged table.
     """
-    table = staged(documents.select("kind", "id", "part", "json"), "documents")
+    table = documents.select("kind", "id", "part", "json")
     for folder, codec in (("raw", "none"), ("gzip", "gzip")):
         writer = table.repartition("kind", "id", "part").write.mode("overwrite")
         writer.option("compression", codec).option("lineSep", "\n").partitionBy("kind", "id", "part").text(

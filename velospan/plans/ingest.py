@@ -223,6 +223,8 @@ def run_validate(
     """Split the planned files into valid and rejected trips; returns the outcomes."""
     ledger = current_ledger(spark, root)
     plan = staged(L.plan_validate(ledger, retry_failed, force, limit).select("source_key"), "validate-plan")
+    if plan.isEmpty():
+        return spark.createDataFrame([], "source_key string, status string, error string, valid_rows bigint, invalid_rows bigint")
     trips = _parted(spark, f"{root}/{NORMALIZED}", plan)
     keys = staged(repeated_keys(trips), "repeated-keys")
     checked = check_trips(trips, keys)
