@@ -137,3 +137,19 @@ def test_values_that_do_not_cast_fail_their_row(spark):
     failed = {r.journey_id: r.failed_rules for r in checked.collect()}
     assert failed == {"j": [], "k": ["duration_ms|dtype", "duration_ms|nullability"]}
     assert valid_trips(checked).count() == 1 and rejected_trips(checked).count() == 1
+
+
+def test_a_key_with_many_copies_is_not_gathered(spark):
+    rows = spark.range(3000).select(
+        *[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(TRIP, _trip())]
+    ).withColumn("source_row_number", F.monotonically_increasing_id() + 1)
+    mixed = rows.withColumn(
+        "journey_id", F.when(F.col("source_row_number") % 3 == 0, "hot").otherwise(F.expr("uuid()"))
+    )
+    mixed = spark.createDataFrame(mixed.collect(), nullable(TRIP))
+    checked = check_trips(mixed)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
+    hot = checked.filter("journey_id = 'hot'")
+    assert hot.count() > 900 and hot.filter(F.array_contains("failed_rules", "primary_key")).count() == hot.count()
+    assert checked.filter("journey_id <> 'hot'").filter(F.size("failed_rules") > 0).count() == 0

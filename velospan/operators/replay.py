@@ -110,7 +110,13 @@ def trip_record() -> Column:
     return F.struct(*_record_fields())
 
 
-def _record_fields() -> list[Column]:
+def path_trip_records(replay: DataFrame, *keep: str) -> DataFrame:
+    """The record with its path inline in place of the route fields; ``replay`` comes
+    from ``routes.with_route_path``, whose path runs from trip start to trip end."""
+    return replay.select(*keep, *_trip_fields(), F.col("route_path").alias("path"))
+
+
+def _trip_fields() -> list[Column]:
     return [
         F.col("journey_id").alias("id"),
         F.col("bike_id").alias("bikeId"),
@@ -124,6 +130,12 @@ def _record_fields() -> list[Column]:
         F.col("end_station_name").alias("toStationName"),
         F.array("start_lon", "start_lat").alias("fromCoord"),
         F.array("end_lon", "end_lat").alias("toCoord"),
+    ]
+
+
+def _record_fields() -> list[Column]:
+    return [
+        *_trip_fields(),
         F.col("route_key").alias("routeKey"),
         F.col("route_shard").alias("routeShard"),
         F.col("route_distance_meters").alias("routeDistanceMeters"),

@@ -259,10 +259,12 @@ def station_records(t: Tables) -> DataFrame:
     return rows.select("id", "stationId", "name", "tripCount")
 
 
-@query("""SELECT station_id, station_name, count(*) AS trip_count FROM ends WHERE contains(lower(station_name), 'area 1')
-          GROUP BY station_id, station_name ORDER BY trip_count DESC, coalesce(station_id, '') || chr(31) || station_name LIMIT 8""")
+@query("""SELECT station_id, station_name, count(*) AS trip_count FROM ends
+          JOIN (SELECT station_id AS i, station_name AS n FROM matches WHERE lat IS NOT NULL) ON i IS NOT DISTINCT FROM station_id AND n = station_name
+          WHERE contains(lower(station_name), 'area 1') GROUP BY station_id, station_name ORDER BY trip_count DESC, coalesce(station_id, '') || chr(31) || station_name LIMIT 8""")
 def station_search(t: Tables) -> DataFrame:
-    found = stations.station_search(stations.station_matches(t.playback, t.stations), " AREA 1 ")
+    drawn = stations.station_matches(t.playback, t.stations).filter("lat IS NOT NULL AND lon IS NOT NULL")
+    found = stations.station_search(drawn, " AREA 1 ")
     return found.select("station_id", "station_name", "trip_count")
 
 
@@ -385,8 +387,8 @@ def route_join(t: Tables) -> DataFrame:
           round(CASE WHEN route_reversed THEN coordinates[len(coordinates) + 1 - u.i] ELSE coordinates[u.i] END[2], 6) AS lat
           FROM replay JOIN routes USING (route_key), (SELECT unnest(range(1, 10)) AS i) u WHERE u.i <= len(coordinates)""")
 def route_path(t: Tables) -> DataFrame:
-    paths = routes.with_route_path(t.replay, t.routes).filter(F.col("route_key").isNotNull())
-    points = paths.select("journey_id", F.posexplode("route_path").alias("at", "p"))
+    paths = replay.path_trip_records(routes.with_route_path(t.replay, t.routes))
+    points = paths.select(F.col("id").alias("journey_id"), F.posexplode("path").alias("at", "p"))
     lon, lat = F.round(F.get("p", 0), 6).alias("lon"), F.round(F.get("p", 1), 6).alias("lat")
     return points.select("journey_id", (F.col("at") + 1).cast("bigint").alias("point"), lon, lat)
 
