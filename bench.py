@@ -57,7 +57,7 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             timings[name] = round(time.perf_counter() - began, 3)
     total = round(sum(timings.values()), 3)
-    scale = Path(folder).name.removeprefix("sf")
+    scale = float(Path(folder).name.removeprefix("sf"))
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": timings, "sf": scale}))
     spark.stop()
 
