@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from tools.compare import compare, open_duck
+from workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def duck():
     return open_duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     verdict, rows, _ = compare(spark, FOLDER, name, duck)
     assert verdict in ("ok", "rows only") and rows > 0
