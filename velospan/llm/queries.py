@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, source_mix
+from velospan.llm import host_rules, pattern_packing, source_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,8 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NO
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = source_mix.mix(_read(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op6_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pattern_packing.pack_documents(_read(spark, folder, "documents"))
