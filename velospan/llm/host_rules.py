@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velospan.llm.columns import BLANKS, require, unused, whole_text, words
+from velospan.staging import staged
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -126,7 +127,7 @@ def host_rules(docs: DataFrame, host: str = "source", text: str = "text", limit:
     no words and fails. An empty table gives an empty table.
     """
     require(docs, host, text)
-    verdicts = host_verdicts(host_table(docs, host, text), limit).select("host", "host_kept")
+    verdicts = host_verdicts(staged(host_table(docs, host, text), "host-failures"), limit).select("host", "host_kept")
     of_host, verdict = unused(docs, "_host"), unused(docs, "_host_kept")
     judged = with_rule_counts(docs, text)
     judged = judged.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
