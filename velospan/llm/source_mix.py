@@ -19,7 +19,7 @@ from velospan.staging import staged
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-LEVELS, LEVEL_BITS = 3, 16
+LEVELS, LEVEL_BITS = 4, 12
 _HASH_BITS = LEVELS * LEVEL_BITS
 
 
