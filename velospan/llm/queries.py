@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, pattern_packing, source_mix
+from velospan.llm import host_rules, lsh_forest, pattern_packing, source_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,9 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_packing.pack_documents(_read(spark, folder, "documents"))
+
+
+@query()
+def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    judged = lsh_forest.near_duplicates(_read(spark, folder, "documents"))
+    return judged.select("doc_id", "n_shingles", "component_id", "kept")
