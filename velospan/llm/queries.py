@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, lsh_forest, pattern_packing, source_mix
+from velospan.llm import host_rules, lsh_forest, pattern_packing, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,9 @@ def op6_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     judged = lsh_forest.near_duplicates(_read(spark, folder, "documents"))
     return judged.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    judged = toxicity.toxicity(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
