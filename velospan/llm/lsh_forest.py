@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "node", "grps", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")
     )
     same = plain["doc_id"].eqNullSafe(wanted["of_id"]) & (plain["text_hash"] == wanted["of_hash"])
-    sets = plain.join(wanted, same).select("node", "grps", _set_bytes(word_hashes("text")).alias("shingles"))
+    # Texts are many times larger than the table of nodes at every size, and are dealt out alike at all.
+    sets = plain.join(wanted.hint("shuffle_merge"), same).select("node", "grps", _set_bytes(word_hashes("text")).alias("shingles"))
     sets = sets.groupBy("node").agg(F.first("grps").alias("grps"), F.first("shingles").alias("shingles"))
     dealt = sets.select("node", "shingles", F.explode("grps").alias("grp"))
     links = dealt.groupBy("grp").applyInArrow(_confirmed, "a binary, b binary")
