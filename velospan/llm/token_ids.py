@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 #: Text bytes that are split at a time, and words a worker remembers.
-SLICE_BYTES, CACHE_WORDS = 4_000_000, 300_000
+SLICE_BYTES, CACHE_WORDS = 4_000_000, 600_000
 # Punctuation that is split off at the end of a word. Only behind Latin-1 letters,
 # which neither normalization nor lower-casing turns into more than one character.
 _WORD_END = r"([a-z0-9À-ÖØ-öø-ÿ])([,.#$%&*|]+)( |$)"
