@@ -141,5 +141,8 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", limit:
     """The rows of ``docs`` that pass the rules and whose host does, with the columns of ``docs``."""
     inputs = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)])
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
-    kept = host_rules(inputs, names[host], names[text], limit).filter("kept")
-    return kept.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    judged = host_rules(inputs, names[host], names[text], limit)
+    # A row number that the filter also reads: without it Spark would move the filter below
+    # the counts and write their expressions out again for every use of each of them.
+    judged = judged.withColumn("row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("row") >= 0)).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
