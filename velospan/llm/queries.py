@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, lsh_forest, pattern_packing, source_mix, toxicity
+from velospan.llm import host_rules, license_scan, lsh_forest, pattern_packing, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,10 @@ def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     judged = toxicity.toxicity(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
     return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.license_scan(_read(spark, folder, "documents"), name="found").select("doc_id", "found")
+    columns = license_scan.digest("found")
+    return found.select("doc_id", *[column.alias(name) for name, column in columns.items()])
