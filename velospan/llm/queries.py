@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, license_scan, lsh_forest, pattern_packing, source_mix, toxicity
+from velospan.llm import host_rules, license_scan, lsh_forest, page_cut, pattern_packing, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,9 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan.license_scan(_read(spark, folder, "documents"), name="found").select("doc_id", "found")
     columns = license_scan.digest("found")
     return found.select("doc_id", *[column.alias(name) for name, column in columns.items()])
+
+
+@query()
+def op5_page_cut(spark: SparkSession, folder: str) -> DataFrame:
+    texts = page_cut.extract(_read(spark, folder, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
