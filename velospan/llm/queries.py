@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, license_scan, lsh_forest, page_cut, pattern_packing, source_mix, toxicity
+from velospan.llm import host_rules, license_scan, lsh_forest, page_cut, pattern_packing, sketch, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,8 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op5_page_cut(spark: SparkSession, folder: str) -> DataFrame:
     texts = page_cut.extract(_read(spark, folder, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op9_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.document_sketches(_read(spark, folder, "documents"))
