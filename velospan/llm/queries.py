@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, license_scan, lsh_forest, page_cut, pattern_packing, sketch, source_mix, toxicity
+from velospan.llm import host_rules, license_scan, lsh_forest, page_cut, pattern_packing, preference, sketch, source_mix, token_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +119,34 @@ def op5_page_cut(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.document_sketches(_read(spark, folder, "documents"))
+
+
+@query()
+def op3_token_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return token_scan.document_tokens(_read(spark, folder, "documents"))
+
+
+_PREFERENCE_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, max(i) AS n, max(CASE WHEN role = 'assistant' THEN i END) AS last FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, c.last, t.text AS reply FROM c JOIN t ON t.conv_id = c.conv_id AND t.i = c.last),
+j AS (SELECT c.conv_id, c.last, r.reply AS own, o.reply AS other,
+   CASE WHEN c.last IS NULL THEN c.n WHEN r.reply = o.reply THEN c.last ELSE c.last - 1 END AS k
+   FROM c LEFT JOIN r ON c.conv_id = r.conv_id LEFT JOIN r AS o ON o.conv_id = xor(c.conv_id, 1)),
+p AS (SELECT j.conv_id, string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.i) AS prompt
+   FROM j JOIN t ON t.conv_id = j.conv_id AND t.i <= j.k GROUP BY j.conv_id)
+SELECT j.conv_id, j.k::BIGINT AS n_prompt_turns, coalesce(p.prompt, '') AS prompt,
+  CASE WHEN k < last THEN '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) ELSE '' END AS chosen,
+  CASE WHEN k < last AND other IS NOT NULL THEN '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) ELSE '' END AS rejected,
+  CASE WHEN k < last THEN '14-' || (22 + length(own)) ELSE '' END AS chosen_mask,
+  CASE WHEN k < last AND other IS NOT NULL THEN '14-' || (22 + length(other)) ELSE '' END AS rejected_mask
+FROM j LEFT JOIN p USING (conv_id)"""
+
+
+@query(_PREFERENCE_SQL)
+def op4_preference(spark: SparkSession, folder: str) -> DataFrame:
+    whole = preference.whole_conversations(_read(spark, folder, "conversations"))
+    made = preference.format_preferences(preference.swapped_replies(whole))
+    masks = [preference.spans_text(c).alias(c) for c in ("chosen_mask", "rejected_mask")]
+    return made.select("conv_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", *masks)
