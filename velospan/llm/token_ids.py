@@ -9,14 +9,15 @@ text's ids are then gathered with numpy. The ids equal those of the whole text.
 from __future__ import annotations
 
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-#: Text bytes that are split at a time, and words a worker remembers.
-SLICE_BYTES, CACHE_WORDS = 4_000_000, 600_000
+#: Text bytes that are split at a time, words a worker remembers, and new words encoded at a time.
+SLICE_BYTES, CACHE_WORDS, ENCODED_AT_ONCE = 3_000_000, 250_000, 4096
 # Punctuation that is split off at the end of a word. Only behind Latin-1 letters,
 # which neither normalization nor lower-casing turns into more than one character.
 _WORD_END = r"([a-z0-9À-ÖØ-öø-ÿ])([,.#$%&*|]+)( |$)"
@@ -29,26 +30,37 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _keep(self, parts: list[str]) -> None:
+        """Forget all words but those of ``parts``; the common ones are among them."""
+        known = [x for x in parts if x in self.place]
+        at = np.fromiter((self.place[x] for x in known), np.int64, len(known))
+        first, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        self.ids = self.ids[np.arange(total) + np.repeat(first - (ends - lengths), lengths)]
+        self.starts = np.concatenate([[0], ends])
+        self.place = dict(zip(known, range(len(known)), strict=True))
+
     def _places(self, parts: list[str]) -> np.ndarray:
         """Where each of the distinct parts stands in the cache, encoding new ones."""
         if len(self.place) > CACHE_WORDS:
-            self.forget()
+            self._keep(parts)
         new = [x for x in parts if x not in self.place]
+        flats, lengths = [self.ids], []
+        for at in range(0, len(new), ENCODED_AT_ONCE):
+            some = self.tokenizer.encode_batch_fast(new[at : at + ENCODED_AT_ONCE], add_special_tokens=False)
+            ids = [e.ids for e in some]
+            lengths += map(len, ids)
+            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, sum(lengths[at:])))
         if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, flat])
-        return np.fromiter((self.place[x] for x in parts), np.int64, len(parts))
+            self.ids = np.concatenate(flats)
+        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more than texts); nulls are empty."""
