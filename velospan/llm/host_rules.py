@@ -28,6 +28,15 @@ MAX_STRENGTH = 1000.0
 _PLACE_BITS = 25
 
 
+def _pinned(value: Column) -> Column:
+    """``value``, tied to the row number: Spark computes it where it stands.
+
+    Otherwise a filter on the counts would be moved below them, and their expressions
+    written out again for every use of each of them.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def with_rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``.
 
@@ -63,15 +72,15 @@ def with_rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = F.transform(places, lambda x, i: F.least(F.coalesce(F.get(F.col(places), i + 1) - x, F.lit(3)), F.lit(3)))
     staged_columns = docs.withColumn(whole, whole_text(text))
     staged_columns = staged_columns.withColumns({
-        tokens: words(F.col(whole)),
-        lines: F.filter(F.split(whole, "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)) != ""),
+        tokens: _pinned(words(F.col(whole))),
+        lines: _pinned(F.filter(F.split(whole, "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)) != "")),
     })
     sorted_windows = F.sort_array(F.transform(indexes, packed))
-    staged_columns = staged_columns.withColumn(windows, F.when(F.size(tokens) > 3, sorted_windows).otherwise(none))
+    staged_columns = staged_columns.withColumn(windows, _pinned(F.when(F.size(tokens) > 3, sorted_windows).otherwise(none)))
     same_hash = lambda x, y: F.shiftright(x, _PLACE_BITS) == F.shiftright(y, _PLACE_BITS)
-    staged_columns = staged_columns.withColumn(near, beside(windows, same_hash))
+    staged_columns = staged_columns.withColumn(near, _pinned(beside(windows, same_hash)))
     kept_places = F.transform(beside(near, equal_words), lambda x: x.bitwiseAND(place))
-    staged_columns = staged_columns.withColumn(places, F.sort_array(kept_places))
+    staged_columns = staged_columns.withColumn(places, _pinned(F.sort_array(kept_places)))
     counted = staged_columns.withColumns({
         "n_words": F.size(tokens).cast("long"),
         "word_chars": F.length(F.translate(whole, BLANKS, "")).cast("long"),
@@ -142,7 +151,4 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", limit:
     inputs = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)])
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     judged = host_rules(inputs, names[host], names[text], limit)
-    # A row number that the filter also reads: without it Spark would move the filter below
-    # the counts and write their expressions out again for every use of each of them.
-    judged = judged.withColumn("row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("row") >= 0)).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return judged.filter("kept").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
