@@ -150,20 +150,20 @@ def likeness(first: Column, a: Column, b: Column) -> Column:
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """Each distinct (id, text hash) with its copies, and the keys before and behind it, ends joined."""
-    distinct = docs.groupBy("doc_id", "hash").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("hash").asc()]
+    """Each distinct (id, text) by its keys, with its copies and the keys of the one before, ends joined."""
+    distinct = docs.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("k2").asc()]
     placed = with_running_totals(distinct, order, rows=F.lit(1))
     placed = staged(placed.withColumnRenamed("rows_total", "total").drop("rows"), "sketch-order")
     before = placed.select(
         F.pmod(F.col("position") + 1, F.col("total")).alias("position"),
-        F.col("doc_id").alias("before_id"),
-        F.col("hash").alias("before_hash"),
+        F.col("k1").alias("before_k1"),
+        F.col("k2").alias("before_k2"),
         F.floor(F.col("n") / 2).cast("int").alias("before_half"),
     )
     joined = placed.join(before, "position")
     return joined.select(
-        F.col("doc_id").alias("of_id"), F.col("hash").alias("of_hash"), "copies", "before_id", "before_hash", "before_half"
+        F.col("k1").alias("of_k1"), F.col("k2").alias("of_k2"), "copies", "before_k1", "before_k2", "before_half"
     )
 
 
@@ -172,21 +172,24 @@ def edited_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Documents are taken by ascending id, null ids last, equal ids by a hash of the text;
     copies that share both follow one another. After the last comes the first. Columns:
-    ``doc_id``, ``n_chars``, ``edited``, and the digests ``own``, ``next_digests``.
+    ``doc_id``, ``next_id``, ``n_chars``, ``edited``, and the digests ``own``, ``next_digests``.
     """
     plain = require(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    plain = plain.withColumn("hash", F.xxhash64("text"))
+    # Two hashes that are never null stand for the pair of id and text: joins and windows on them share one exchange.
+    plain = plain.withColumn("k1", F.xxhash64("doc_id")).withColumn("k2", F.xxhash64("text", F.col("doc_id").isNull()))
     near = staged(_neighbours(plain), "sketch-neighbours")
-    # Texts are dealt out by their key once; what the document before needs of one follows on its own.
-    same = plain["doc_id"].eqNullSafe(near["of_id"]) & (plain["hash"] == near["of_hash"])
+    # Texts are dealt out once; what the document before needs of one follows on its own.
+    same = (plain["k1"] == near["of_k1"]) & (plain["k2"] == near["of_k2"])
     keyed = plain.join(near.hint("shuffle_merge"), same).withColumn("own", paragraph_digests(F.col("text")))
-    copy = F.row_number().over(W.partitionBy("doc_id", "hash").orderBy("before_hash"))
-    keyed = keyed.withColumn("copy", copy)
+    keyed = keyed.withColumn("copy", F.row_number().over(W.partitionBy("k1", "k2").orderBy("before_k1")))
     lent = keyed.filter("copy = 1").select(
-        "before_id", "before_hash", F.left(F.col("text"), F.col("before_half")).alias("lent"), F.col("own").alias("next_own")
+        F.col("before_k1").alias("for_k1"),
+        F.col("before_k2").alias("for_k2"),
+        F.col("doc_id").alias("lent_id"),
+        F.left(F.col("text"), F.col("before_half")).alias("lent"),
+        F.col("own").alias("next_own"),
     )
-    lent = lent.withColumnsRenamed({"before_id": "for_id", "before_hash": "for_hash"})
-    takes = keyed["doc_id"].eqNullSafe(lent["for_id"]) & (keyed["hash"] == lent["for_hash"])
+    takes = (keyed["k1"] == lent["for_k1"]) & (keyed["k2"] == lent["for_k2"])
     joined = keyed.join(lent.hint("shuffle_merge"), takes & (keyed["copy"] == keyed["copies"]), "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -194,6 +197,7 @@ def edited_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     begun = F.when(last_copy, F.col("lent")).otherwise(F.left(F.col("text"), half))
     return joined.select(
         "doc_id",
+        F.when(last_copy, F.col("lent_id")).otherwise(F.col("doc_id")).alias("next_id"),
         n.cast("long").alias("n_chars"),
         F.concat(F.left(F.col("text"), n - half), begun).alias("edited"),
         "own",
@@ -212,6 +216,7 @@ def document_sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     table = edited.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        "next_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "own",
