@@ -42,16 +42,17 @@ def test_exported_documents(spark, tmp_path):
     root = str(tmp_path / "out")
     row = E.export(trip_rows, stations(spark), routes, "all", root)
 
-    days = {r.id: r for r in E.load_day(spark, root).collect()}
-    assert sorted(days) == ["2024-01-01", "2024-01-02"]
-    first = days["2024-01-01"].asDict(True)
-    assert [t["id"] for t in first["trips"]] == ["t1", "t2"]
-    assert first["trips"][1]["routeReversed"] and first["trips"][1]["routeKey"] == "BikePoints_1|BikePoints_3"
-    assert first["trips"][0]["routeShard"] == "shard-0000" and first["trips"][0]["bikeModel"] is None
+    days = {(r.id, r.part): r for r in E.load_day(spark, root).collect()}
+    assert sorted(days) == [("2024-01-01", 0), ("2024-01-01", 1), ("2024-01-02", 0)]
+    first, morning = days["2024-01-01", 0].asDict(True), days["2024-01-01", 1].asDict(True)
+    assert first["trips"] == [] and morning["stations"] == morning["activity"] == [] and morning["summary"] == first["summary"]
+    assert [t["id"] for t in morning["trips"]] == ["t1", "t2"]
+    assert morning["trips"][1]["routeReversed"] and morning["trips"][1]["routeKey"] == "BikePoints_1|BikePoints_3"
+    assert morning["trips"][0]["routeShard"] == "shard-0000" and morning["trips"][0]["bikeModel"] is None
     assert first["summary"] == {"totalTrips": 3, "matchedTrips": 2, "unmatchedTrips": 1, "stationCount": 2, "routedTrips": 2}
     assert [s["stationId"] for s in first["stations"]] == ["1", "3"] and first["stations"][0]["tripCount"] == 3
     assert len(first["activity"]) == 288 and first["activity"][96] == {"time": 28800, "activeTrips": 2}
-    empty = days["2024-01-02"].asDict(True)
+    empty = days["2024-01-02", 0].asDict(True)
     assert empty["trips"] == [] and empty["stations"] == [] and empty["summary"]["totalTrips"] == 1
 
     text = next((tmp_path / "out/raw/kind=day/id=2024-01-01/part=0").glob("*.txt")).read_bytes().rstrip(b"\n")
@@ -61,6 +62,9 @@ def test_exported_documents(spark, tmp_path):
     assert entry.path == f"days/2024-01-01.{entry.hash}.json" and entry.gzipPath == entry.path + ".gz"
     assert 0 < entry.gzipBytes < entry.bytes and (entry.trips, entry.routedTrips) == (2, 2)
 
+    assert [(x.slice, x.trips, x.routedTrips) for x in entry.slices] == [(0, 0, 0), (1, 2, 2)]
+    assert entry.slices[0].path == entry.path and entry.slices[1].path.startswith("days/2024-01-01-0001.")
+
     written = json.loads(next((tmp_path / "out/manifest.json").glob("*.txt")).read_text())
     assert written["dateRange"] == {"minDate": "2024-01-01", "maxDate": "2024-01-02", "tripCount": 4}
     assert written["files"]["routes"]["routeCount"] == 1 and written["files"]["routes"]["shards"][0]["id"] == "shard-0000"
@@ -84,19 +88,27 @@ def test_chosen_days_and_limit(spark, tmp_path):
     assert [d.date for d in limited.days] == ["2024-01-01"] and limited.dateRange.tripCount == 4
 
 
-def test_large_days_split_into_whole_parts(spark):
+def test_every_day_is_cut_the_same_way_and_counts_add_up(spark, tmp_path):
     at = datetime(2024, 1, 1)
-    rows = [(f"n{i}", at + timedelta(seconds=i * 40), 60, "1", "3") for i in range(400)]
-    rows += [(f"burst{i}", at + timedelta(hours=20), 60, "1", "3") for i in range(300)]
-    located = locate_trips(playback_trips(trips(spark, rows)), stations(spark))
-    replay = replay_trips(route_join(located, route_lookup(sample(spark)[1])))
-    parts = E.with_parts(replay, 50)
-    sizes = parts.groupBy("part").count().collect()
-    assert sum(r["count"] for r in sizes) == 700 and len(sizes) >= 12 and max(r["count"] for r in sizes) <= 110
-    assert E.with_parts(replay, 700).select("part").distinct().collect() == [(0,)]
-    spans = parts.filter(F.col("journey_id").startswith("n")).groupBy("part").agg(F.min("start_second").alias("lo"), F.max("start_second").alias("hi"))
-    ordered = spans.orderBy("part").collect()
-    assert all(a.hi < b.lo for a, b in zip(ordered, ordered[1:]))
+    rows = [(f"n{i}", at + timedelta(seconds=i * 400), 60, "1", "3") for i in range(200)]
+    rows += [(f"burst{i}", at + timedelta(hours=20), 60, "1", "404" if i % 3 else "3") for i in range(30)]
+    rows += [("later", at + timedelta(days=3, hours=23), 60, "1", "3")]
+    row = E.export(trips(spark, rows), stations(spark), sample(spark)[1], "all", str(tmp_path / "s"), slice_seconds=900).first()
+    first, later = row.days
+    assert len(first.slices) > 80 and [x.slice for x in later.slices] == [0, 92]
+    for day in row.days:
+        assert sum(x.trips for x in day.slices) == day.trips and sum(x.routedTrips for x in day.slices) == day.routedTrips
+    assert (first.trips, later.trips) == (210, 1)
+    documents = E.load_day(spark, str(tmp_path / "s")).select("id", "part", F.size("trips").alias("n")).collect()
+    assert {(r.id, r.part): r.n for r in documents} == {(d.date, x.slice): x.trips for d in row.days for x in d.slices}
+
+
+def test_every_station_page_is_listed(spark, tmp_path):
+    pages = E.station_master_document(stations(spark), 2)
+    assert [r.stations_in_document for r in pages.orderBy("part").collect()] == [2, 1]
+    trip_rows, routes = sample(spark)
+    row = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "p")).first()
+    assert [f.stationCount for f in row.files.bikepoints.files] == [3] and row.files.bikepoints.files[0].path == row.files.bikepoints.path
 
 
 def test_shard_documents_keep_one_entry_per_key(spark):

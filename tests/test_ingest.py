@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -12,7 +13,8 @@ from velospan.plans import catalog, ingest
 from velospan.plans import ledger as L
 from velospan.sources.listing import read_listing
 from velospan.sources.station_master import flatten_stations, read_station_master
-from velospan.sources.trip_files import profile_csv, read_trip_csv
+from velospan.operators.normalize import normalize_trips
+from velospan.sources.trip_files import read_trip_csv, scan_csv
 from velospan.sources.trips import scan_trips, write_by_source
 
 OLD = "Rental Id,Bike Id,Start Date,End Date,StartStation Id,StartStation Name,EndStation Id,EndStation Name,Duration"
@@ -154,8 +156,11 @@ def test_row_numbers_hold_across_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         paths = [str(tmp_path / f"{n}.csv") for n in files]
-        assert profile_csv(spark, paths).count() > 10
-        rows = read_trip_csv(spark, paths).withColumn("name", F.regexp_extract("file", r"(\w+)\.csv$", 1))
+        scan = scan_csv(spark, paths)
+        assert scan.profile.count() > 10
+        # Read with other splits than those that were profiled.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        rows = read_trip_csv(spark, paths, scan).withColumn("name", F.regexp_extract("file", r"(\w+)\.csv$", 1))
         wrong = rows.filter(F.col("source_row_number") != F.get("fields", 0).cast("bigint"))
         assert wrong.count() == 0
         assert {r.name: r["count"] for r in rows.groupBy("name").count().collect()} == files
@@ -163,6 +168,25 @@ def test_row_numbers_hold_across_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_blocks_without_a_profile_are_an_error(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("\n".join([OLD, *[old_row(i) for i in range(1, 50)]]) + "\n")
+    scan = scan_csv(spark, [str(tmp_path / "one.csv")])
+    with pytest.raises(Exception, match="no profile for a block"):
+        read_trip_csv(spark, [], replace(scan, profile=scan.profile.filter("block > 0").union(scan.profile.withColumn("block", F.lit(-1).cast("bigint"))))).collect()
+
+
+def test_blank_header_cells_keep_their_place(spark, tmp_path):
+    names, cells = OLD.split(","), old_row(1).split(",")
+    for place in (0, 2, len(names)):
+        header, row = [*names[:place], "", *names[place:]], [*cells[:place], "odd", *cells[place:]]
+        (tmp_path / f"b{place}.csv").write_text("\n".join([",".join(header), ",".join(row)]) + "\n")
+    (tmp_path / "plain.csv").write_text(f"{OLD}\n{old_row(1)}\n")
+    rows = read_trip_csv(spark, [str(tmp_path / f"{n}.csv") for n in ("b0", "b2", f"b{len(names)}", "plain")])
+    trips = normalize_trips(rows.withColumn("source_key", F.lit("k")).withColumn("source_etag", F.lit("e")))
+    assert trips.count() == 4 and trips.distinct().count() == 1
+    assert trips.filter("start_at IS NULL OR start_station_name IS NULL OR duration_seconds IS NULL").count() == 0
+
+
 def test_listing_pages(spark, tmp_path):
     (tmp_path / "a.xml").write_text(page([("p/", 0, "d", "x"), ("p/1", 3, "d1", "e1"), ("p/2", 0, "d2", "e2")]))
     (tmp_path / "b.xml").write_text(page([("p/3", 4, "d3", "e3")], "2"))

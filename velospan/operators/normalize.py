@@ -44,14 +44,16 @@ def unknown_layout_message(header: Column) -> Column:
 def with_layout(rows: DataFrame) -> DataFrame:
     """Replace ``header`` by ``layout`` and ``places``, where each canonical column stands.
 
-    Readers apply this to their table of headers, so it runs once per file.
+    It costs the same for a table of headers as for one row of many; the readers give
+    every row its header, and ``normalize_trips`` resolves it there.
     """
     named = rows.select("*", detect_layout(F.col("header")).alias("layout"))
     names = [F.lit([layout.headers.get(column, "") for column in _COLUMNS]) for layout in LAYOUTS]
     chain = F.when(F.col("layout") == LAYOUTS[0].name, names[0])
     for layout, list_of_names in zip(LAYOUTS[1:], names[1:]):
         chain = chain.when(F.col("layout") == layout.name, list_of_names)
-    places = F.transform(chain, lambda name: F.array_position("header", name).cast("int"))
+    # A column the layout lacks has no name; a blank header cell is not that column.
+    places = F.transform(chain, lambda name: F.when(name == "", 0).otherwise(F.array_position("header", name)).cast("int"))
     return named.select("*", places.alias("places")).drop("header")
 
 

@@ -1,9 +1,8 @@
 """Replay export: day, shard and station documents as JSON text, their sizes and the manifest.
 
-Documents are rows (kind, id, part, path, hash, json, bytes). A day is one
-document up to ``DOCUMENT_TRIPS`` trips; a larger day is split into parts along
-the clock, each a document of the same shape, so that no task ever holds more
-than a document's worth of trips.
+Documents are rows (kind, id, part, path, hash, json, bytes). A day is always cut
+into the same slices of the clock, each a document of the same shape; stations come
+in pages. How documents are cut does not depend on how much there is.
 """
 
 from __future__ import annotations
@@ -12,10 +11,8 @@ from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from velospan.functions.clock import BIN_SECONDS
 from velospan.operators.replay import (
     activity_bins,
     date_range,
@@ -47,8 +44,9 @@ STATIONS_PATH = "stations/bikepoints-v1"
 HASH_DIGITS = 12
 # End of fixed values.
 
-DOCUMENT_TRIPS = 200_000
-DOCUMENT_STATIONS = 200_000
+#: Seconds of a slice of the day and stations of a page: documents at every size are cut the same way.
+SLICE_SECONDS = 6 * 3600
+PAGE_STATIONS = 200_000
 
 _AS_WRITTEN = {"ignoreNullFields": "false"}
 
@@ -70,47 +68,29 @@ def _part_suffix() -> Column:
     return F.when(F.col("part") > 0, F.format_string("-%04d", "part")).otherwise(F.lit(""))
 
 
-def with_parts(replay: DataFrame, limit: int = DOCUMENT_TRIPS) -> DataFrame:
-    """Add ``part``: 0 on days of up to ``limit`` trips, slices of the clock on larger days.
-
-    Trips are counted per bin of the day, and bins are laid out along the day's
-    running count. A bin that alone exceeds the limit is cut further by a hash of
-    the trip, so a burst in one second splits as well.
-    """
-    slot = F.floor(F.col("start_second") / BIN_SECONDS).cast("int")
-    slotted = replay.withColumn("_slot", slot)
-    bins = slotted.groupBy("day", "_slot").agg(F.count(F.lit(1)).alias("trips"))
-    before = W.partitionBy("day").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    laid_out = bins.select(
-        "day",
-        "_slot",
-        "trips",
-        F.coalesce(F.sum("trips").over(before), F.lit(0)).alias("earlier"),
-        F.sum("trips").over(W.partitionBy("day")).alias("whole_day"),
-    )
-    # At most one row per bin of a day that is too large for one document: usually none.
-    busy = laid_out.filter(F.col("whole_day") > limit).drop("whole_day")
-    plan = staged(busy, "document-parts").withColumnRenamed("trips", "_trips")
-    pieces = F.ceil(F.col("_trips") / limit)
-    piece = F.pmod(F.xxhash64("journey_id", "bike_id", "start_at", "start_station_key"), pieces)
-    ahead = F.col("earlier") + F.floor(piece * F.col("_trips") / pieces)
-    part = F.coalesce(F.floor(ahead / limit).cast("int"), F.lit(0))
-    return slotted.join(plan, ["day", "_slot"], "left").withColumn("part", part).drop("_slot", "_trips", "earlier")
+def with_parts(replay: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Add ``part``: the slice of the clock that a trip starts in."""
+    return replay.withColumn("part", F.floor(F.col("start_second") / slice_seconds).cast("int"))
 
 
 def day_documents(
-    replay: DataFrame, stations: DataFrame, activity: DataFrame, summary: DataFrame, limit: int = DOCUMENT_TRIPS
+    replay: DataFrame, stations: DataFrame, activity: DataFrame, summary: DataFrame, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
-    """One document per day (or day part): trips by start then id, stations, activity, summary.
+    """One document per slice of a day: trips by start then id, stations, activity, summary.
 
-    ``stations`` are ``station_records`` with ``day``. Parts after the first carry
-    their trips and the day's summary.
+    ``stations`` are ``station_records`` with ``day``. Every day has a first slice, which
+    carries its stations and activity; later ones exist where trips start in them, and
+    carry their trips and the day's summary. Each counts its own trips.
     """
     keyed = F.struct("start_at", "journey_id", trip_record().alias("record"))
     trips = (
-        with_parts(replay, limit)
+        with_parts(replay, slice_seconds)
         .groupBy("day", "part")
-        .agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda row: row["record"]).alias("trips"))
+        .agg(
+            F.transform(F.array_sort(F.collect_list(keyed)), lambda row: row["record"]).alias("trips"),
+            F.count(F.lit(1)).alias("trips_in_slice"),
+            F.count("route_key").alias("routed_in_slice"),
+        )
     )
     ordered = F.struct((-F.col("tripCount")).alias("rank"), "id", F.struct(*stations.drop("day").columns).alias("record"))
     drawn = stations.groupBy("day").agg(
@@ -125,7 +105,7 @@ def day_documents(
         F.col("station_count").alias("stationCount"),
         F.col("routed_trips").alias("routedTrips"),
     )
-    days = summary.select("day", "matched_trips", "routed_trips", totals.alias("summary"))
+    days = summary.select("day", totals.alias("summary"))
     # A day without a matched trip still has its (empty) first part.
     parts = days.select("day", F.lit(0).alias("part")).unionByName(trips.filter("part > 0").select("day", "part"))
     full = parts.join(days, "day").join(trips, ["day", "part"], "left").join(drawn, "day", "left").join(bins, "day", "left")
@@ -143,10 +123,9 @@ def day_documents(
         "summary",
     )
     path = F.concat(F.lit("days/"), iso, _part_suffix())
-    counts = full.withColumns({"trips_in_day": F.col("matched_trips"), "routed_in_day": F.col("routed_trips")})
-    return _documents(
-        counts, "day", iso, path, F.to_json(body, _AS_WRITTEN), "trips_in_day", "routed_in_day"
-    )
+    counts = ["trips_in_slice", "routed_in_slice"]
+    counted = full.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    return _documents(counted, "day", iso, path, F.to_json(body, _AS_WRITTEN), *counts)
 
 
 def shard_documents(routes: DataFrame, shards: DataFrame, provider: str) -> DataFrame:
@@ -173,8 +152,8 @@ def shard_documents(routes: DataFrame, shards: DataFrame, provider: str) -> Data
     )
 
 
-def station_master_document(stations: DataFrame, limit: int = DOCUMENT_STATIONS) -> DataFrame:
-    """The station master, sorted by id, as one document (in parts beyond ``limit`` stations)."""
+def station_master_document(stations: DataFrame, limit: int = PAGE_STATIONS) -> DataFrame:
+    """The station master, sorted by id, in pages of ``limit`` stations."""
     record = F.struct(
         F.col("bikepoint_id").alias("bikepointId"),
         F.col("bikepoint_number").alias("bikepointNumber"),
@@ -239,7 +218,8 @@ def manifest(
 ) -> DataFrame:
     """The one-row manifest over ``export_sizes`` rows of day, shard and station documents.
 
-    It lists documents, not rows: one entry per day part and per shard.
+    It lists documents, not rows: an entry per day with its slices, per shard and per
+    station page. A day's own file is its first slice, and its counts add up all slices.
     """
 
     def entries(df: DataFrame, order: list[str], **fields: Column | str) -> Column:
@@ -248,8 +228,14 @@ def manifest(
         return F.transform(rows, lambda row: row["record"])
 
     files = dict(path="path", gzipPath=F.concat("path", F.lit(".gz")), hash="hash", bytes="bytes", gzipBytes="gzip_bytes")
-    day_rows = days.agg(
-        entries(days, ["id", "part"], date="id", trips="trips_in_day", routedTrips="routed_in_day", **files).alias("days")
+    sliced = days.groupBy("id").agg(
+        entries(days, ["part"], slice="part", trips="trips_in_slice", routedTrips="routed_in_slice", **files).alias("slices"),
+        F.sum("trips_in_slice").alias("trips_in_day"),
+        F.sum("routed_in_slice").alias("routed_in_day"),
+    )
+    own = {name: F.col("slices")[0][name] for name in files}
+    day_rows = sliced.agg(
+        entries(sliced, ["id"], date="id", trips="trips_in_day", routedTrips="routed_in_day", **own, slices="slices").alias("days")
     )
     shard_rows = shards.agg(
         entries(shards, ["id"], id="id", routeCount="routes_in_shard", **files).alias("shards"),
@@ -287,6 +273,7 @@ def manifest(
     station_file = F.struct(
         *[F.col("station_files")[0][name].alias(name) for name in ("path", "gzipPath", "hash", "bytes", "gzipBytes")],
         F.col("station_count").alias("stationCount"),
+        F.col("station_files").alias("files"),
     )
     return joined.select(
         F.lit(VERSION).alias("version"),
@@ -323,12 +310,12 @@ def export(
     limit_days: int | None = None,
     target_gzip_bytes: int = SHARD_GZIP_BYTES,
     compression_ratio: float = SHARD_COMPRESSION,
-    document_trips: int = DOCUMENT_TRIPS,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Write every document and the manifest; returns the manifest row.
 
-    All days are exported by one job: located and routed trips are written once,
-    partitioned by day, and every document reads from that table.
+    All days are exported by one job: located and routed trips are written once, and
+    every document reads from that table.
     """
     chosen = staged(select_days(trips, days, limit_days), "days")
     shards = staged(pack_shards(routes, target_gzip_bytes, compression_ratio), "shards")
@@ -340,7 +327,7 @@ def export(
 
     # Written once: documents carry whole JSON texts that sizes, sinks and manifest all use.
     day_rows = staged(
-        day_documents(replay, records, activity_bins(routed, chosen), summary, document_trips), "day-documents"
+        day_documents(replay, records, activity_bins(routed, chosen), summary, slice_seconds), "day-documents"
     )
     shard_rows = staged(shard_documents(routes, shards, provider), "shard-documents")
     station_rows = staged(station_master_document(stations), "station-documents")
@@ -380,7 +367,7 @@ def _read_documents(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 
 def load_day(spark: SparkSession, root: str, day: date | None = None) -> DataFrame:
-    """Exported day documents read back, one row per part; of one day when it is given."""
+    """Exported day documents read back, one row per slice; of one day when it is given."""
     texts = _read_documents(spark, root, "day")
     if day is not None:
         texts = texts.filter(F.col("id") == day.isoformat())

@@ -24,9 +24,9 @@ from velospan.sources.station_master import flatten_stations, read_station_maste
 from velospan.sources.trip_files import (
     csv_fingerprints,
     csv_headers,
-    profile_csv,
     read_trip_csv,
     read_zip_members,
+    scan_csv,
     unique_members,
     zip_directory,
 )
@@ -87,14 +87,14 @@ def _paths(spark: SparkSession, root: str, plan: DataFrame, suffix: str) -> list
 
 def _flat_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, one row per unusable file with its error) of flat CSV files."""
-    profile = profile_csv(spark, paths)
-    heads = csv_headers(profile)
+    scan = scan_csv(spark, paths)
+    heads = csv_headers(scan.profile)
     key = _key_of(F.col("file"), True).alias("source_key")
     problem = F.when(F.col("bad_bytes"), F.lit("File is not valid UTF-8")).when(
         detect_layout(F.col("header")).isNull(), unknown_layout_message(F.col("header"))
     )
     found = heads.select(key, problem.alias("error"))
-    rows = read_trip_csv(spark, paths, profile).withColumn("source_key", _key_of(F.col("file"), True))
+    rows = read_trip_csv(spark, paths, scan).withColumn("source_key", _key_of(F.col("file"), True))
     return rows, found
 
 

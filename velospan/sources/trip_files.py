@@ -10,6 +10,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,24 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def profile_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class CsvScan:
+    """Positioned lines of flat files, written once, and the profile of their blocks.
+
+    Row numbers are differences of places in ``lines``. Both tables come from one scan:
+    a second scan may split files in other places, and blocks would then not agree.
+    """
+
+    lines: DataFrame
+    profile: DataFrame
+
+
+def scan_csv(spark: SparkSession, paths: list[str]) -> CsvScan:
+    lines = staged(_lines(spark, paths), "csv-lines")
+    return CsvScan(lines, profile_csv(lines))
+
+
+def profile_csv(lines: DataFrame) -> DataFrame:
     """One row per block of every file: lines before it, its first scan number, the file's header line.
 
     One pass with partial aggregation. ``bad_bytes`` marks files that are not
@@ -45,8 +63,7 @@ def profile_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     blocks = (
-        _lines(spark, paths)
-        .groupBy("file", "block")
+        lines.groupBy("file", "block")
         .agg(
             F.count(F.lit(1)).alias("lines"),
             F.min("seq").alias("first_seq"),
@@ -86,32 +103,44 @@ def _parsed(line: Column, width: int) -> Column:
     return F.transform(F.array(parsed), lambda row: F.array(*[row[name] for name in names]))[0]
 
 
-def read_trip_csv(spark: SparkSession, paths: list[str], profile: DataFrame | None = None) -> DataFrame:
+def _header(cells: Column) -> Column:
+    """Header cells by place: blanks between names stay, so that names keep their columns."""
+    named = F.transform(cells, lambda cell, i: F.when(cell.isNotNull(), i + 1).otherwise(0))
+    own = F.slice(cells, 1, F.coalesce(F.array_max(named), F.lit(0)))
+    return F.transform(own, lambda cell: F.coalesce(cell, F.lit("")))
+
+
+def read_trip_csv(spark: SparkSession, paths: list[str], scan: CsvScan | None = None) -> DataFrame:
     """Rows of flat CSV files with any mix of headers, all text, empty text as null.
 
     Files are split like any text file: row numbers come from the block profile,
-    not from a window over the file. Only files with quoted line breaks are read
-    whole, one task per file, because CSV gives no other way to find their rows.
-    Files that are not UTF-8 are left out (``bad_csv_files`` names them).
+    not from a window over the file, and a line of a block without one is an error.
+    Only files with quoted line breaks are read whole, one task per file, because CSV
+    gives no other way to find their rows. Files that are not UTF-8 are left out
+    (``csv_headers`` marks them).
     """
-    profile = profile_csv(spark, paths) if profile is None else profile
+    scan = scan_csv(spark, paths) if scan is None else scan
+    profile = scan.profile
     width = _width(profile)
     usable = profile.filter(~F.col("bad_bytes"))
-    clean_header = F.regexp_replace("header_line", "^\\ufeff", "")
-    header = F.array_compact(_parsed(clean_header, width))
+    header = _header(_parsed(F.regexp_replace("header_line", "^\\ufeff", ""), width))
 
-    split = usable.filter(~F.col("multiline")).select("file", "block", "first_seq", "earlier", header.alias("header"))
+    known = profile.select("file", "block", "first_seq", "earlier", "bad_bytes", "multiline", header.alias("header"))
+    number = F.col("earlier") + F.col("seq") - F.col("first_seq")
+    unknown = F.raise_error(F.concat(F.lit("no profile for a block of "), "file"))
+    checked = F.when(number >= 0, number).otherwise(unknown.cast("bigint"))
     rows = (
-        _lines(spark, paths)
-        .join(split, ["file", "block"])
+        scan.lines.join(known, ["file", "block"], "left")
+        # Tied to the row, so that no filter is moved below and drops what should be an error.
+        .withColumn("source_row_number", F.when(F.monotonically_increasing_id() >= 0, checked))
+        .filter(~F.col("bad_bytes") & ~F.col("multiline") & (F.col("source_row_number") > 0))
         .select(
             "file",
             F.lit(None).cast("string").alias("source_member"),
-            (F.col("earlier") + F.col("seq") - F.col("first_seq")).alias("source_row_number"),
+            "source_row_number",
             "header",
             _parsed(F.col("value"), width).alias("fields"),
         )
-        .filter(F.col("source_row_number") > 0)
     )
     # A list of file names, one per file with quoted line breaks.
     broken = [row.file for row in usable.filter("multiline").select("file").distinct().toLocalIterator()]
@@ -133,7 +162,7 @@ def _read_multiline(spark: SparkSession, paths: list[str], width: int) -> DataFr
     table = staged(read, "csv-multiline")
     first = table.groupBy("file").agg(F.min("seq").alias("first_seq"))
     headers = table.join(first, "file").filter(F.col("seq") == F.col("first_seq"))
-    headers = headers.select("file", "first_seq", F.array_compact("fields").alias("header"))
+    headers = headers.select("file", "first_seq", _header(F.col("fields")).alias("header"))
     return (
         table.join(headers, "file")
         .select(
@@ -150,7 +179,7 @@ def _read_multiline(spark: SparkSession, paths: list[str], width: int) -> DataFr
 def csv_headers(profile: DataFrame) -> DataFrame:
     """(file, header, bad_bytes), one row per flat file."""
     width = _width(profile)
-    header = F.array_compact(_parsed(F.regexp_replace("header_line", "^\\ufeff", ""), width))
+    header = _header(_parsed(F.regexp_replace("header_line", "^\\ufeff", ""), width))
     return profile.groupBy("file").agg(
         F.first(header).alias("header"), F.first("bad_bytes").alias("bad_bytes")
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,31 @@ def _write_zip(t: Tables, folder: str) -> None:
     bucketed.groupBy("bucket").applyInPandas(pack, "bucket bigint").count()
 
 
+def member_copies(t: Tables) -> str:
+    """Flat copies of the first three members of every second archive, byte for byte."""
+
+    def write(folder: str) -> None:
+        def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs
+
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"], strict=True):
+                    bucket = int(re.search(r"trips-(\d+)\.zip$", path)[1])
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        names = [n for n in archive.namelist() if n < "layout3"] if bucket % 2 == 0 else []
+                        system, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+                        system.create_dir(root, recursive=True)
+                        for name in names:
+                            with system.open_output_stream(f"{root}/{bucket}-{name.lower()}") as out:
+                                out.write(archive.read(name))
+                yield pd.DataFrame({"path": batch["path"]})
+
+        archives = t.spark.read.format("binaryFile").load(trip_zip(t)).select("path", "content")
+        archives.mapInPandas(unpack, "path string").count()
+
+    return t.once("landed-copies", write)
+
+
 def listing_pages(t: Tables) -> str:
     """Listing pages as XML, and one page per part of the listing."""
     folder = fresh_path(t.spark, "landed-listing")

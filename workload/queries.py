@@ -288,13 +288,17 @@ def day_summary(t: Tables) -> DataFrame:
     return replay.day_summary(t.routed, t.playback, t.stations).withColumn("day", F.col("day").cast("string"))
 
 
-@query("""SELECT '2024-01-01' AS day, 0 AS total_trips, 0 AS station_count WHERE 1 = 0
-          UNION ALL SELECT cast(d AS VARCHAR), count(journey_id), 0 FROM
-            (SELECT cast(unnest(['2023-12-31', '2024-01-03', '2024-02-29']) AS DATE) AS d) LEFT JOIN playback ON day = d GROUP BY d""")
+@query("""SELECT cast(d AS VARCHAR) AS day, count(r.journey_id) AS total_trips, count(*) FILTER (ok) AS matched_trips,
+          count(*) FILTER (r.journey_id IS NOT NULL AND NOT ok) AS unmatched_trips, coalesce(any_value(station_count), 0) AS station_count,
+          count(*) FILTER (ok AND route_key IS NOT NULL) AS routed_trips
+          FROM (SELECT cast(unnest(['2023-12-31', '2024-01-03', '2024-02-29']) AS DATE) AS d)
+          LEFT JOIN (SELECT *, start_lat IS NOT NULL AND end_lat IS NOT NULL AS ok FROM routed) r ON r.day = d
+          LEFT JOIN (SELECT day, count(*) AS station_count FROM (SELECT DISTINCT day, station_id, station_name FROM ends) e
+                JOIN matches m ON m.station_id IS NOT DISTINCT FROM e.station_id AND m.station_name = e.station_name
+                WHERE m.lat IS NOT NULL GROUP BY day) c ON c.day = d GROUP BY d""")
 def empty_days(t: Tables) -> DataFrame:
     days = replay.select_days(t.trips, [date(2023, 12, 31), DAY, date(2024, 2, 29), DAY])
-    summary = replay.day_summary(t.routed, t.playback, t.stations, days)
-    return summary.select(_day(), "total_trips", F.lit(0).alias("station_count"))
+    return replay.day_summary(t.routed, t.playback, t.stations, days).withColumn("day", F.col("day").cast("string"))
 
 
 _ACTIVITY_BINS = """SELECT day, bin * 300 AS time, count(m.day2) AS active_trips FROM
@@ -393,13 +397,16 @@ def route_path(t: Tables) -> DataFrame:
     return points.select("journey_id", (F.col("at") + 1).cast("bigint").alias("point"), lon, lat)
 
 
-@query("""SELECT r.place, r.route_key, r.route_bytes, 'shard-' || lpad(cast(r.shard AS VARCHAR), 4, '0') AS shard_id FROM (
+_PACKED = """SELECT r.place, r.route_key, r.route_bytes, 'shard-' || lpad(cast(r.shard AS VARCHAR), 4, '0') AS shard_id FROM (
     SELECT s.*, max(p.shard) OVER (ORDER BY s.n) AS shard FROM sized s LEFT JOIN packed p ON p.n = s.n) r""".replace(
     "FROM sized s", "FROM (SELECT row_number() OVER (ORDER BY place) AS n, place, route_key, length(cast(to_json(map {route_key: coordinates}) AS VARCHAR)) AS route_bytes FROM routes) s"
 ).replace("packed p", """(WITH RECURSIVE sized AS (SELECT row_number() OVER (ORDER BY place) AS n, length(cast(to_json(map {route_key: coordinates}) AS VARCHAR)) AS b FROM routes),
       walk AS (SELECT n, b AS held, 0 AS shard, true AS opens FROM sized WHERE n = 1
         UNION ALL SELECT z.n, CASE WHEN w.held + z.b > 4000 THEN z.b ELSE w.held + z.b END, CASE WHEN w.held + z.b > 4000 THEN w.shard + 1 ELSE w.shard END,
-          w.held + z.b > 4000 FROM walk w JOIN sized z ON z.n = w.n + 1) SELECT n, shard FROM walk) p"""))
+          w.held + z.b > 4000 FROM walk w JOIN sized z ON z.n = w.n + 1) SELECT n, shard FROM walk) p""")
+
+
+@query(_PACKED)
 def pack_shards(t: Tables) -> DataFrame:
     return routes.pack_shards(t.routes, *SHARD_TARGET)
 
@@ -630,12 +637,13 @@ def zip_directory(t: Tables) -> DataFrame:
     return members.groupBy("source_member").agg(F.count(F.lit(1)).alias("archives"))
 
 
-@query()
+@query("""SELECT DISTINCT 'trips-' || (event_id // 1000) || '.zip' AS archive, 'layout' || (event_id % 5) || '.CSV' AS source_member
+          FROM raw WHERE event_id % 5 < 3 AND event_id // 1000 % 2 = 0""")
 def duplicate_members(t: Tables) -> DataFrame:
-    directory = staged(trip_files.zip_directory(t.spark, landing.trip_zip(t)), "directory")
-    known = directory.filter(F.col("source_member") < "layout3")
+    directory = trip_files.zip_directory(t.spark, landing.trip_zip(t))
+    known = trip_files.csv_fingerprints(t.spark, [landing.member_copies(t)])
     name = F.regexp_extract("file", r"([^/]+)$", 1).alias("archive")
-    return trip_files.duplicate_members(directory, known).select(name, "source_member", "file_size", "crc32")
+    return trip_files.duplicate_members(directory, known).select(name, "source_member")
 
 
 @query("""SELECT ordinal, bikepoint_id AS id, ' ' || common_name AS "commonName", round(lat, 6) AS lat, round(lon, 6) AS lon, 8 AS properties FROM stations""")
@@ -755,22 +763,37 @@ def _day_documents(t: Tables) -> DataFrame:
     return export.day_documents(replay.replay_trips(routed), records, replay.activity_bins(routed), summary)
 
 
-@query("""SELECT cast(day AS VARCHAR) AS id, 0 AS part, count(*) AS trips_in_day, count(route_key) AS routed_in_day FROM replay GROUP BY day""")
+_SLICES = """(SELECT day, part, count(journey_id) AS trips, count(route_key) AS routed FROM
+    (SELECT DISTINCT day, 0 AS part, NULL AS journey_id, NULL AS route_key FROM playback
+     UNION ALL SELECT day, {s} // 21600, journey_id, route_key FROM replay) GROUP BY day, part)""".format(s=second("start_at"))
+
+
+@query(f"SELECT cast(day AS VARCHAR) AS id, part, trips AS trips_in_slice, routed AS routed_in_slice FROM {_SLICES}")
 def export_days(t: Tables) -> DataFrame:
-    return _day_documents(t).select("id", "part", "trips_in_day", "routed_in_day")
+    return _day_documents(t).select("id", "part", "trips_in_slice", "routed_in_slice")
 
 
-@query()
+@query("""SELECT 'day' AS kind, cast(day AS VARCHAR) AS id, true AS has_bytes, true AS packs_smaller, true AS named_by_hash
+          FROM replay GROUP BY day""")
 def export_sizes(t: Tables) -> DataFrame:
     root, documents = fresh_path(t.spark, "day-export"), staged(_day_documents(t), "day-documents")
     export.write_documents(documents, root)
-    return export.export_sizes(documents, root).select("kind", "id", "part", "path", "hash", "bytes", "gzip_bytes")
+    sizes = export.export_sizes(documents, root)
+    text = F.sum("bytes")
+    return sizes.groupBy("kind", "id").agg(
+        (text > 0).alias("has_bytes"),
+        (F.sum("gzip_bytes") < text).alias("packs_smaller"),
+        F.bool_and(F.col("path").contains(F.col("hash"))).alias("named_by_hash"),
+    )
 
 
-@query()
+@query(f"""SELECT shard_id AS id, count(DISTINCT route_key) AS routes_in_shard, true AS named_by_hash, true AS has_bytes
+          FROM ({_PACKED}) GROUP BY shard_id""")
 def export_shards(t: Tables) -> DataFrame:
     packed = routes.pack_shards(t.routes, *SHARD_TARGET)
-    return export.shard_documents(t.routes, packed, "all").select("id", "path", "hash", "bytes", "routes_in_shard")
+    documents = export.shard_documents(t.routes, packed, "all")
+    named = F.col("path").contains(F.col("hash")).alias("named_by_hash")
+    return documents.select("id", "routes_in_shard", named, (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("SELECT 'stations' AS id, 0 AS part, count(*) AS stations_in_document FROM stations")
@@ -778,19 +801,26 @@ def station_master_document(t: Tables) -> DataFrame:
     return export.station_master_document(t.stations).select("id", "part", "stations_in_document")
 
 
-@query("""SELECT 1 AS version, (SELECT count(*) FROM trips) AS trip_count, (SELECT count(*) FROM routes) AS route_count,
-          (SELECT count(*) FROM stations) AS station_count, (SELECT count(DISTINCT day) FROM playback) AS days,
-          (SELECT count(*) FROM replay) AS day_trips""")
+@query(f"""SELECT 1 AS version, (SELECT count(*) FROM trips) AS trip_count, (SELECT count(*) FROM routes) AS route_count,
+          (SELECT count(*) FROM stations) AS station_count, (SELECT count(*) FROM stations) AS listed_stations, cast(day AS VARCHAR) AS date,
+          cast(sum(trips) AS BIGINT) AS trips, cast(sum(routed) AS BIGINT) AS routed_trips, count(*) AS slices,
+          string_agg(part || ':' || trips || ':' || routed, ',' ORDER BY part) AS slice_counts FROM {_SLICES} GROUP BY day""")
 def manifest(t: Tables) -> DataFrame:
     row = _exported(t)[1]
-    counted = F.aggregate("days", F.lit(0).cast("bigint"), lambda total, d: total + d["trips"])
-    return row.select(
+    listed = F.aggregate("files.bikepoints.files", F.lit(0).cast("bigint"), lambda total, f: total + f["stationCount"])
+    each = row.select("version", "dateRange", "files", listed.alias("listed"), F.explode("days").alias("d"))
+    counts = F.transform("d.slices", lambda s: F.concat_ws(":", s["slice"], s["trips"], s["routedTrips"]))
+    return each.select(
         "version",
         F.col("dateRange.tripCount").alias("trip_count"),
         F.col("files.routes.routeCount").alias("route_count"),
         F.col("files.bikepoints.stationCount").alias("station_count"),
-        F.size("days").alias("days"),
-        counted.alias("day_trips"),
+        F.col("listed").alias("listed_stations"),
+        F.col("d.date").alias("date"),
+        F.col("d.trips").alias("trips"),
+        F.col("d.routedTrips").alias("routed_trips"),
+        F.size("d.slices").alias("slices"),
+        F.array_join(counts, ",").alias("slice_counts"),
     )
 
 
