@@ -8,6 +8,8 @@ text's ids are then gathered with numpy. The ids equal those of the whole text.
 
 from __future__ import annotations
 
+import json
+import re
 from functools import cache
 from itertools import chain
 
@@ -17,12 +19,55 @@ import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 #: Text bytes that are split at a time, words a worker remembers, and new words encoded at a time.
-SLICE_BYTES, CACHE_WORDS, ENCODED_AT_ONCE = 3_000_000, 250_000, 4096
+SLICE_BYTES, CACHE_WORDS, ENCODED_AT_ONCE = 3_000_000, 120_000, 4096
 # Punctuation that is split off at the end of a word. Only behind Latin-1 letters,
 # which neither normalization nor lower-casing turns into more than one character.
 _WORD_END = r"([a-z0-9À-ÖØ-öø-ÿ])([,.#$%&*|]+)( |$)"
 
 
+#: Ends a word inside :class:`LetterWords`; words that may hold it are not given to it.
+_TERMINATOR = "\x01"
+_SUFFIX = "</w>"
+#: Words that are one piece for the tokenizer and that its normalizer leaves as they are.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+
+
+def _byte_names() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others shifted up."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class LetterWords:
+    """Ids of many words of letters in one call, by the same merges with word ends as a byte of their own.
+
+    The vocabulary's order is that of its merges, and a letter with the word's end comes
+    before all of them, so a letter and the terminator merge first, as they should.
+    """
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        names, end = _byte_names(), _TERMINATOR.encode()
+        ranks = {}
+        for token, number in vocabulary.items():
+            known = all(c in names for c in token.removesuffix(_SUFFIX))
+            if known:
+                ranks[bytes(names[c] for c in token.removesuffix(_SUFFIX)) + end * token.endswith(_SUFFIX)] = number
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith(_SUFFIX)]] = True
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and how many each word has."""
+        joined = _TERMINATOR.join(words) + _TERMINATOR
+        ids = np.array(self.encoding.encode_ordinary(joined), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer for which blanks only separate words."""
 
@@ -30,6 +75,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = LetterWords(path)
         self.place: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
@@ -49,14 +95,21 @@ class WordEncoder:
         """Where each of the distinct parts stands in the cache, encoding new ones."""
         if len(self.place) > CACHE_WORDS:
             self._keep(parts)
-        new = [x for x in parts if x not in self.place]
+        unknown = [x for x in parts if x not in self.place]
+        plain = [x for x in unknown if _LETTERS(x)]
+        new = [x for x in unknown if not _LETTERS(x)]
         flats, lengths = [self.ids], []
         for at in range(0, len(new), ENCODED_AT_ONCE):
             some = self.tokenizer.encode_batch_fast(new[at : at + ENCODED_AT_ONCE], add_special_tokens=False)
             ids = [e.ids for e in some]
             lengths += map(len, ids)
             flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, sum(lengths[at:])))
-        if new:
+        if plain:
+            ids, counts = self.letters.encode(plain)
+            flats.append(ids)
+            lengths += counts.tolist()
+        if unknown:
+            new += plain
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
             self.ids = np.concatenate(flats)
