@@ -147,22 +147,35 @@ class _Plan:
             self.leave(free, first, count)
 
     def best_fit(self, length: int) -> None:
-        """Pack all pieces left of one length: least sufficient space first, then new sequences."""
+        """Pack all pieces left of one length: least sufficient space first, then new sequences.
+
+        A space is filled with as many of the pieces as it holds before the next is begun,
+        since what one piece leaves of it is then the least sufficient space.
+        """
         while self.left[length]:
             at = bisect.bisect_left(self.spaces, length)
+            free = self.spaces[at] if at < len(self.spaces) else self.capacity
+            times = free // length
+            wanted = -(-int(self.left[length]) // times)
             if at == len(self.spaces):
-                n = int(self.left[length])
-                first, free = self.start(n), self.capacity
+                first, have = self.start(wanted), wanted
             else:
-                free = self.spaces[at]
                 first, have = self.open[free].pop()
-                n = min(have, int(self.left[length]))
-                if n < have:
-                    self.open[free].append((first + n, have - n))
+                if have > wanted:
+                    self.open[free].append((first + wanted, have - wanted))
+                    have = wanted
                 elif not self.open[free]:
                     del self.open[free], self.spaces[at]
-            self.put(length, n, first, free)
-            self.leave(free - length, first, n)
+            full = min(have, int(self.left[length]) // times)
+            if full:
+                for i in range(times):
+                    self.put(length, full, first, free - i * length)
+                self.leave(free - times * length, first, full)
+            if full < have:  # one sequence more takes the last few
+                few = int(self.left[length])
+                for i in range(few):
+                    self.put(length, 1, first + full, free - i * length)
+                self.leave(free - few * length, first + full, 1)
 
 
 def _fitted(left: np.ndarray, capacity: int, grid: int, parts: int) -> tuple[np.ndarray, np.ndarray, int]:
