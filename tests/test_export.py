@@ -138,3 +138,15 @@ def test_route_cache_appends_and_snapshots(spark, tmp_path):
     assert (second.geometry, second.error, second.distance_meters) == ("null", "null", None)
     assert third.code == "FetchError" and json.loads(third.error) == {"type": "TimeoutError", "message": "late"}
     assert [r.route_key for r in load_routes(route_cache.route_cache_snapshot(lines)).collect()] == ["a|b"]
+
+
+def test_a_cache_is_read_in_the_order_it_was_appended(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    schema = "pair_from string, pair_to string, from_name string, to_name string, from_lon double, from_lat double, to_lon double, to_lat double, trips bigint, response string, failure_type string, failure_message string"
+    for batch in range(2):
+        rows = [(f"{batch:02}{i:05}", "b", "A", "B", 1.0, 2.0, 3.0, 4.0, i, '{"routes":[]}', None, None) for i in range(4000)]
+        # The last partition is the smallest and ends first.
+        frame = spark.createDataFrame(rows, schema).repartitionByRange(7, "pair_from").sortWithinPartitions("pair_from")
+        route_cache.append_routes(route_cache.parse_route_responses(frame, "mapbox"), path)
+    got = [r.pair_from for r in route_cache.read_route_lines(spark, path).orderBy("ordinal").select("pair_from").collect()]
+    assert got == sorted(got) and len(got) == 8000

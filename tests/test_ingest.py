@@ -81,7 +81,7 @@ def test_whole_ingest(spark, tmp_path):
     plan = ingest.run_raw(spark, root, str(land.pages), prefix="usage/")
     assert plan.count() == 10  # the empty object is not listed
     states = land.states(spark)
-    assert states["short.csv"].raw_status == "failed" and "expected 5, got" in states["short.csv"].error_message
+    assert states["short.csv"].raw_status == "failed" and "listed 5 bytes" in states["short.csv"].error_message
     assert states["a b+c.csv"].raw_status == "downloaded" and states["a b+c.csv"].raw_path == "raw/usage/a b+c.csv"
 
     ingest.run_normalize(spark, root)
@@ -99,9 +99,9 @@ def test_whole_ingest(spark, tmp_path):
         "short.csv": ("pending", None, None),
         "all-bad.csv": ("normalized", 1, 1),
     }
-    assert states["unknown.csv"].error_message == "Unknown CSV schema. Columns: X, Y"
+    assert states["unknown.csv"].error_message == "no layout has these columns: X, Y"
     assert states["dup.zip"].error_message == L.ALL_DUPLICATES
-    assert states["book.xlsx"].error_message.endswith(": .xlsx")
+    assert states["book.xlsx"].error_message.endswith(" .xlsx")
 
     normalized = {
         (r.source_key, r.source_member, r.source_row_number): r
@@ -187,6 +187,14 @@ def test_blank_header_cells_keep_their_place(spark, tmp_path):
     assert trips.filter("start_at IS NULL OR start_station_name IS NULL OR duration_seconds IS NULL").count() == 0
 
 
+def test_a_root_below_another_raw_folder(spark, tmp_path):
+    landing = Landing(tmp_path / "raw" / "project")
+    landing.put("usage/a.csv", "\n".join([OLD, old_row(1)]) + "\n")
+    root = str(landing.root)
+    ingest.run_raw(spark, root, str(landing.pages), "usage/")
+    assert [(r.source_key, r.status) for r in ingest.run_normalize(spark, root).collect()] == [("usage/a.csv", "normalized")]
+
+
 def test_listing_pages(spark, tmp_path):
     (tmp_path / "a.xml").write_text(page([("p/", 0, "d", "x"), ("p/1", 3, "d1", "e1"), ("p/2", 0, "d2", "e2")]))
     (tmp_path / "b.xml").write_text(page([("p/3", 4, "d3", "e3")], "2"))
@@ -194,7 +202,7 @@ def test_listing_pages(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("p/1", 3, "d1", "e1"), ("p/3", 4, "d3", "e3")]
     assert read_listing(spark, str(tmp_path), "p/", include_empty=True).count() == 3
     (tmp_path / "c.xml").write_text("<L><Contents><Key>k</Key><LastModified>d</LastModified></Contents></L>")
-    with pytest.raises(Exception, match="Missing required XML element: Size"):
+    with pytest.raises(Exception, match="a listed object has no Size"):
         read_listing(spark, str(tmp_path)).collect()
 
 
@@ -219,7 +227,7 @@ def test_station_master_edges(spark, tmp_path):
     assert str(first.install_date) == "2010-07-12 15:08:00.500000" and first.lon is None
     assert (second.bikepoint_number, second.bikepoint_number_key) == ("Other", None)
     (tmp_path / "bad.json").write_text("{}")
-    with pytest.raises(Exception, match="JSON list"):
+    with pytest.raises(Exception, match="JSON array"):
         read_station_master(spark, str(tmp_path / "bad.json")).collect()
 
 

@@ -38,7 +38,7 @@ def detect_layout(header: Column) -> Column:
 
 
 def unknown_layout_message(header: Column) -> Column:
-    return F.concat(F.lit("Unknown CSV schema. Columns: "), F.array_join(header, ", ", "null"))
+    return F.concat(F.lit("no layout has these columns: "), F.array_join(header, ", ", "null"))
 
 
 def with_layout(rows: DataFrame) -> DataFrame:

@@ -129,9 +129,9 @@ def pack_shards(
     spans' short tables are then chained, and each span labels its own rows.
     """
     if target_gzip_bytes <= 0:
-        raise ValueError("target_gzip_bytes must be greater than zero")
+        raise ValueError("shards need room: target_gzip_bytes is not positive")
     if compression_ratio <= 0:
-        raise ValueError("compression_ratio must be greater than zero")
+        raise ValueError("compression_ratio is not positive")
     target = int(target_gzip_bytes * compression_ratio)
     span_bytes = max(target, 1) * _SPAN_TARGETS
 

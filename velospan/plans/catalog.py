@@ -41,7 +41,7 @@ def register_views(spark: SparkSession, root: str) -> list[str]:
             table.createOrReplaceTempView(name)
             registered.append(name)
     if not registered:
-        raise FileNotFoundError(f"No queryable Parquet tables found under {root}")
+        raise FileNotFoundError(f"{root} holds no table to query")
     return registered
 
 

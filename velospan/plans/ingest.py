@@ -6,6 +6,7 @@ driver sees file names and header widths, never rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date
 
@@ -41,10 +42,11 @@ VALIDATED = TRIP_VIEWS["trips"]
 REJECTED = "validation/invalid"
 
 
-def _key_of(path: Column, encoded: bool) -> Column:
-    """Source key of a landed file: its path below the raw folder."""
+def _key_of(path: Column, encoded: bool, root: str) -> Column:
+    """Source key of a landed file: its path below the raw folder of ``root``, which may lie in another one."""
     plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
-    return F.regexp_extract(plain, f"^.*?/{RAW}/(.*)$", 1)
+    folder = re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", root).rstrip("/")
+    return F.regexp_extract(plain, rf"^.*?\Q{folder}/{RAW}/\E(.*)$", 1)
 
 
 def current_ledger(spark: SparkSession, root: str) -> DataFrame:
@@ -57,7 +59,7 @@ def current_ledger(spark: SparkSession, root: str) -> DataFrame:
 def landed_sizes(spark: SparkSession, root: str) -> DataFrame:
     """(source_key, landed_bytes) of every raw file; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{RAW}")
-    return files.select(_key_of(F.col("path"), False).alias("source_key"), F.col("length").alias("landed_bytes"))
+    return files.select(_key_of(F.col("path"), False, root).alias("source_key"), F.col("length").alias("landed_bytes"))
 
 
 def run_raw(
@@ -85,20 +87,20 @@ def _paths(spark: SparkSession, root: str, plan: DataFrame, suffix: str) -> list
     return [f"{root}/{RAW}/{row.source_key}" for row in chosen.toLocalIterator()]
 
 
-def _flat_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def _flat_files(spark: SparkSession, root: str, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, one row per unusable file with its error) of flat CSV files."""
     scan = scan_csv(spark, paths)
     heads = csv_headers(scan.profile)
-    key = _key_of(F.col("file"), True).alias("source_key")
+    key = _key_of(F.col("file"), True, root).alias("source_key")
     problem = F.when(F.col("bad_bytes"), F.lit("File is not valid UTF-8")).when(
         detect_layout(F.col("header")).isNull(), unknown_layout_message(F.col("header"))
     )
     found = heads.select(key, problem.alias("error"))
-    rows = read_trip_csv(spark, paths, scan).withColumn("source_key", _key_of(F.col("file"), True))
+    rows = read_trip_csv(spark, paths, scan).withColumn("source_key", _key_of(F.col("file"), True, root))
     return rows, found
 
 
-def _archives(spark: SparkSession, paths: list[str], flat_paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def _archives(spark: SparkSession, root: str, paths: list[str], flat_paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, one row per archive with its error and whether a member was left) of ZIP archives."""
     directory = staged(zip_directory(spark, paths), "zip-directory")
     members = directory.filter(F.col("source_member").isNotNull())
@@ -118,12 +120,12 @@ def _archives(spark: SparkSession, paths: list[str], flat_paths: list[str]) -> t
         broken.join(problems, "file", "left")
         .join(left, "file", "left")
         .select(
-            _key_of(F.col("file"), False).alias("source_key"),
+            _key_of(F.col("file"), False, root).alias("source_key"),
             F.coalesce("archive_error", "row_error").alias("error"),
             F.coalesce("members", F.lit(0)).alias("members"),
         )
     )
-    return rows.withColumn("source_key", _key_of(F.col("file"), False)), found
+    return rows.withColumn("source_key", _key_of(F.col("file"), False, root)), found
 
 
 def run_normalize(
@@ -141,11 +143,11 @@ def run_normalize(
     rows = []
     columns = ["source_key", "source_member", "source_row_number", "header", "fields"]
     if csv_paths:
-        flat, found = _flat_files(spark, csv_paths)
+        flat, found = _flat_files(spark, root, csv_paths)
         rows.append(flat.select(*columns))
         states.append(found.withColumn("members", F.lit(1).cast("bigint")))
     if zip_paths:
-        packed, found = _archives(spark, zip_paths, flat_paths)
+        packed, found = _archives(spark, root, zip_paths, flat_paths)
         rows.append(packed.filter(F.col("error").isNull()).select(*columns))
         states.append(found)
     state = states[0]
@@ -154,7 +156,7 @@ def run_normalize(
 
     readable = F.lower("source_key").rlike(r"\.(csv|zip)$")
     unsupported = F.concat(
-        F.lit("Unsupported raw file type for normalization: "), F.regexp_extract("source_key", r"(\.[^./]*)$", 1)
+        F.lit("cannot read files of the type "), F.regexp_extract("source_key", r"(\.[^./]*)$", 1)
     )
     judged = staged(
         plan.join(state.withColumn("_seen", F.lit(True)), "source_key", "left").select(

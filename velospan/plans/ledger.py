@@ -22,8 +22,8 @@ PENDING, DOWNLOADED, NORMALIZED, SKIPPED, VALIDATED, FAILED = (
     "validated",
     "failed",
 )
-ALL_DUPLICATES = "All ZIP CSV members duplicate already-downloaded flat CSV files"
-NO_VALID_ROWS = "Validation produced zero valid rows"
+ALL_DUPLICATES = "every member of the archive has landed as a file of its own"
+NO_VALID_ROWS = "no row passed the rules"
 
 _OBSERVED = ["etag", "size_bytes", "last_modified"]
 _STATES = ["raw_status", "normalized_status", "validated_status"]
@@ -111,9 +111,9 @@ def check_downloads(plan: DataFrame, landed: DataFrame) -> DataFrame:
     sizes = plan.join(landed.select("source_key", "landed_bytes"), "source_key", "left")
     expected, got = F.col("size_bytes").cast("string"), F.col("landed_bytes").cast("string")
     key = F.col("source_key")
-    problem = F.when(F.col("landed_bytes").isNull(), F.concat(F.lit("File not landed: "), key)).when(
+    problem = F.when(F.col("landed_bytes").isNull(), F.concat(F.lit("no landed file for "), key)).when(
         F.col("landed_bytes") != F.col("size_bytes"),
-        F.concat(F.lit("Downloaded size mismatch for "), key, F.lit(": expected "), expected, F.lit(", got "), got),
+        F.concat(F.lit("wrong size of "), key, F.lit(": listed "), expected, F.lit(" bytes, landed "), got),
     )
     return sizes.select(
         "source_key", F.when(problem.isNull(), DOWNLOADED).otherwise(FAILED).alias("status"), problem.alias("error")

@@ -26,7 +26,7 @@ def read_listing(spark: SparkSession, paths: str | list[str], prefix: str = "",
         return F.btrim(clean_text(name), F.lit('"'))
 
     def required(name: str) -> Column:
-        missing = F.raise_error(F.lit(f"Missing required XML element: {name}"))
+        missing = F.raise_error(F.lit(f"a listed object has no {name}"))
         return F.coalesce(text(name), missing.cast("string"))
 
     rows = found.select(

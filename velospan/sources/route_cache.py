@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velospan.operators.running import numbered
 from velospan.schemas import ROUTE_CACHE, nullable
@@ -11,22 +14,29 @@ from velospan.schemas import ROUTE_CACHE, nullable
 JSON_COLUMNS = ["from_coord", "to_coord", "geometry", "error"]
 # Fixed value: the code of a route whose request failed.
 FETCH_ERROR = "FetchError"
+BATCH, PLACE = "cache_batch", "cache_place"
 
 
 def read_route_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Cached routes with ``ordinal``, their order in the cache: older files first, then by line.
+    """Cached routes with ``ordinal``, their order in the cache: by batch, then by place in the batch.
 
-    Nested values are kept as JSON text. Blank lines are skipped.
+    Lines that were not appended here carry neither and come first, older files before
+    newer ones. Nested values are kept as JSON text. Blank lines are skipped.
     """
-    rows = spark.read.schema(nullable(ROUTE_CACHE)).json(path).select(
+    schema = nullable(ROUTE_CACHE).add(BATCH, T.LongType()).add(PLACE, T.LongType())
+    rows = spark.read.schema(schema).json(path).select(
         *ROUTE_CACHE.fieldNames(),
+        F.col(BATCH).alias("_batch"),
+        F.col(PLACE).alias("_place"),
         F.col("_metadata.file_modification_time").alias("_written"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    order = [F.asc(name) for name in ("_written", "_file", "_start", "_seq")]
-    return numbered(rows, order).drop("_written", "_file", "_start", "_seq")
+    # Files of one append end in any order: their times order only what has no batch.
+    foreign = [F.when(F.col("_batch").isNull(), F.col(name)) for name in ("_written", "_file", "_start")]
+    order = [F.asc_nulls_first("_batch"), F.asc("_place"), *[F.asc(c) for c in foreign], F.asc("_seq")]
+    return numbered(rows, order).drop("_batch", "_place", "_written", "_file", "_start", "_seq")
 
 
 def route_cache_snapshot(lines: DataFrame) -> DataFrame:
@@ -36,7 +46,10 @@ def route_cache_snapshot(lines: DataFrame) -> DataFrame:
 
 
 def append_routes(routes: DataFrame, path: str) -> None:
-    """Append route rows (see ``parse_route_responses``) to the cache."""
+    """Append route rows (see ``parse_route_responses``) to the cache, in the order of ``routes``.
+
+    Every row is stamped with its batch (the time of the append) and its place in it.
+    """
     nested = {
         "from_coord": "array<double>",
         "to_coord": "array<double>",
@@ -44,7 +57,8 @@ def append_routes(routes: DataFrame, path: str) -> None:
         "error": "map<string, string>",
     }
     parsed = {name: F.from_json(F.nullif(name, F.lit("null")), kind) for name, kind in nested.items()}
-    routes.withColumns(parsed).write.mode("append").json(path)
+    stamped = routes.withColumns(parsed).withColumns({BATCH: F.lit(time.time_ns()), PLACE: F.monotonically_increasing_id()})
+    stamped.write.mode("append").json(path)
 
 
 # Where each provider's response keeps the route's fields.

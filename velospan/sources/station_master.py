@@ -45,7 +45,7 @@ def read_station_master(spark: SparkSession, paths: str | list[str]) -> DataFram
     )
     is_list = F.ltrim("document").startswith("[")
     checked = F.when(is_list, F.col("document")).otherwise(
-        F.raise_error(F.lit("Expected the station document to be a JSON list")).cast("string")
+        F.raise_error(F.lit("a station document is not a JSON array")).cast("string")
     )
     stations = documents.select(
         "file",

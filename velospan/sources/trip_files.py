@@ -240,7 +240,7 @@ def _encoding_of(archive: zipfile.ZipFile, member: str) -> str:
             return encoding
         except UnicodeDecodeError:
             continue
-    raise ValueError(f"Could not read CSV member with supported encodings: {member}")
+    raise ValueError(f"{member} decodes in none of {MEMBER_ENCODINGS}")
 
 
 def read_zip_members(spark: SparkSession, paths: list[str], members: DataFrame | None = None) -> DataFrame:

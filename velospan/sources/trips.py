@@ -26,7 +26,7 @@ def scan_trips(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All validated trips below a folder; a folder without Parquet files is an error."""
     trips = scan_with_defaults(spark, path)
     if not trips.inputFiles():
-        raise FileNotFoundError(f"No validated trip Parquet files under {path}")
+        raise FileNotFoundError(f"{path} holds no trips")
     return trips
 
 
