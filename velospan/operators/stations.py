@@ -66,6 +66,9 @@ def attach_station(
     number, name = digits(station_id), words(station_name)
     if need_name:
         number, name = F.when(has_text(station_name), number), F.when(has_text(station_name), name)
+    # Rows without a key match nothing; beyond the broadcast threshold they must not meet in one partition.
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(station_id, station_name), F.lit(4096)).cast("string"))
+    number, name = (F.when(F.coalesce(key, F.lit("")) == "", spread).otherwise(key) for key in (number, name))
     tiers = {"_i_": (id_lookup(stations, columns), "_number", number), "_n_": (name_lookup(stations, columns), "_name", name)}
     joined = df.select("*", *[key.alias(label) for _, label, key in tiers.values()])
     for mark, (lookup, label, _) in tiers.items():

@@ -216,6 +216,9 @@ def station_filter(replay: DataFrame, selected: DataFrame) -> DataFrame:
     return touched.select(*replay.columns)
 
 
+_TRACE_COLUMNS = ["start_lon", "start_lat", "end_lon", "end_lat", "route_key", "route_reversed"]
+
+
 def trip_traces(replay: DataFrame, routes: DataFrame, times: Sequence[int], window: float) -> DataFrame:
     """The path piece behind every trip under way at each clock time.
 
@@ -223,8 +226,10 @@ def trip_traces(replay: DataFrame, routes: DataFrame, times: Sequence[int], wind
     route follows an arc between its ends. ``window`` is the length of the piece
     as a share of the path; its last point is the trip's head.
     """
-    under_way = active_at(replay, times).select("*", progress(F.col("clock")).alias("progress"))
-    drawn = under_way.join(routes.select("route_key", "coordinates"), "route_key", "left")
+    # Routes are joined once per trip: clock copies of a busy pair's trips are not shuffled.
+    trips = replay.select("day", "journey_id", "start_second", "end_second", *_TRACE_COLUMNS)
+    routed = trips.join(routes.select("route_key", "coordinates"), "route_key", "left")
+    drawn = active_at(routed, times).select("*", progress(F.col("clock")).alias("progress"))
     line = line_path(F.col("coordinates"), F.col("route_reversed"))
     arc = arc_path(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
     pieces = [path_window(path, F.col("progress"), window) for path in (line, arc)]
