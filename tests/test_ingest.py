@@ -195,6 +195,18 @@ def test_a_root_below_another_raw_folder(spark, tmp_path):
     assert [(r.source_key, r.status) for r in ingest.run_normalize(spark, root).collect()] == [("usage/a.csv", "normalized")]
 
 
+def test_a_file_that_has_gone_fails_alone(spark, tmp_path):
+    landing = Landing(tmp_path / "root")
+    for name in ("a.csv", "b.csv", "c[1]{x}*.csv"):
+        landing.put(f"usage/{name}", "\n".join([OLD, old_row(1)]) + "\n")
+    root = str(landing.root)
+    ingest.run_raw(spark, root, str(landing.pages), "usage/")
+    (landing.root / "raw/usage/b.csv").rename(tmp_path / "elsewhere")
+    got = {r.source_key: (r.status, r.error, r.rows) for r in ingest.run_normalize(spark, root).collect()}
+    assert got["usage/b.csv"] == ("failed", "no landed file for usage/b.csv", 0)
+    assert got["usage/a.csv"] == got["usage/c[1]{x}*.csv"] == ("normalized", None, 1)
+
+
 def test_listing_pages(spark, tmp_path):
     (tmp_path / "a.xml").write_text(page([("p/", 0, "d", "x"), ("p/1", 3, "d1", "e1"), ("p/2", 0, "d2", "e2")]))
     (tmp_path / "b.xml").write_text(page([("p/3", 4, "d3", "e3")], "2"))

@@ -82,9 +82,12 @@ def run_raw(
 
 
 def _paths(spark: SparkSession, root: str, plan: DataFrame, suffix: str) -> list[str]:
-    """Paths of planned files of one kind: a list of names, as any Spark reader takes."""
+    """Paths of planned files of one kind: a list of names, as any Spark reader takes.
+
+    Readers take names as patterns, so characters of patterns are escaped.
+    """
     chosen = plan.filter(F.lower("source_key").endswith(suffix)).select("source_key")
-    return [f"{root}/{RAW}/{row.source_key}" for row in chosen.toLocalIterator()]
+    return [f"{root}/{RAW}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", row.source_key) for row in chosen.toLocalIterator()]
 
 
 def _flat_files(spark: SparkSession, root: str, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +137,12 @@ def run_normalize(
     """Normalize the planned files; returns the outcomes. A bad file fails alone."""
     ledger = current_ledger(spark, root)
     plan = staged(L.plan_normalize(ledger, retry_failed, force, limit).select("source_key", "etag"), "normalize-plan")
-    csv_paths, zip_paths = _paths(spark, root, plan, ".csv"), _paths(spark, root, plan, ".zip")
-    flat_paths = _paths(spark, root, L.downloaded_files(ledger), ".csv") if zip_paths else []
+    # A file that has gone since it was recorded fails alone: only what is there is opened.
+    landed = staged(landed_sizes(spark, root).select("source_key").distinct(), "landed-keys")
+    there = plan.join(landed, "source_key", "left_semi")
+    csv_paths, zip_paths = _paths(spark, root, there, ".csv"), _paths(spark, root, there, ".zip")
+    known = L.downloaded_files(ledger).join(landed, "source_key", "left_semi")
+    flat_paths = _paths(spark, root, known, ".csv") if zip_paths else []
 
     states = [
         spark.createDataFrame([], "source_key string, error string, members bigint"),
@@ -159,10 +166,13 @@ def run_normalize(
         F.lit("cannot read files of the type "), F.regexp_extract("source_key", r"(\.[^./]*)$", 1)
     )
     judged = staged(
-        plan.join(state.withColumn("_seen", F.lit(True)), "source_key", "left").select(
+        plan.join(state.withColumn("_seen", F.lit(True)), "source_key", "left")
+        .join(landed.withColumn("_landed", F.lit(True)), "source_key", "left")
+        .select(
             "source_key",
             "etag",
             F.when(~readable, unsupported)
+            .when(F.col("_landed").isNull(), F.concat(F.lit("no landed file for "), "source_key"))
             .when(F.col("_seen").isNull(), F.lit("File has no rows to read"))
             .otherwise(F.col("error"))
             .alias("error"),
