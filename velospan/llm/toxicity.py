@@ -104,7 +104,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray) -> Model:
     starts = np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=len(lists)))])
     keys, n = found[common], int(common.sum())
     rng = np.random.default_rng(7)
-    w, v = odds[common].copy(), rng.normal(0, 0.01, (n, FACTORS))
+    w, v = odds[common].copy(), rng.normal(0, 0.03, (n, FACTORS))
     seen_w, seen_v, seen_b = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(lists))
@@ -126,7 +126,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray) -> Model:
             for f in range(FACTORS):
                 step = np.bincount(local, each * (sums[row, f] - v[c, f]), len(used)) + FACTOR_DECAY * v[used, f]
                 seen_v[used, f] += step**2
-                v[used, f] -= 0.2 * RATE * step / np.sqrt(seen_v[used, f])
+                v[used, f] -= 0.5 * RATE * step / np.sqrt(seen_v[used, f])
             step = error.sum()
             seen_b += step**2
             bias -= RATE * step / np.sqrt(seen_b)
