@@ -58,7 +58,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     rows, labels = [], []
     for i in range(600):
         toxic = i % 4 == 0
-        text = prose(i, 60) + (f" {bad[i % 3]} and {bad[(i + 1) % 3]}" if toxic else "")
+        text = prose(i, 60) + (f" {bad[i % 3]} {bad[(i + 1) % 3]}" if toxic else "")
         rows.append((i, text, "en", "a", 1))
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame(rows, SCHEMA)

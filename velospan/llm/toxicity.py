@@ -25,8 +25,8 @@ from velospan.llm.columns import require, unused, whole_text
 SAMPLE_ROWS = 20_000
 TERM_BITS = 24
 #: A term is in the model if its texts' labels differ from the rest by this likelihood ratio,
-#: or if it is common: in this share of the sample, so that pairs with it can be learnt.
-LEAST_RATIO, COMMON_SHARE = 15.0, 0.02
+#: or if it is common: in this share of the sample and this many texts, so that pairs with it can be learnt.
+LEAST_RATIO, COMMON_SHARE, COMMON_TEXTS = 15.0, 0.02, 100
 FACTORS = 4
 EPOCHS, BATCH_TEXTS, RATE, DECAY, FACTOR_DECAY = 20, 256, 0.05, 1e-4, 5e-4
 # Everything but ASCII digits, ASCII letters and non-ASCII characters separates words.
@@ -77,7 +77,7 @@ def _telling(ones: np.ndarray, times: np.ndarray, prior: float, texts: int) -> t
         )
     told = 2 * gain >= LEAST_RATIO
     odds = np.log((ones + prior) / (times - ones + 1 - prior)) - np.log(prior / (1 - prior))
-    return told | (times >= COMMON_SHARE * texts), np.where(told, odds, 0.0)
+    return told | (times >= max(COMMON_TEXTS, COMMON_SHARE * texts)), np.where(told, odds, 0.0)
 
 
 def fit(lists: list[np.ndarray], labels: np.ndarray) -> Model:
@@ -164,6 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     schema = "bias double, keys array<bigint>, weights array<double>, factors array<double>"
     # One task fits the bounded sample; one row, of the sample's terms, comes back.
     row = rows.repartition(1).mapInPandas(_fit_batches, schema).first()
+    if row is None:
+        return fit([], np.empty(0))
     factors = np.array(row["factors"], float).reshape(-1, FACTORS)
     return Model(row["bias"], np.array(row["keys"], np.int64), np.array(row["weights"], float), factors)
 
