@@ -736,14 +736,16 @@ def _exported(t: Tables) -> tuple[str, DataFrame]:
           count(route_key) AS routed, 288 AS bins FROM replay GROUP BY day""")
 def load_day(t: Tables) -> DataFrame:
     days = export.load_day(t.spark, _exported(t)[0])
-    trip = days.select("date", F.explode("trips").alias("trip"), F.size("activity").alias("bins"))
-    return trip.groupBy(F.col("date").alias("day")).agg(
-        F.count(F.lit(1)).alias("trips"),
+    # The slice with a day's activity may hold no trip.
+    trip = days.select("date", F.explode_outer("trips").alias("trip"), F.size("activity").alias("bins"))
+    counted = trip.groupBy(F.col("date").alias("day")).agg(
+        F.count("trip.id").alias("trips"),
         F.min("trip.id").alias("first_id"),
         F.sum("trip.end").alias("end_sum"),
         F.count("trip.routeKey").alias("routed"),
         F.max("bins").alias("bins"),
     )
+    return counted.filter("trips > 0")
 
 
 @query("""SELECT route_key, len(coordinates) AS points, round(coordinates[1][1], 6) AS lon FROM routes WHERE route_key IN (SELECT route_key FROM replay)""")
