@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -125,3 +126,44 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {f"c{i:03}": "c000" for i in range(1, 41)} | {f"s{i}": "hub" for i in range(50)}
     assert got == want
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def star(seed, leaves, words=200):
+    """An original and copies with three of its words changed: each is near the original, hardly any near another."""
+    rng = random.Random(seed)
+    base = prose(seed, words).split(" ")
+    rows = [(leaves, " ".join(base), "en", "a", 1)]
+    for i in range(leaves):
+        copy = base[:]
+        for at in rng.sample(range(5, words - 5, 5), 3):
+            copy[at] = f"x{i}x{at}"
+        rows.append((i, " ".join(copy), "en", "a", 1))
+    return rows
+
+
+def linked_by_hand(rows, percent=85):
+    """Pairs of rows that are linked, by the shingles that more than one row holds."""
+    sets = [shingles(r[1]) for r in rows]
+    times = Counter(x for s in sets for x in s)
+    column = {x: i for i, x in enumerate(x for x, k in times.items() if k > 1)}
+    held = np.zeros((len(rows), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [column[x] for x in s if x in column]] = 1
+    shared, sizes = held @ held.T, np.array([len(s) for s in sets])
+    return 100 * shared >= percent * (sizes[:, None] + sizes - shared)
+
+
+def test_a_star_beyond_a_region_is_one_component(spark):
+    rows = star(11, 3000)
+    linked = linked_by_hand(rows)
+    assert linked[0].all() and linked[1:, 1:].sum() < 1.5 * 3000
+    assert {r["component_id"] for r in judged(spark, rows)} == {0}
+
+
+def test_crowded_sets_without_links_stay_apart(spark):
+    rows = star(12, 700)[1:]
+    linked, label = linked_by_hand(rows), list(range(700))
+    for i, j in zip(*np.nonzero(np.tril(linked, -1)), strict=True):
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert len(set(label)) > 600
+    assert [r["component_id"] for r in sorted(judged(spark, rows))] == label

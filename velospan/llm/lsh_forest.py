@@ -7,7 +7,10 @@ more nodes share them than a region may hold. Inside a region signatures are
 compared, and those that agree often enough form candidate groups, emitted as one
 row per member rather than as pairs. Groups that overlap are joined into clusters;
 full shingle sets are then shipped once per cluster and compared exactly. A cluster
-too large for one task is compared region by region instead.
+too large for one task is compared region by region first. Nodes of such clusters,
+of prefixes that regions divide and of prefixes at a partition's edge are then joined
+on their rarest shingles, of which linked sets share one; what that finds between
+components is compared on full sets too.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ LEAST_DEPTH, REGION = 2, 512
 AGREE = 43
 #: Nodes and shingles of a cluster that is compared in one task.
 CLUSTER_NODES, CLUSTER_SHINGLES = 1024, 2_000_000
+#: Partners of one set that are compared in one task, and the parts into which a shingle's sets are dealt.
+PARTNERS, SALTS = 256, 16
 ROWS_A_PARTITION = 200_000
 _SLICE_WORDS = 1_000_000
 
@@ -183,10 +188,19 @@ def _candidates(keys: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])
 
 
+def _parted(shared: np.ndarray) -> np.ndarray:
+    """Rows whose least prefix is divided into regions, or may go on in the partition before or after."""
+    number = np.cumsum(shared < LEAST_DEPTH) - 1
+    return (np.bincount(number) > REGION)[number] | (number == 0) | (number == number[-1])
+
+
 def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate groups of one sorted partition: a row per member, with the group's first member."""
+    """Candidate groups of one sorted partition: a row per member, with the group's first member.
+
+    Rows without a place name the nodes that may have partners outside their region.
+    """
     table = pa.Table.from_batches(list(batches))
-    if table.num_rows < 2:
+    if not table.num_rows:
         return
     trees = table["tree"].to_numpy()
     keys = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(-1, VALUES)
@@ -206,17 +220,20 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node = table["node"].combine_chunks()
     first = node.take(pa.array(roots))
     place = pa.array([f"{t}:{g}" for t, g in zip(trees[roots].tolist(), group.tolist(), strict=True)], pa.string())
-    yield pa.RecordBatch.from_arrays([place, first, node.take(pa.array(rows))], names=["place", "first", "node"])
+    alone = node.take(pa.array(np.flatnonzero(_parted(shared))))
+    place = pa.concat_arrays([place, pa.nulls(len(alone), pa.string())])
+    first, members = pa.concat_arrays([first, alone]), pa.concat_arrays([node.take(pa.array(rows)), alone])
+    yield pa.RecordBatch.from_arrays([place, first, members], names=["place", "first", "node"])
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """``grp``, ``first`` and ``node`` of every candidate group of every tree."""
+    """``grp``, ``first`` and ``node`` of every candidate group of every tree; ``grp`` is null for parted nodes."""
     total = nodes.count()
     rows = nodes.select("node", F.posexplode(_layouts("signature")).alias("tree", "key"))
     partitions = max(8, -(-total * TREES // ROWS_A_PARTITION))
     ordered = rows.repartitionByRange(partitions, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = ordered.mapInArrow(_groups_of, "place string, first binary, node binary")
-    return found.select(F.xxhash64("place", "first").alias("grp"), "first", "node")
+    return found.select(F.when(F.col("place").isNotNull(), F.xxhash64("place", "first")).alias("grp"), "first", "node")
 
 
 # -- exact comparison --------------------------------------------------------------
@@ -261,20 +278,95 @@ def _confirmed(table: pa.Table) -> pa.Table:
     return pa.table({"a": node.take(pa.array(moved)), "b": node.take(pa.array(label[moved]))})
 
 
-def _compared_in(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and the ``grps`` it is compared in: its cluster, or its regions' groups if that is too large."""
+def _links(dealt: DataFrame) -> DataFrame:
+    """``a`` and ``b``: each set of a ``grp`` and the least one that it reaches there."""
+    return dealt.groupBy("grp").applyInArrow(_confirmed, "a binary, b binary")
+
+
+def _clusters(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``root`` and whether the cluster is too ``large`` for one task."""
     clusters = components(groups, "first", "node")
     roots = clusters.select("root").distinct().select(F.col("root").alias("node"), "root")
     member = clusters.select("node", "root").union(roots)
     sized = member.join(nodes.select("node", "n"), "node")
     sizes = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     large = (F.col("nodes") > CLUSTER_NODES) | (F.col("shingles") > CLUSTER_SHINGLES)
-    member = member.join(sizes.select("root", large.alias("large")), "root")
+    return member.join(sizes.select("root", large.alias("large")), "root").select("node", "root", "large")
+
+
+def _compared_in(groups: DataFrame, member: DataFrame) -> DataFrame:
+    """``node`` and the ``grps`` it is compared in: its cluster, or its regions' groups if that is too large."""
     whole = member.filter(~F.col("large")).select("node", F.xxhash64("root").alias("grp"))
     parts = groups.join(member.filter("large"), "node").select("node", "grp")
     return whole.union(parts).distinct().groupBy("node").agg(F.collect_list("grp").alias("grps"))
 
 
+# -- what regions part -------------------------------------------------------------
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _longs(sets: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x, np.int64) for x in sets.to_pylist()], pa.list_(pa.int64()))
+
+
+def _salted(rows: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of nodes joined on ``shingle``; those of one shingle are dealt to several tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    copies = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(copies, ["shingle", "salt"], how).drop("salt")
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """The rarest shingles of each set, as many as make linked sets share one, less those of one set only.
+
+    ``central`` is how many sets hold a shingle of this one, on average.
+    """
+    each = sets.select("node", F.explode(_longs("shingles")).alias("shingle"))
+    times = each.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    counted = F.struct(F.coalesce("times", F.lit(1)).alias("times"), "shingle")
+    held = _salted(each, times, "left").groupBy("node").agg(F.sort_array(F.collect_list(counted)).alias("held"))
+    n = F.size("held")
+    length = n - F.ceil(n * PERCENT / 100).cast("int") + 1
+    central = F.aggregate("held", F.lit(0.0), lambda s, x: s + x["times"]) / n
+    rows = held.select("node", n.alias("n"), central.alias("central"), F.explode(F.slice("held", F.lit(1), length)).alias("x"))
+    return rows.filter("x.times > 1").select("node", "n", "central", "x.shingle")
+
+
+def _pair_links(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Links among the sets of ``pairs``: those of one ``a`` are compared in parts."""
+    part = F.pmod(F.xxhash64("b"), F.lit(max(1, total // PARTNERS)))
+    dealt = pairs.select(F.xxhash64("a", part).alias("grp"), "a", "b")
+    members = dealt.select("grp", F.explode(F.array("a", "b")).alias("node")).distinct()
+    return staged(_links(members.join(sets.select("node", "shingles"), "node")), "set-links")
+
+
+def parted_links(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that make the components of ``links`` exact for ``sets``: ``node`` and ``shingles``.
+
+    First every set is compared with the most central one of each of its rarest shingles,
+    which is linear in the sets and settles stars and crowds. Pairs are then made only
+    between components.
+    """
+    total = sets.count()
+    rarest = staged(_rarest(sets), "set-rarest")
+    pivots = rarest.groupBy("shingle").agg(F.max(F.struct("central", "node", "n")).alias("p"))
+    pivots = staged(pivots.select("shingle", F.col("p.node").alias("a"), F.col("p.n").alias("a_n")), "set-pivots")
+    alike = 100 * F.least("n", "a_n") >= PERCENT * F.greatest("n", "a_n")
+    spokes = _salted(rarest, pivots).filter((F.col("node") != F.col("a")) & alike)
+    first = _pair_links(spokes.select("a", F.col("node").alias("b")).distinct(), sets, total)
+
+    rooted = components(links.union(first))
+    root = F.coalesce("root", "node").alias("root")
+    labelled = staged(rarest.join(rooted, "node", "left").select("shingle", "node", "n", root), "set-labelled")
+    heads = pivots.select("shingle", F.col("a").alias("node")).join(rooted, "node", "left")
+    heads = heads.select("shingle", F.coalesce("root", "node").alias("a_root"))
+    others = _salted(labelled, heads).filter("root <> a_root")
+    others = others.select("shingle", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
+    across = _salted(labelled, staged(others, "set-others")).filter((F.col("root") != F.col("a_root")) & alike)
+    pairs = across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    return first.union(_pair_links(pairs, sets, total))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text_hash``, ``root``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -296,24 +388,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = nodes.agg(F.max("n").alias("n"), F.max("signature").alias("signature"), origin.alias("origin"))
     nodes = staged(nodes.select("node", "n", "signature", "origin.doc_id", "origin.text_hash"), "set-nodes")
 
-    groups = staged(candidate_groups(nodes), "set-groups")
-    compared = _compared_in(groups, nodes).join(nodes.select("node", "doc_id", "text_hash"), "node")
-    wanted = staged(compared, "set-compared").select(
-        "node", "grps", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")
-    )
-    same = plain["doc_id"].eqNullSafe(wanted["of_id"]) & (plain["text_hash"] == wanted["of_hash"])
+    found = staged(candidate_groups(nodes), "set-groups")
+    groups = found.filter("grp IS NOT NULL")
+    member = staged(_clusters(groups, nodes), "set-clusters")
+    named = nodes.select("node", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    wanted = staged(_compared_in(groups, member).join(named, "node"), "set-compared")
+    same = plain["doc_id"].eqNullSafe(F.col("of_id")) & (plain["text_hash"] == F.col("of_hash"))
     # Texts are many times larger than the table of nodes at every size, and are dealt out alike at all.
     sets = plain.join(wanted.hint("shuffle_merge"), same).select("node", "grps", _set_bytes(word_hashes("text")).alias("shingles"))
     sets = sets.groupBy("node").agg(F.first("grps").alias("grps"), F.first("shingles").alias("shingles"))
-    dealt = sets.select("node", "shingles", F.explode("grps").alias("grp"))
-    links = dealt.groupBy("grp").applyInArrow(_confirmed, "a binary, b binary")
-    rooted = components(staged(links, "set-links"))
+    links = staged(_links(sets.select("node", "shingles", F.explode("grps").alias("grp"))), "set-links")
+
+    parted = found.filter("grp IS NULL").select("node").union(member.filter("large").select("node")).distinct()
+    parted = staged(parted.join(named, "node"), "set-parted")
+    if not parted.isEmpty():
+        sets = plain.join(parted, same).select("node", _set_bytes(word_hashes("text")).alias("shingles"))
+        sets = staged(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "parted-sets")
+        links = links.union(parted_links(sets, links))
+    rooted = components(links)
 
     labelled = nodes.select("node", "doc_id").join(rooted, "node", "left")
     labelled = labelled.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(least, "root").select(F.col("node").alias("digest"), "root", "component_id")
-    joined = table.join(staged(named, "set-components"), "digest", "left")
+    least_of = labelled.join(least, "root").select(F.col("node").alias("digest"), "root", "component_id")
+    joined = table.join(staged(least_of, "set-components"), "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     result = joined.select("doc_id", "text_hash", "root", F.col("n").alias("n_shingles"), component.alias("component_id"))
     kept = F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
