@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from velospan.llm import host_rules, lsh_forest, pattern_packing, source_mix, toxicity
 from velospan.staging import staged
 
+#: Near-duplicates share 80 % of their five-word shingles here; op7_lsh_forest has its own threshold.
+NEAR_PERCENT = 80
 #: A factorization machine is fitted and links are found by signatures: SQL cannot say either.
 ORACLE_SQL = None
 
@@ -29,7 +31,7 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return lsh_forest.without_duplicates(docs)
+    return lsh_forest.without_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

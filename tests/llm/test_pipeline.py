@@ -9,6 +9,7 @@ import corpus_pipeline
 from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_host_rules import by_hand as counts_by_hand
 from tests.llm.test_lsh_forest import by_hand as components_by_hand
+from tests.llm.test_lsh_forest import shingles
 from tests.llm.test_packing import whole_ids
 from velospan.llm import source_mix
 from velospan.staging import staged
@@ -57,6 +58,25 @@ def test_stages_equal_what_each_should_do(spark, tmp_path):
     assert sorted(r[4] for r in again.collect()) == sorted(crcs) and again.columns == docs.columns
 
 
+def test_near_dedup_links_from_four_fifths_on(spark, tmp_path):
+    rows = []
+    for i in range(30):
+        words = prose(5000 + i, 100).split(" ")
+        # One word changed in the middle and 5 to 14 more at the end: from 0.86 down to 0.79.
+        copy = [*words[:50], "changed", *words[51:], *[f"end{k}" for k in range(5 + i % 10)]]
+        rows += [(10 * i, " ".join(words), "en", "s", 1), (10 * i + 1, " ".join(copy), "en", "s", 1)]
+    linked = [row[0] for base, row in zip(rows[::2], rows[1::2]) if near(base, row, 80)]
+    assert any(not near(rows[2 * i], rows[2 * i + 1], 85) for i in range(30) if 10 * i + 1 in linked)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r[0] for r in rows} - set(linked) and 0 < len(linked) < 30
+
+
+def near(a, b, percent):
+    x, y = shingles(a[1]), shingles(b[1])
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
 def test_queries_are_registered():
     names = set(contract.queries())
     assert "pipeline" in names

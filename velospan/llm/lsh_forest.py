@@ -16,7 +16,9 @@ components is compared on full sets too.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,12 @@ from velospan.llm.components import components
 from velospan.staging import staged
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is the percent unless another is given.
 PERCENT = 85
 #: Values in a signature (one byte each) and sorted orders of it.
 VALUES, TREES = 64, 16
 #: Least common prefix of a region, and the nodes up to which it is not divided.
 LEAST_DEPTH, REGION = 2, 512
-#: Signature values that candidates share: 4 deviations below what a link has on average.
-AGREE = 43
 #: Nodes and shingles of a cluster that is compared in one task.
 CLUSTER_NODES, CLUSTER_SHINGLES = 1024, 2_000_000
 #: Partners of one set that are compared in one task, and the parts into which a shingle's sets are dealt.
@@ -52,6 +52,15 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _DESCRIPTION = T.StructType().add("n", T.LongType()).add("digest", T.BinaryType()).add("signature", T.BinaryType())
 
 
+def least_agreement(percent: int) -> int:
+    """Signature values that candidates share: 4 deviations below what a link has on average."""
+    p = percent / 100
+    return round(VALUES * p - 4 * math.sqrt(VALUES * p * (1 - p)))
+
+
+AGREE = least_agreement(PERCENT)
+
+
 # -- sets and signatures ----------------------------------------------------------
 
 
@@ -170,8 +179,8 @@ def _settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _candidates(keys: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one region whose signatures agree in at least ``AGREE`` values."""
+def _candidates(keys: np.ndarray, region: np.ndarray, agree: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one region whose signatures agree in at least ``agree`` values."""
     links: list[tuple[np.ndarray, np.ndarray]] = []
     rows, lag = np.arange(len(keys)), 1
     while True:
@@ -180,7 +189,7 @@ def _candidates(keys: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.nd
         if not len(rows):
             break
         for part in np.array_split(rows, -(-len(rows) // 100_000)):
-            alike = (keys[part] == keys[part + lag]).sum(axis=1) >= AGREE
+            alike = (keys[part] == keys[part + lag]).sum(axis=1) >= agree
             links.append((part[alike], part[alike] + lag))
         lag += 1
     if not links:
@@ -194,7 +203,7 @@ def _parted(shared: np.ndarray) -> np.ndarray:
     return (np.bincount(number) > REGION)[number] | (number == 0) | (number == number[-1])
 
 
-def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups_of(batches: Iterator[pa.RecordBatch], agree: int = AGREE) -> Iterator[pa.RecordBatch]:
     """Candidate groups of one sorted partition: a row per member, with the group's first member.
 
     Rows without a place name the nodes that may have partners outside their region.
@@ -206,7 +215,7 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = np.frombuffer(b"".join(table["key"].to_pylist()), np.uint8).reshape(-1, VALUES)
     shared = _common_prefix(keys, trees)
     region = _regions(shared, REGION)
-    a, b = _candidates(keys, region)
+    a, b = _candidates(keys, region, agree)
     root = _settled(len(keys), a, b)
     member = np.zeros(len(keys), bool)
     member[a] = member[b] = True
@@ -226,20 +235,20 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([place, first, members], names=["place", "first", "node"])
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
+def candidate_groups(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``grp``, ``first`` and ``node`` of every candidate group of every tree; ``grp`` is null for parted nodes."""
     total = nodes.count()
     rows = nodes.select("node", F.posexplode(_layouts("signature")).alias("tree", "key"))
     partitions = max(8, -(-total * TREES // ROWS_A_PARTITION))
     ordered = rows.repartitionByRange(partitions, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = ordered.mapInArrow(_groups_of, "place string, first binary, node binary")
+    found = ordered.mapInArrow(partial(_groups_of, agree=least_agreement(percent)), "place string, first binary, node binary")
     return found.select(F.when(F.col("place").isNotNull(), F.xxhash64("place", "first")).alias("grp"), "first", "node")
 
 
 # -- exact comparison --------------------------------------------------------------
 
 
-def exact_components(sets: list[np.ndarray]) -> np.ndarray:
+def exact_components(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The least set that each set reaches over links; every pair that shares a shingle is counted.
 
     Shingles of one set only are dropped, the others list the sets that hold them, and
@@ -262,25 +271,29 @@ def exact_components(sets: list[np.ndarray]) -> np.ndarray:
         upto = np.cumsum(counts)
         gather = np.arange(upto[-1]) + np.repeat(starts[own] - (upto - counts), counts)
         shared = np.bincount(holders[gather], minlength=len(sets))
-        linked = 100 * shared >= PERCENT * (sizes[i] + sizes - shared)
+        linked = 100 * shared >= percent * (sizes[i] + sizes - shared)
         labels = np.unique(label[linked])
         if len(labels) > 1:
             label[np.isin(label, labels)] = labels[0]
     return label
 
 
-def _confirmed(table: pa.Table) -> pa.Table:
+def _confirmed(table: pa.Table, percent: int) -> pa.Table:
     table = table.sort_by("node")
     sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-    label = exact_components(sets) if len(sets) > 1 else np.zeros(len(sets), int)
+    label = exact_components(sets, percent) if len(sets) > 1 else np.zeros(len(sets), int)
     moved = np.flatnonzero(label != np.arange(len(label)))
     node = table["node"].combine_chunks()
     return pa.table({"a": node.take(pa.array(moved)), "b": node.take(pa.array(label[moved]))})
 
 
-def _links(dealt: DataFrame) -> DataFrame:
+def _links(dealt: DataFrame, percent: int) -> DataFrame:
     """``a`` and ``b``: each set of a ``grp`` and the least one that it reaches there."""
-    return dealt.groupBy("grp").applyInArrow(_confirmed, "a binary, b binary")
+
+    def confirmed(table: pa.Table) -> pa.Table:
+        return _confirmed(table, percent)
+
+    return dealt.groupBy("grp").applyInArrow(confirmed, "a binary, b binary")
 
 
 def _clusters(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,7 +329,7 @@ def _salted(rows: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
     return rows.withColumn("salt", salt).join(copies, ["shingle", "salt"], how).drop("salt")
 
 
-def _rarest(sets: DataFrame) -> DataFrame:
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of each set, as many as make linked sets share one, less those of one set only.
 
     ``central`` is how many sets hold a shingle of this one, on average.
@@ -326,21 +339,21 @@ def _rarest(sets: DataFrame) -> DataFrame:
     counted = F.struct(F.coalesce("times", F.lit(1)).alias("times"), "shingle")
     held = _salted(each, times, "left").groupBy("node").agg(F.sort_array(F.collect_list(counted)).alias("held"))
     n = F.size("held")
-    length = n - F.ceil(n * PERCENT / 100).cast("int") + 1
+    length = n - F.ceil(n * percent / 100).cast("int") + 1
     central = F.aggregate("held", F.lit(0.0), lambda s, x: s + x["times"]) / n
     rows = held.select("node", n.alias("n"), central.alias("central"), F.explode(F.slice("held", F.lit(1), length)).alias("x"))
     return rows.filter("x.times > 1").select("node", "n", "central", "x.shingle")
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+def _pair_links(pairs: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
     """Links among the sets of ``pairs``: those of one ``a`` are compared in parts."""
     part = F.pmod(F.xxhash64("b"), F.lit(max(1, total // PARTNERS)))
     dealt = pairs.select(F.xxhash64("a", part).alias("grp"), "a", "b")
     members = dealt.select("grp", F.explode(F.array("a", "b")).alias("node")).distinct()
-    return staged(_links(members.join(sets.select("node", "shingles"), "node")), "set-links")
+    return staged(_links(members.join(sets.select("node", "shingles"), "node"), percent), "set-links")
 
 
-def parted_links(sets: DataFrame, links: DataFrame) -> DataFrame:
+def parted_links(sets: DataFrame, links: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links that make the components of ``links`` exact for ``sets``: ``node`` and ``shingles``.
 
     First every set is compared with the most central one of each of its rarest shingles,
@@ -348,12 +361,12 @@ def parted_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     between components.
     """
     total = sets.count()
-    rarest = staged(_rarest(sets), "set-rarest")
+    rarest = staged(_rarest(sets, percent), "set-rarest")
     pivots = rarest.groupBy("shingle").agg(F.max(F.struct("central", "node", "n")).alias("p"))
     pivots = staged(pivots.select("shingle", F.col("p.node").alias("a"), F.col("p.n").alias("a_n")), "set-pivots")
-    alike = 100 * F.least("n", "a_n") >= PERCENT * F.greatest("n", "a_n")
+    alike = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
     spokes = _salted(rarest, pivots).filter((F.col("node") != F.col("a")) & alike)
-    first = _pair_links(spokes.select("a", F.col("node").alias("b")).distinct(), sets, total)
+    first = _pair_links(spokes.select("a", F.col("node").alias("b")).distinct(), sets, total, percent)
 
     rooted = components(links.union(first))
     root = F.coalesce("root", "node").alias("root")
@@ -364,13 +377,14 @@ def parted_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     others = others.select("shingle", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
     across = _salted(labelled, staged(others, "set-others")).filter((F.col("root") != F.col("a_root")) & alike)
     pairs = across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    return first.union(_pair_links(pairs, sets, total))
+    return first.union(_pair_links(pairs, sets, total, percent))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text_hash``, ``root``, ``n_shingles``, ``component_id`` and ``kept``.
 
     ``root`` tells components apart even where ids repeat; it is null without shingles.
+    Texts are linked whose sets share ``percent`` of their union.
     A text's set holds its distinct five-word shingles; with fewer words it is the
     whole sequence as one. Texts without words, null ones too, have no shingle and are
     linked with nothing. ``component_id`` is the least id in the component; rows with
@@ -388,7 +402,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = nodes.agg(F.max("n").alias("n"), F.max("signature").alias("signature"), origin.alias("origin"))
     nodes = staged(nodes.select("node", "n", "signature", "origin.doc_id", "origin.text_hash"), "set-nodes")
 
-    found = staged(candidate_groups(nodes), "set-groups")
+    found = staged(candidate_groups(nodes, percent), "set-groups")
     groups = found.filter("grp IS NOT NULL")
     member = staged(_clusters(groups, nodes), "set-clusters")
     named = nodes.select("node", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
@@ -397,14 +411,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Texts are many times larger than the table of nodes at every size, and are dealt out alike at all.
     sets = plain.join(wanted.hint("shuffle_merge"), same).select("node", "grps", _set_bytes(word_hashes("text")).alias("shingles"))
     sets = sets.groupBy("node").agg(F.first("grps").alias("grps"), F.first("shingles").alias("shingles"))
-    links = staged(_links(sets.select("node", "shingles", F.explode("grps").alias("grp"))), "set-links")
+    links = staged(_links(sets.select("node", "shingles", F.explode("grps").alias("grp")), percent), "set-links")
 
     parted = found.filter("grp IS NULL").select("node").union(member.filter("large").select("node")).distinct()
     parted = staged(parted.join(named, "node"), "set-parted")
     if not parted.isEmpty():
         sets = plain.join(parted, same).select("node", _set_bytes(word_hashes("text")).alias("shingles"))
         sets = staged(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "parted-sets")
-        links = links.union(parted_links(sets, links))
+        links = links.union(parted_links(sets, links, percent))
     rooted = components(links)
 
     labelled = nodes.select("node", "doc_id").join(rooted, "node", "left")
@@ -418,7 +432,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return result.withColumn("kept", kept)
 
 
-def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each component, with the columns of ``docs``: its least id's first text.
 
     Of rows that repeat id and text one stays; an id that names several unlinked texts
@@ -426,7 +440,7 @@ def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     inputs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    judged = staged(near_duplicates(docs, doc_id, text).filter("kept"), "kept-rows")
+    judged = staged(near_duplicates(docs, doc_id, text, percent).filter("kept"), "kept-rows")
     chosen = judged.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("key"))
     keys = judged.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times"))
     picked = keys.join(chosen.select(F.col("root").alias("_root"), "key"), F.col("root") == F.col("_root"), "left")

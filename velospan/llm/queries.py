@@ -93,7 +93,7 @@ def op6_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
-    judged = lsh_forest.near_duplicates(_read(spark, folder, "documents"))
+    judged = lsh_forest.near_duplicates(_read(spark, folder, "documents"), percent=85)
     return judged.select("doc_id", "n_shingles", "component_id", "kept")
 
 
