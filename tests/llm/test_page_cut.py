@@ -68,6 +68,21 @@ def test_what_surrounds_an_article_goes():
         assert page_cut.main_text(page(f"<article>{story}{part}</article>".replace("<header>", '<header class="masthead">'))) == want, part
 
 
+def test_names_of_wrappers_do_not_remove_an_article():
+    story = f"<h1>Title</h1><p>{LONG}</p><p>Yes.</p>"
+    want = f"Title\n{LONG}\nYes."
+    for name in ("layout has-sidebar", "with-sidebar", "no-comments", "side-nav-open", "page--has-sidebar", "sidebar-layout", "sidebar", "search"):
+        for inner in ("<article>{}</article>", "<main>{}</main>", "<div><article>{}</article></div>"):
+            assert page_cut.main_text(page(f'<div class="{name}">{inner.format(story)}</div>')) == want, (name, inner)
+    for name in ("layout has-sidebar", "no-comments", "side-nav-open"):
+        assert page_cut.main_text(page(f'<div class="{name}"><div class="content">{story}</div></div>')) == want, name
+    for name in ("entry-header", "post-header", "header"):
+        head = f'<article><div class="{name}"><h1>Title</h1></div><p>{LONG}</p><p>Yes.</p></article>'
+        assert page_cut.main_text(page(head)) == want, name
+    aside = f'<div class="sidebar"><article><p>{LONG}</p></article></div>'
+    assert page_cut.main_text(page(f'<div class="with-sidebar">{aside}<article>{story}</article>{aside}</div>')) == want
+
+
 def test_broken_and_empty_pages():
     assert page_cut.main_text(None) == page_cut.main_text("") == page_cut.main_text("<html><nav>x</nav>") == ""
     assert page_cut.main_text(f"<nav><a>x</a><article><p>{LONG}<p>{LONG} &am") == f"{LONG}\n{LONG} &am"

@@ -43,6 +43,12 @@ _BAD_NAMES = re.compile(
     re.I,
 )
 _GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|prose|body)(?=$|[\s_-])", re.I)
+# Names that tell what an element has around or in it, or a state of it, not what it is.
+_NOT_ITSELF = re.compile(
+    r"(?:^|[_-])(?:has|have|with|without|no|not)[_-]|[_-](?:open|opened|closed|collapsed|expanded|visible|hidden|active|enabled|disabled|layout)$", re.I
+)
+#: The head of an article, which is not that of the page.
+_OWN_HEAD = re.compile(r"(?:^|[_-])(?:entry|post|article|story)[_-]+header$", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^<]*\Z", re.S)
 _NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -52,6 +58,17 @@ _END_MARKS = tuple(".!?…:;\"'”»)")
 SAME_PARENT, CLOSE, FAR, SIBLINGS = 0.9, 0.3, 0.1, 0.5
 #: Logits for what surrounds a block.
 BOILERPLATE, ARTICLE, OUTSIDE_ARTICLE = -8.0, 3.0, -2.5
+#: Logit for a class or id name of boilerplate, and its share that is left at every level further down.
+NAMED, NAMED_LEFT = -8.0, 0.9
+
+
+def _names_boilerplate(told: str, in_article: bool) -> bool:
+    """Whether a class or id name says that the element itself is boilerplate."""
+    for one in told.split():
+        own_head = _OWN_HEAD.search(one) or in_article and one.lower() == "header"
+        if _BAD_NAMES.search(one) and not _NOT_ITSELF.search(one) and not own_head:
+            return True
+    return False
 
 
 @dataclass
@@ -62,6 +79,7 @@ class _Element:
     article: bool
     good: bool
     unseen: bool
+    named: float = 0.0
 
 
 @dataclass
@@ -75,6 +93,7 @@ class Block:
     article: bool
     good: bool
     linked: float
+    named: float = 0.0
 
 
 @dataclass
@@ -95,7 +114,7 @@ class _Reader:
             if text and not top.unseen:
                 path = tuple(e.number for e in self.stack)
                 share = min(1.0, self.linked_chars / max(1, raw))
-                self.blocks.append(Block(text, top.name, path, top.bad, top.article, top.good, share))
+                self.blocks.append(Block(text, top.name, path, top.bad, top.article, top.good, share, top.named))
         self.linked_chars = 0
 
     def add(self, text: str) -> None:
@@ -123,8 +142,8 @@ class _Reader:
                     told += " " + value
         article = name in ("article", "main")
         whole = article or name in ("html", "body")
-        named_bad = not whole and bool(told) and bool(_BAD_NAMES.search(told))
-        bad = name in _BOILERPLATE or role or named_bad or (name == "header" and not outer.article)
+        named_bad = not whole and bool(told) and _names_boilerplate(told, outer.article)
+        bad = name in _BOILERPLATE or role or (name == "header" and not outer.article)
         article_named = name == "article" and bool(re.search(r"comment|repl(?:y|ies)|teaser", told, re.I))
         inherited = outer.bad
         if article and inherited and self._only_left_open():
@@ -138,6 +157,7 @@ class _Reader:
                 outer.article or article,
                 outer.good or (not whole and bool(_GOOD_NAMES.search(told)) and not named_bad),
                 outer.unseen or ("hidden" in attributes or "none" in attributes) and bool(_UNSEEN.search(attributes)),
+                NAMED if named_bad else 0.0 if name == "main" else outer.named * NAMED_LEFT,
             )
         )
         if name in _VOID:
@@ -223,6 +243,7 @@ def logit(block: Block, has_article: bool) -> float:
     score -= (4.0 if block.article else 6.0) * block.linked
     score += {"p": 0.8, "h1": 1.0, "pre": 0.5, "blockquote": 0.5, "td": -0.5, "th": -0.5}.get(block.tag, 0.0)
     score -= 0.3 if block.tag == "li" and not block.article else 0.0
+    score += block.named
     return score - (3.0 if text.startswith(("©", "(c) ", "Copyright")) else 0.0)
 
 
@@ -311,8 +332,16 @@ def _source_side(rest: list[int], net: list[float], near: list, label: list) ->
 def main_text(page: str | None) -> str:
     """Content blocks in page order, one to a line; empty for null, empty or content-free pages."""
     blocks = blocks_of(page or "")
-    has_article = any(b.article and not b.bad for b in blocks)
+    has_article = any(b.article and not b.bad and not b.named for b in blocks)
     net = [logit(b, has_article) for b in blocks]
+    called = [b for b in blocks if b.article and not b.bad and b.named]
+    if called and not has_article:
+        # The only article stands in what a name calls boilerplate: it outweighs the name if it is the larger part.
+        rest = sum(len(b.text) for b, x in zip(blocks, net, strict=True) if x > 0 and not b.named)
+        if sum(len(b.text) for b in called) > rest:
+            for b in called:
+                b.named = 0.0
+            net = [logit(b, True) for b in blocks]
     kept = minimum_cut(net, edges_of(blocks))
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
