@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velospan.llm import host_rules, license_scan, lsh_forest, page_cut, pattern_packing, preference, sketch, source_mix, token_scan, toxicity
+from velospan.llm import (
+    host_rules,
+    license_scan,
+    lsh_forest,
+    page_cut,
+    pattern_packing,
+    period_runs,
+    preference,
+    sketch,
+    source_mix,
+    token_scan,
+    toxicity,
+)
+from velospan.llm.columns import whole_text, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,3 +163,46 @@ def op4_preference(spark: SparkSession, folder: str) -> DataFrame:
     made = preference.format_preferences(preference.swapped_replies(whole))
     masks = [preference.spans_text(c).alias(c) for c in ("chosen_mask", "rejected_mask")]
     return made.select("conv_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", *masks)
+
+
+# A run of the contract has five places in a row or more where a word equals the one a period on,
+# so every stretch of such places is a stretch of equal five-word windows.
+_RUNS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(cast(doc_id AS VARCHAR), '') AS id,
+   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o FROM documents),
+c AS (SELECT r, doc_id, o, len(o)::BIGINT AS n,
+   xor(list_reduce([4294967295::BIGINT] || list_transform(CASE WHEN id = '' THEN []::VARCHAR[] ELSE string_split(id, '') END, lambda x: ord(x)::BIGINT),
+     lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+       lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS h FROM d),
+m AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM c),
+q AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM m),
+w AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN o
+   ELSE list_transform(generate_series(0, n - 1), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM q),
+k AS (SELECT r, n, w, unnest(generate_series(0, n - 6)) AS i FROM w WHERE n >= 6),
+g AS (SELECT r, n, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5]) AS x, w[i + 1 : i + 5] AS five FROM k
+   UNION ALL SELECT r, n, n - 5, hash(w[n - 4], w[n - 3], w[n - 2], w[n - 1], w[n]), w[n - 4 : n] FROM w WHERE n >= 6),
+e AS (SELECT a.r, a.i, b.i - a.i AS p FROM g a JOIN g b ON a.r = b.r AND a.x = b.x AND a.five = b.five AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+t AS (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS part FROM e),
+l AS (SELECT r, min(i) AS start, max(i) - min(i) + 5 + p AS length, p AS period FROM t GROUP BY r, p, part),
+u AS (SELECT r, start, length, min(period) AS period FROM l WHERE length >= 6 AND length >= 4 * period GROUP BY r, start, length),
+f AS (SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM u GROUP BY r),
+b AS (SELECT r, start, length, period FROM u
+   QUALIFY row_number() OVER (PARTITION BY r ORDER BY (length::HUGEINT * 1000000000000) // period DESC, start, period) = 1),
+z AS (SELECT DISTINCT r, unnest(generate_series(start + period, start + length - 1)) AS i FROM u),
+y AS (SELECT r, list_transform(list(i), lambda x: x + 1) AS gone FROM z GROUP BY r)
+SELECT w.doc_id, coalesce(f.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+  (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(f.lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN y.gone IS NULL THEN w.w
+    ELSE list_filter(w.w, lambda x, i: NOT list_contains(y.gone, i)) END, ' ')) AS collapsed_sha256
+FROM w LEFT JOIN f USING (r) LEFT JOIN b USING (r) LEFT JOIN y USING (r)"""
+
+
+@query(_RUNS_SQL)
+def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", words(whole_text()).alias("words"))
+    put = period_runs.repeated_words(F.col("words"), F.col("doc_id"))
+    found = period_runs.with_runs(docs.select("doc_id", put.alias("words")), F.col("words"), name="found")
+    judged = found.select("doc_id", *[c.alias(n) for n, c in period_runs.run_columns("found").items()])
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return judged.select("doc_id", "n_runs", *best, milli, "runs_sha256", "collapsed_sha256")
