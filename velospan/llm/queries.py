@@ -17,6 +17,7 @@ from velospan.llm import (
     preference,
     sketch,
     source_mix,
+    token_alignment,
     token_scan,
     toxicity,
 )
@@ -206,3 +207,9 @@ def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
     milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
     return judged.select("doc_id", "n_runs", *best, milli, "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = token_alignment.align(_read(spark, folder, "documents"), digests=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
