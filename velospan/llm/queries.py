@@ -17,6 +17,7 @@ from velospan.llm import (
     preference,
     sketch,
     source_mix,
+    suffix_dedup,
     token_alignment,
     token_scan,
     toxicity,
@@ -213,3 +214,17 @@ def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     aligned = token_alignment.align(_read(spark, folder, "documents"), digests=True)
     return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    kept = suffix_dedup.without_repeats(docs, name="found")
+    removed = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, x: n + x["upto"] - x["start"])
+    return kept.select(
+        "doc_id",
+        F.col("found.n_bytes").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("found.spans").cast("long").alias("n_spans"),
+        F.sha2("found.kept", 256).alias("kept_sha256"),
+    )
