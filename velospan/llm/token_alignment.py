@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from velospan.staging import staged
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, distinct parts that a worker remembers, and parts encoded at a time.
-BLOCK_BYTES, KEPT_PARTS, ENCODED_AT_ONCE = 3_000_000, 200_000, 4096
+BLOCK_BYTES, KEPT_PARTS, ENCODED_AT_ONCE = 1_500_000, 250_000, 8192
 #: Groups of more links than this are counted by distinct ids before they are multiplied.
 LARGE_GROUP = 64
 # A blank before white space belongs to what is before it. Format characters that some rules take for
@@ -41,6 +42,7 @@ LARGE_GROUP = 64
 _LOOSE = r"᠎​⁠﻿"
 _CUT = re.compile(rf"(?<=[^ ]) (?=[^\s{_LOOSE}])")
 _NOT_PLAIN = re.compile(rf"  | $| [\s{_LOOSE}]|^[\s{_LOOSE}]")
+_ANY_BLANK = re.compile(rf"[\s{_LOOSE}]")
 # Fixed value: what stands for a blank in the pieces of the second tokenizer.
 _PIECE_BLANK = "\u2581"
 
@@ -106,10 +108,8 @@ class _Store:
     def __init__(self) -> None:
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def add(self, lists: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,9 @@ class TokenPair:
     """
 
     def __init__(self, first: str, second: str) -> None:
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.first = Tokenizer.from_file(first)
@@ -136,12 +138,19 @@ class TokenPair:
         with open(first, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         names = _byte_names()
+        ranks = {bytes(names[c] for c in token): number for token, number in vocabulary.items() if all(c in names for c in token)}
+        special = {token for token, number in vocabulary.items() if number in self.first.get_added_tokens_decoder()}
+        for token in special:
+            ranks.pop(token.encode(), None)
+        # The vocabulary's order is that of its merges, so the same file serves where whole lots are encoded.
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = self.first.get_vocab_size(with_added_tokens=True)
-        self.first_length = np.zeros(size, np.int64)
-        for token, number in vocabulary.items():
-            self.first_length[number] = sum(c in names for c in token)
+        self.first_length, self.first_blank = np.zeros(size, np.int64), np.zeros(size, bool)
+        for token, number in ranks.items():
+            self.first_length[number], self.first_blank[number] = len(token), token[:1] == b" "
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
         self.second_length = np.array([len(x) for x in self.second_bytes], np.int64)
+        self.second_blank = np.array([x[:1] == b" " for x in self.second_bytes])
         self.forget()
 
     def _piece(self, number: int) -> bytes:
@@ -156,13 +165,38 @@ class TokenPair:
     def _learn(self, parts: list[str]) -> None:
         for at in range(0, len(parts), ENCODED_AT_ONCE):
             some = parts[at : at + ENCODED_AT_ONCE]
-            encoded = self.first.encode_batch_fast([f" {x}" for x in some], add_special_tokens=False)
-            pieces = self.second.encode(some, num_threads=1)
-            self.a.add([e.ids for e in encoded])
-            self.b.add(pieces)
-            same = [b"".join(map(self.second_bytes.__getitem__, ids)) == f" {x}".encode() for x, ids in zip(some, pieces, strict=True)]
-            self.faithful = np.concatenate([self.faithful, np.array(same, bool)])
-            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
+            odd = [x for x in some if _ANY_BLANK.search(x)]
+            plain = [x for x in some if not _ANY_BLANK.search(x)] if odd else some
+            if plain:
+                self._learn_plain(plain)
+            if odd:
+                encoded = self.first.encode_batch_fast([f" {x}" for x in odd], add_special_tokens=False)
+                pieces = self.second.encode(odd, num_threads=1)
+                for store, lists in ((self.a, [e.ids for e in encoded]), (self.b, pieces)):
+                    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+                    store.add(np.array([x for ids in lists for x in ids], np.int32), lengths)
+                self._remember(odd, [self._spelt(ids) == f" {x}".encode() for x, ids in zip(odd, pieces, strict=True)])
+
+    def _learn_plain(self, parts: list[str]) -> None:
+        """Parts without blanks are encoded in one call: each begins with the only blank before it."""
+        joined = " ".join(parts)
+        a, b = self.ranks.encode_ordinary(f" {joined}"), self.second.encode(joined)
+        same = self._spelt(b) == f" {joined}".encode()
+        begins = [np.flatnonzero(blank[ids]) for blank, ids in ((self.first_blank, a), (self.second_blank, b))]
+        for store, ids, begin in zip((self.a, self.b), (a, b), begins, strict=True):
+            store.add(np.array(ids, np.int32), np.diff(np.r_[begin, len(ids)]))
+        if same:
+            self._remember(parts, [True] * len(parts))
+        else:
+            cuts = zip(begins[1], [*begins[1][1:], len(b)], strict=True)
+            self._remember(parts, [self._spelt(b[low:high]) == f" {x}".encode() for x, (low, high) in zip(parts, cuts, strict=True)])
+
+    def _spelt(self, pieces: list[int]) -> bytes:
+        return b"".join(map(self.second_bytes.__getitem__, pieces))
+
+    def _remember(self, parts: list[str], faithful: list[bool]) -> None:
+        self.faithful = np.concatenate([self.faithful, np.array(faithful, bool)])
+        self.place.update(zip(parts, range(len(self.place), len(self.place) + len(parts)), strict=True))
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both sides in a row, and where each text's begin (one more than texts).
@@ -256,7 +290,7 @@ _ARROW_BLOCKS = pa.schema([
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = np.array([len(x) if x else 0 for x in texts.to_pylist()])
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(sizes) // BLOCK_BYTES
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(sizes)]]).tolist()
     return ((low, high) for low, high in zip(cuts[:-1], cuts[1:], strict=True) if high > low)
