@@ -26,9 +26,11 @@ SAMPLE_ROWS = 20_000
 TERM_BITS = 24
 #: A term is in the model if its texts' labels differ from the rest by this likelihood ratio,
 #: or if it is common: in this share of the sample and this many texts, so that pairs with it can be learnt.
-LEAST_RATIO, COMMON_SHARE, COMMON_TEXTS = 15.0, 0.02, 100
+LEAST_RATIO, COMMON_SHARE, COMMON_TEXTS = 15.0, 0.01, 100
 FACTORS = 4
-EPOCHS, BATCH_TEXTS, RATE, DECAY, FACTOR_DECAY = 20, 256, 0.05, 1e-4, 5e-4
+#: Passes over the sample, and steps at least: a small sample is passed over more often, until its weights settle.
+EPOCHS, LEAST_STEPS = 20, 400
+BATCH_TEXTS, RATE, DECAY, FACTOR_DECAY = 256, 0.05, 1e-4, 5e-4
 # Everything but ASCII digits, ASCII letters and non-ASCII characters separates words.
 _BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -106,7 +108,8 @@ def fit(lists: list[np.ndarray], labels: np.ndarray) -> Model:
     rng = np.random.default_rng(7)
     w, v = odds[common].copy(), rng.normal(0, 0.03, (n, FACTORS))
     seen_w, seen_v, seen_b = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    steps = -(-len(lists) // BATCH_TEXTS)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // steps))):
         order = rng.permutation(len(lists))
         for at in range(0, len(order), BATCH_TEXTS):
             batch = order[at : at + BATCH_TEXTS]
