@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 from datetime import date, datetime, timedelta
@@ -40,7 +41,7 @@ def sample(spark):
 def test_exported_documents(spark, tmp_path):
     trip_rows, routes = sample(spark)
     root = str(tmp_path / "out")
-    row = E.export(trip_rows, stations(spark), routes, "all", root)
+    row, entries = E.export(trip_rows, stations(spark), routes, "all", root)
 
     days = {(r.id, r.part): r for r in E.load_day(spark, root).collect()}
     assert sorted(days) == [("2024-01-01", 0), ("2024-01-01", 1), ("2024-01-02", 0)]
@@ -55,9 +56,9 @@ def test_exported_documents(spark, tmp_path):
     empty = days["2024-01-02", 0].asDict(True)
     assert empty["trips"] == [] and empty["stations"] == [] and empty["summary"]["totalTrips"] == 1
 
-    text = next((tmp_path / "out/raw/kind=day/id=2024-01-01/part=0").glob("*.txt")).read_bytes().rstrip(b"\n")
-    assert list(json.loads(text)) == ["date", "stations", "trips", "activity", "summary"]
     entry = next(d for d in row.first().days if d.date == "2024-01-01")
+    text = (tmp_path / "out" / entry.path).read_bytes()
+    assert list(json.loads(text)) == ["date", "stations", "trips", "activity", "summary"]
     assert (entry.hash, entry.bytes) == (hashlib.sha256(text).hexdigest()[:12], len(text))
     assert entry.path == f"days/2024-01-01.{entry.hash}.json" and entry.gzipPath == entry.path + ".gz"
     assert 0 < entry.gzipBytes < entry.bytes and (entry.trips, entry.routedTrips) == (2, 2)
@@ -65,26 +66,44 @@ def test_exported_documents(spark, tmp_path):
     assert [(x.slice, x.trips, x.routedTrips) for x in entry.slices] == [(0, 0, 0), (1, 2, 2)]
     assert entry.slices[0].path == entry.path and entry.slices[1].path.startswith("days/2024-01-01-0001.")
 
-    written = json.loads(next((tmp_path / "out/manifest.json").glob("*.txt")).read_text())
+    written = json.loads((tmp_path / "out/manifest.json").read_text())
+    assert json.loads(gzip.decompress((tmp_path / "out/manifest.json.gz").read_bytes())) == written
     assert written["dateRange"] == {"minDate": "2024-01-01", "maxDate": "2024-01-02", "tripCount": 4}
     assert written["files"]["routes"]["routeCount"] == 1 and written["files"]["routes"]["shards"][0]["id"] == "shard-0000"
     assert written["files"]["bikepoints"]["stationCount"] == 3
     wanted = spark.createDataFrame([("shard-0000", "BikePoints_1|BikePoints_3"), ("shard-0000", "x|y")], "shard_id string, route_key string")
     assert E.load_shard(spark, root, wanted).select("coordinates").collect() == [([[0.0, 1.0], [2.0, 3.5]],)]
-    document = json.loads(next((tmp_path / "out/raw/kind=stations/id=stations/part=0").glob("*.txt")).read_text())
+    document = json.loads((tmp_path / "out" / written["files"]["bikepoints"]["path"]).read_text())
     assert [s["bikepointNumber"] for s in document["stations"]] == ["1", "100", "3"]
     assert document["stations"][0] == {
         "bikepointId": "BikePoints_1", "bikepointNumber": "1", "name": "River Street , Clerkenwell", "terminalName": "0100",
         "coord": [0.0, 51.5], "installed": True, "locked": None, "temporary": False, "nbDocks": 5,
     }
+    check_files(tmp_path / "out", written)
+    assert {r.path for r in entries.collect()} == {f["path"] for f in listed_files(written)}
+
+
+def listed_files(written):
+    slices = [s for d in written["days"] for s in d["slices"]]
+    return [*slices, *written["days"], *written["files"]["routes"]["shards"], *written["files"]["bikepoints"]["files"]]
+
+
+def check_files(root, written):
+    """Every path of the manifest can be opened, and is what its name, hash and sizes say."""
+    for file in listed_files(written):
+        plain, packed = (root / file["path"]).read_bytes(), (root / file["gzipPath"]).read_bytes()
+        assert gzip.decompress(packed) == plain and (file["bytes"], file["gzipBytes"]) == (len(plain), len(packed))
+        assert hashlib.sha256(plain).hexdigest()[:12] == file["hash"] == file["path"].split(".")[-2]
+    assert not [p for p in root.rglob(".*") if not p.name.endswith(".crc")]
+
 
 
 def test_chosen_days_and_limit(spark, tmp_path):
     trip_rows, routes = sample(spark)
     wanted = [date(2024, 1, 5), date(2024, 1, 1), date(2024, 1, 5)]
-    row = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "a"), wanted).first()
+    row = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "a"), wanted)[0].first()
     assert [(d.date, d.trips) for d in row.days] == [("2024-01-01", 2), ("2024-01-05", 0)]
-    limited = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "b"), limit_days=1).first()
+    limited = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "b"), limit_days=1)[0].first()
     assert [d.date for d in limited.days] == ["2024-01-01"] and limited.dateRange.tripCount == 4
 
 
@@ -93,7 +112,7 @@ def test_every_day_is_cut_the_same_way_and_counts_add_up(spark, tmp_path):
     rows = [(f"n{i}", at + timedelta(seconds=i * 400), 60, "1", "3") for i in range(200)]
     rows += [(f"burst{i}", at + timedelta(hours=20), 60, "1", "404" if i % 3 else "3") for i in range(30)]
     rows += [("later", at + timedelta(days=3, hours=23), 60, "1", "3")]
-    row = E.export(trips(spark, rows), stations(spark), sample(spark)[1], "all", str(tmp_path / "s"), slice_seconds=900).first()
+    row = E.export(trips(spark, rows), stations(spark), sample(spark)[1], "all", str(tmp_path / "s"), slice_seconds=900)[0].first()
     first, later = row.days
     assert len(first.slices) > 80 and [x.slice for x in later.slices] == [0, 92]
     for day in row.days:
@@ -107,7 +126,7 @@ def test_every_station_page_is_listed(spark, tmp_path):
     pages = E.station_master_document(stations(spark), 2)
     assert [r.stations_in_document for r in pages.orderBy("part").collect()] == [2, 1]
     trip_rows, routes = sample(spark)
-    row = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "p")).first()
+    row = E.export(trip_rows, stations(spark), routes, "all", str(tmp_path / "p"))[0].first()
     assert [f.stationCount for f in row.files.bikepoints.files] == [3] and row.files.bikepoints.files[0].path == row.files.bikepoints.path
 
 
@@ -150,3 +169,88 @@ def test_a_cache_is_read_in_the_order_it_was_appended(spark, tmp_path):
         route_cache.append_routes(route_cache.parse_route_responses(frame, "mapbox"), path)
     got = [r.pair_from for r in route_cache.read_route_lines(spark, path).orderBy("ordinal").select("pair_from").collect()]
     assert got == sorted(got) and len(got) == 8000
+
+
+def data_folder(spark, root, trip_rows, google=(), mapbox=()):
+    trip_rows.withColumn("source_key", F.lit("a.csv")).write.mode("overwrite").parquet(f"{root}/validated/trips_by_file/source_part=a.csv")
+    stations(spark).write.mode("overwrite").parquet(f"{root}/reference/bikepoints/bikepoints.parquet")
+    for name, rows in (("google_bicycle", google), ("mapbox_cycling", mapbox)):
+        if rows:
+            cache(spark, rows).write.mode("overwrite").parquet(f"{root}/reference/routes/{name}/routes.parquet")
+
+
+def test_only_what_changed_is_exported_again(spark, tmp_path):
+    root, out = str(tmp_path / "data"), tmp_path / "out"
+    at = datetime(2024, 1, 1, 8)
+    rows = [(f"t{d}{i}", at + timedelta(days=d, hours=i), 60, "1", "3") for d in range(3) for i in range(3)]
+    google = [("BikePoints_1", "BikePoints_3", LINE, None, 1, 9.0)]
+    data_folder(spark, root, trips(spark, rows), google)
+
+    def run(**more):
+        entries = E.run_export(spark, root, str(out), **more).collect()
+        written = json.loads((out / "manifest.json").read_text())
+        check_files(out, written)
+        assert {r.path for r in entries} == {f["path"] for f in listed_files(written)}
+        assert [d["date"] for d in written["days"]] == sorted({r.id for r in entries if r.kind == "day"})
+        return {(r.kind, r.id, r.part) for r in entries if r.written}, written
+
+    first, manifest = run()
+    assert len(first) == 3 * 2 + 2 and manifest["files"]["routes"]["routeCount"] == 1
+    stamps = {p: p.stat().st_mtime_ns for p in out.rglob("*.json*") if "manifest" not in p.name}
+    again, same = run()
+    assert again == set() and same["days"] == manifest["days"]
+    # One day has another trip: only its slices change.
+    data_folder(spark, root, trips(spark, [*rows, ("new", at + timedelta(days=1), 90, "3", "1")]), google)
+    changed, manifest = run()
+    assert changed == {("day", "2024-01-02", 0), ("day", "2024-01-02", 1)}
+    assert [d["trips"] for d in manifest["days"]] == [3, 4, 3]
+    assert all(p.stat().st_mtime_ns == stamp for p, stamp in stamps.items())
+    days = {(r.id, r.part): len(r.trips) for r in E.load_day(spark, str(out)).collect()}
+    assert days[("2024-01-02", 1)] == 4 and len(days) == 6
+    # A file that has gone is written again, with the other slices of its day left as they are.
+    lost = next(s for s in manifest["days"][0]["slices"] if s["slice"] == 1)["path"]
+    (out / lost).unlink()
+    assert run()[0] == {("day", "2024-01-01", 1)}
+    # Another provider's cache overrides: days with routes, and the shard, are new.
+    data_folder(spark, root, trips(spark, rows), google, [("BikePoints_1", "BikePoints_3", '{"coordinates":[[9,9],[8,8]]}', None, 1, 4.0)])
+    other, manifest = run()
+    assert ("shard", "shard-0000", 0) in other and ("stations", "stations", 0) not in other
+    assert manifest["files"]["routes"]["provider"] == "all"
+    # A provider without a cache has no routes, and no shard.
+    assert run(provider="mapbox")[1]["files"]["routes"]["routeCount"] == 1
+    assert run(provider="google", days=[date(2024, 1, 2)])[1]["files"]["routes"]["provider"] == "google"
+
+
+def test_a_missing_cache_counts_as_empty(spark, tmp_path):
+    root, out = str(tmp_path / "data"), tmp_path / "out"
+    data_folder(spark, root, sample(spark)[0])
+    entries = E.run_export(spark, root, str(out), provider="mapbox").collect()
+    written = json.loads((out / "manifest.json").read_text())
+    assert written["files"]["routes"]["shards"] == [] and written["files"]["routes"]["routeCount"] == 0
+    assert {r.kind for r in entries} == {"day", "stations"} and [d["routedTrips"] for d in written["days"]] == [0, 0]
+    check_files(out, written)
+
+
+def test_files_are_whole_or_absent_and_repeat_safely(spark, tmp_path):
+    from velospan.sources import files
+
+    rows = [("a/x.1.json", "one"), ("a/y.2.json", "zwei é"), ("b/z.3.json", "3")]
+    frame = spark.createDataFrame(rows, "path string, content string")
+    for _ in range(2):
+        sizes = {r.path: r.gzip_bytes for r in files.write_files(frame, str(tmp_path / "w")).collect()}
+    for path, text in rows:
+        assert (tmp_path / "w" / path).read_bytes() == text.encode()
+        packed = (tmp_path / "w" / f"{path}.gz").read_bytes()
+        assert gzip.decompress(packed) == text.encode() and sizes[path] == len(packed)
+    # A file cut short by something else is mended, a fixed name is replaced on demand only.
+    (tmp_path / "w/a/y.2.json").write_bytes(b"z")
+    files.write_files(frame, str(tmp_path / "w"))
+    assert (tmp_path / "w/a/y.2.json").read_text() == "zwei é"
+    other = spark.createDataFrame([("a/x.1.json", "two")], "path string, content string")
+    files.write_files(other, str(tmp_path / "w"))
+    assert (tmp_path / "w/a/x.1.json").read_text() == "one"
+    files.write_files(other, str(tmp_path / "w"), replace=True)
+    assert (tmp_path / "w/a/x.1.json").read_text() == "two"
+    found = {r.path: r.length for r in files.listed(spark, str(tmp_path / "w")).collect()}
+    assert found["a/x.1.json"] == 3 and len(found) == 6
+    assert files.listed(spark, str(tmp_path / "none")).count() == 0 and not files.has_files(spark, str(tmp_path / "none"))

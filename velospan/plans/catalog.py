@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from velospan.schemas import TRIP
+from velospan.sources.files import has_files
 from velospan.sources.trips import scan_with_defaults
 
 # View names and the folders they read.
@@ -19,25 +19,12 @@ TABLE_VIEWS = {
 }
 
 
-def existing(read) -> DataFrame | None:
-    """The table, or nothing when its path is missing or holds no files."""
-    try:
-        df = read()
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    return df if df.inputFiles() else None
-
-
 def register_views(spark: SparkSession, root: str) -> list[str]:
     """Register a temporary view for every table that exists below ``root``; none is an error."""
-    readers = {name: (lambda p=path: scan_with_defaults(spark, f"{root}/{p}", TRIP)) for name, path in TRIP_VIEWS.items()}
-    readers |= {name: (lambda p=path: spark.read.parquet(f"{root}/{p}")) for name, path in TABLE_VIEWS.items()}
     registered = []
-    for name, read in readers.items():
-        table = existing(read)
-        if table is not None:
+    for name, path in (TRIP_VIEWS | TABLE_VIEWS).items():
+        if has_files(spark, f"{root}/{path}"):
+            table = scan_with_defaults(spark, f"{root}/{path}", TRIP) if name in TRIP_VIEWS else spark.read.parquet(f"{root}/{path}")
             table.createOrReplaceTempView(name)
             registered.append(name)
     if not registered:

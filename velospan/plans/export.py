@@ -1,17 +1,23 @@
-"""Replay export: day, shard and station documents as JSON text, their sizes and the manifest.
+"""Replay export: day, shard and station documents as JSON files named by their content, and the manifest.
 
 Documents are rows (kind, id, part, path, hash, json, bytes). A day is always cut
 into the same slices of the clock, each a document of the same shape; stations come
 in pages. How documents are cut does not depend on how much there is.
+
+A data folder is exported again by what changed: days whose trips, stations and routes
+are those of the export before are not made again, and files that are there already
+under the name of their content are not written again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from velospan.operators.replay import (
     activity_bins,
@@ -26,6 +32,7 @@ from velospan.operators.replay import (
 from velospan.operators.routes import (
     SHARD_COMPRESSION,
     SHARD_GZIP_BYTES,
+    load_routes,
     merge_providers,
     pack_shards,
     route_join,
@@ -34,6 +41,11 @@ from velospan.operators.routes import (
 )
 from velospan.operators.running import numbered
 from velospan.operators.stations import station_matches, station_records
+from velospan.plans.catalog import TABLE_VIEWS, TRIP_VIEWS
+from velospan.plans.versions import CURRENT, read_version, write_version
+from velospan.schemas import EXPORT_ENTRY, ROUTE_CACHE, nullable
+from velospan.sources.files import has_files, listed, qualified, write_files
+from velospan.sources.trips import scan_trips
 from velospan.staging import staged
 
 # Names and numbers written into the documents.
@@ -42,12 +54,16 @@ ENCODING = "geojson-coordinate-array"
 SHARD_STRATEGY = "cache-order-byte-pack-v1"
 STATIONS_PATH = "stations/bikepoints-v1"
 HASH_DIGITS = 12
+MANIFEST = "manifest.json"
 # End of fixed values.
 
 #: Seconds of a slice of the day and stations of a page: documents at every size are cut the same way.
 SLICE_SECONDS = 6 * 3600
 PAGE_STATIONS = 200_000
 
+#: Where a data folder keeps what it exported, a table of entries per folder exported to.
+EXPORTS = "metadata/exports"
+
 _AS_WRITTEN = {"ignoreNullFields": "false"}
 
 
@@ -182,29 +198,17 @@ def station_master_document(stations: DataFrame, limit: int = PAGE_STATIONS) ->
     )
 
 
-def write_documents(documents: DataFrame, root: str) -> None:
-    """Write each document as one line of text below ``root/{raw,gzip}/kind/id/part``.
-
-    Both copies are read from ``documents``, which should be a staged table.
-    """
-    table = documents.select("kind", "id", "part", "json")
-    for folder, codec in (("raw", "none"), ("gzip", "gzip")):
-        writer = table.repartition("kind", "id", "part").write.mode("overwrite")
-        writer.option("compression", codec).option("lineSep", "\n").partitionBy("kind", "id", "part").text(
-            f"{root}/{folder}"
-        )
+def write_documents(documents: DataFrame, root: str) -> DataFrame:
+    """Write each document, and a gzip copy, at its ``path`` below ``root``; returns the rows with ``gzip_bytes`` and no ``json``."""
+    return write_files(documents, root, content="json")
 
 
 def export_sizes(documents: DataFrame, root: str) -> DataFrame:
-    """Raw and gzip bytes of every written document; gzip sizes come from the file listing."""
-    listed = documents.sparkSession.read.format("binaryFile").load(f"{root}/gzip")
-    sizes = listed.select(
-        F.col("kind").cast("string"),
-        F.col("id").cast("string"),
-        F.col("part").cast("int"),
-        F.col("length").alias("gzip_bytes"),
-    )
-    return documents.drop("json").join(sizes, ["kind", "id", "part"], "left")
+    """Documents with the sizes of their files as they lie below ``root``: ``file_bytes`` and ``gzip_bytes``, null if absent."""
+    found = staged(listed(documents.sparkSession, root), "export-listing")
+    plain = found.select("path", F.col("length").alias("file_bytes"))
+    packed = found.select(F.regexp_extract("path", r"^(.*)\.gz$", 1).alias("path"), F.col("length").alias("gzip_bytes"))
+    return documents.drop("json").join(plain, "path", "left").join(packed, "path", "left")
 
 
 def manifest(
@@ -287,10 +291,9 @@ def manifest(
 
 
 def write_manifest(manifest_row: DataFrame, root: str) -> None:
-    text = manifest_row.select(F.to_json(F.struct("*"), _AS_WRITTEN).alias("value"))
-    table = staged(text, "manifest")
-    table.coalesce(1).write.mode("overwrite").text(f"{root}/manifest.json")
-    table.coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{root}/manifest.json.gz")
+    """Replace ``root/manifest.json`` and its gzip copy."""
+    text = manifest_row.select(F.lit(MANIFEST).alias("path"), F.to_json(F.struct("*"), _AS_WRITTEN).alias("json"))
+    write_files(text, root, content="json", replace=True)
 
 
 def select_routes(google: DataFrame, mapbox: DataFrame, provider: str) -> DataFrame:
@@ -300,6 +303,44 @@ def select_routes(google: DataFrame, mapbox: DataFrame, provider: str) -> DataFr
     return single_provider({"google": google, "mapbox": mapbox}[provider])
 
 
+def provider_routes(spark: SparkSession, root: str, provider: str) -> DataFrame:
+    """Routes in the caches of a data folder; a provider without a cache has none."""
+
+    def cached(name: str) -> DataFrame:
+        path = f"{root}/{TABLE_VIEWS[name + '_routes']}"
+        if has_files(spark, path):
+            return load_routes(spark.read.parquet(path))
+        return load_routes(spark.createDataFrame([], nullable(ROUTE_CACHE).add("ordinal", T.LongType())))
+
+    if provider not in ("all", "google", "mapbox"):
+        raise ValueError(f"unknown route provider: {provider}")
+    return select_routes(cached("google"), cached("mapbox"), provider)
+
+
+# -- what an export can leave as it is ----------------------------------------
+
+
+def _digest(*columns: Column | str) -> Column:
+    """A digest of a table's rows in any order, repeated ones told apart: their number, a sum and exclusive ors."""
+    row = F.xxhash64(*columns)
+    low = F.sum(F.pmod(row, F.lit(1 << 31)))
+    return F.concat_ws("-", F.count(F.lit(1)), low, F.bit_xor(row), F.bit_xor(F.xxhash64(row, F.lit(1))))
+
+
+def day_inputs(
+    trips: DataFrame, days: DataFrame, stations: DataFrame, routes: DataFrame, shards: DataFrame, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """``day`` and ``input``: a digest of all that the documents of a day are made of."""
+    of_day = trips.groupBy(F.to_date("start_at").alias("day")).agg(_digest(*trips.columns).alias("own"))
+
+    def whole(table: DataFrame) -> Column:
+        return table.agg(_digest(F.to_json(F.struct(*table.columns)))).scalar()
+
+    parts = [F.coalesce("own", F.lit("")), whole(stations), whole(routes), whole(shards.select("route_key", "shard_id"))]
+    text = F.concat_ws("|", *parts, F.lit(f"{VERSION} {slice_seconds}"))
+    return days.join(of_day, "day", "left").select("day", F.sha2(text, 256).alias("input"))
+
+
 def export(
     trips: DataFrame,
     stations: DataFrame,
@@ -311,40 +352,85 @@ def export(
     target_gzip_bytes: int = SHARD_GZIP_BYTES,
     compression_ratio: float = SHARD_COMPRESSION,
     slice_seconds: int = SLICE_SECONDS,
-) -> DataFrame:
-    """Write every document and the manifest; returns the manifest row.
+    previous: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Write every document and the manifest; returns the manifest row and the entries of all documents.
 
     All days are exported by one job: located and routed trips are written once, and
-    every document reads from that table.
+    every document reads from that table. Entries are documents without their text, with
+    ``input`` (what a day is made of) and ``written`` (whether its files are of this run).
+    With the entries of an export before (``previous``), days with the same input and
+    documents with the same path are left as they are, if their files lie in ``root``.
     """
+    spark = trips.sparkSession
     chosen = staged(select_days(trips, days, limit_days), "days")
     shards = staged(pack_shards(routes, target_gzip_bytes, compression_ratio), "shards")
-    playback = playback_trips(trips).join(chosen, "day", "left_semi")
+    inputs = staged(day_inputs(trips, chosen, stations, routes, shards, slice_seconds), "day-inputs")
+    if previous is None:
+        previous = spark.createDataFrame([], EXPORT_ENTRY)
+    there = export_sizes(previous.drop("gzip_bytes"), root)
+    there = staged(there.filter((F.col("file_bytes") == F.col("bytes")) & F.col("gzip_bytes").isNotNull()), "entries-there")
+
+    # A day is left alone if all its slices are there: none is listed whose file has gone.
+    slices = previous.filter("kind = 'day'").groupBy("id", "input").agg(F.count("*").alias("slices"))
+    present = there.filter("kind = 'day'").groupBy("id", "input").agg(F.count("*").alias("slices"))
+    same = inputs.select(F.col("day").cast("string").alias("id"), "input")
+    same = staged(same.join(slices, ["id", "input"]).join(present, ["id", "input", "slices"], "left_semi"), "days-there")
+    stale = chosen.join(same.select(F.to_date("id").alias("day")), "day", "left_anti")
+    stale = staged(stale, "days-stale")
+
+    playback = playback_trips(trips).join(stale, "day", "left_semi")
     routed = staged(route_join(locate_trips(playback, stations), route_lookup(routes, shards)), "routed")
-    replay = replay_trips(routed)
     records = station_records(station_matches(routed, stations, F.col("day")), "day")
-    summary = day_summary(routed, routed, stations, chosen)
-
-    # Written once: documents carry whole JSON texts that sizes, sinks and manifest all use.
-    day_rows = staged(
-        day_documents(replay, records, activity_bins(routed, chosen), summary, slice_seconds), "day-documents"
-    )
-    shard_rows = staged(shard_documents(routes, shards, provider), "shard-documents")
-    station_rows = staged(station_master_document(stations), "station-documents")
-    every = [df.select("kind", "id", "part", "json") for df in (day_rows, shard_rows, station_rows)]
-    write_documents(every[0].unionByName(every[1]).unionByName(every[2]), root)
-    row = staged(
-        manifest(
-            trips,
-            *[export_sizes(df, root) for df in (day_rows, shard_rows, station_rows)],
-            provider,
-            target_gzip_bytes,
-            compression_ratio,
-        ),
-        "manifest-row",
-    )
+    summary = day_summary(routed, routed, stations, stale)
+    made = day_documents(replay_trips(routed), records, activity_bins(routed, stale), summary, slice_seconds)
+    made = made.join(inputs.select(F.col("day").cast("string").alias("id"), "input"), "id")
+    for more in (shard_documents(routes, shards, provider), station_master_document(stations)):
+        made = made.unionByName(more, allowMissingColumns=True)
+    # Written once: documents carry whole JSON texts.
+    made = staged(made, "documents")
+
+    sizes = there.select("path", "gzip_bytes").distinct()
+    missing = made.join(sizes, "path", "left_anti")
+    written = write_documents(missing, root).withColumn("written", F.lit(True))
+    kept = made.drop("json").join(sizes, "path").withColumn("written", F.lit(False))
+    left = there.join(same.select("id", "input"), ["id", "input"], "left_semi").withColumn("written", F.lit(False))
+    names = [F.col(f.name).cast(f.dataType).alias(f.name) for f in EXPORT_ENTRY]
+    parts = [table.select(*names, "written") for table in (written, kept, left)]
+    entries = staged(parts[0].union(parts[1]).union(parts[2]), "entries")
+    of = {kind: entries.filter(F.col("kind") == kind) for kind in ("day", "shard", "stations")}
+    row = manifest(trips, of["day"], of["shard"], of["stations"], provider, target_gzip_bytes, compression_ratio)
+    row = staged(row, "manifest-row")
     write_manifest(row, root)
-    return row
+    return row, entries
+
+
+def run_export(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    provider: str = "all",
+    days: Iterable[date] = (),
+    limit_days: int | None = None,
+    target_gzip_bytes: int = SHARD_GZIP_BYTES,
+    compression_ratio: float = SHARD_COMPRESSION,
+    slice_seconds: int = SLICE_SECONDS,
+) -> DataFrame:
+    """Export the data folder ``root`` to ``out``: only what changed since its last export there is made and written.
+
+    Validated trips, the station master and the providers' route caches are read below
+    ``root``; a cache that is not there is empty. Entries of what was exported are kept
+    below ``root/metadata``, one table per folder exported to. Returns the entries.
+    """
+    trips = scan_trips(spark, f"{root}/{TRIP_VIEWS['trips']}")
+    stations = spark.read.parquet(f"{root}/{TABLE_VIEWS['bikepoints']}")
+    routes = provider_routes(spark, root, provider)
+    state = f"{root}/{EXPORTS}/{hashlib.sha256(qualified(spark, out).encode()).hexdigest()[:HASH_DIGITS]}"
+    previous = read_version(spark, state, nullable(EXPORT_ENTRY)) if has_files(spark, f"{state}/{CURRENT}") else None
+    settings = target_gzip_bytes, compression_ratio, slice_seconds
+    _, entries = export(trips, stations, routes, provider, out, days, limit_days, *settings, previous=previous)
+    write_version(entries.drop("written"), state)
+    return entries
 
 
 DAY_SCHEMA = (
@@ -361,23 +447,43 @@ DAY_SCHEMA = (
 )
 
 
-def _read_documents(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    texts = spark.read.option("basePath", f"{root}/raw").text(f"{root}/raw/kind={kind}")
-    return texts.select(F.col("id").cast("string"), F.col("part").cast("int"), F.col("value").alias("json"))
+def _listed_documents(spark: SparkSession, root: str, column: str, schema: str, glob: str = "*") -> DataFrame:
+    """Texts of the documents that the manifest lists now; files of earlier exports stay beside them.
+
+    ``column`` is the manifest's list of entries, of which ``schema`` names the fields.
+    """
+    listing = spark.read.schema(_nested(column, f"array<struct<{schema}>>")).json(f"{root}/{MANIFEST}")
+    entries = listing.select(F.explode(column).alias("e")).select("e.*")
+    if "slices" in entries.columns:
+        entries = entries.select(F.col("date").alias("id"), F.explode("slices").alias("s"))
+        entries = entries.select("id", F.col("s.slice").alias("part"), "s.path")
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = {"days": "days", "files.routes.shards": "routes"}[column]
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{glob}.json")
+    texts = texts.option("wholetext", "true").text(f"{root}/{folder}")
+    texts = texts.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("json"))
+    return entries.withColumn("name", name).join(texts, "name").drop("name", "path")
+
+
+def _nested(column: str, kind: str) -> str:
+    """A schema with one column at a place such as ``a.b.c``."""
+    first, *inner = column.split(".")
+    for name in reversed(inner):
+        kind = f"struct<{name}: {kind}>"
+    return f"{first} {kind}"
 
 
 def load_day(spark: SparkSession, root: str, day: date | None = None) -> DataFrame:
     """Exported day documents read back, one row per slice; of one day when it is given."""
-    texts = _read_documents(spark, root, "day")
-    if day is not None:
-        texts = texts.filter(F.col("id") == day.isoformat())
+    glob = "*" if day is None else f"{day.isoformat()}*"
+    texts = _listed_documents(spark, root, "days", "date: string, slices: array<struct<slice: int, path: string>>", glob)
     return texts.select("id", "part", F.from_json("json", DAY_SCHEMA).alias("d")).select("id", "part", "d.*")
 
 
 def load_shard(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """Coordinates of the ``wanted`` (shard_id, route_key) rows from exported shards."""
     schema = "routes map<string, array<array<double>>>"
-    shards = _read_documents(spark, root, "shard").withColumnRenamed("id", "shard_id")
+    shards = _listed_documents(spark, root, "files.routes.shards", "id: string, path: string").withColumnRenamed("id", "shard_id")
     needed = wanted.select("shard_id").distinct()
     entries = shards.join(needed, "shard_id", "left_semi").select(
         "shard_id", F.explode(F.from_json("json", schema)["routes"]).alias("route_key", "coordinates")

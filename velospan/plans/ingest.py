@@ -18,8 +18,9 @@ from velospan.operators.normalize import detect_layout, normalize_trips, unknown
 from velospan.operators.stations import sample_station_matches
 from velospan.operators.validate import check_trips, rejected_trips, repeated_keys, valid_trips
 from velospan.plans import ledger as L
-from velospan.plans.catalog import TABLE_VIEWS, TRIP_VIEWS, existing
+from velospan.plans.catalog import TABLE_VIEWS, TRIP_VIEWS
 from velospan.schemas import TRIP, nullable
+from velospan.sources.files import has_files
 from velospan.sources.listing import read_listing
 from velospan.sources.station_master import flatten_stations, read_station_master
 from velospan.sources.trip_files import (
@@ -51,7 +52,7 @@ def _key_of(path: Column, encoded: bool, root: str) -> Column:
 
 def current_ledger(spark: SparkSession, root: str) -> DataFrame:
     """The ledger as last written; empty before the first run."""
-    if existing(lambda: spark.read.parquet(f"{root}/{LEDGER}/current")) is None:
+    if not has_files(spark, f"{root}/{LEDGER}/current"):
         return L.empty_ledger(spark)
     return L.read_ledger(spark, f"{root}/{LEDGER}")
 

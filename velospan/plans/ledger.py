@@ -6,11 +6,10 @@ writes the result as a new version; the old version stays readable meanwhile.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velospan.plans.versions import read_version, write_version
 from velospan.schemas import LEDGER, LEDGER_COLUMNS, SCHEMA_VERSION, nullable
 
 # Stage states and messages.
@@ -193,19 +192,10 @@ def apply_outcomes(ledger: DataFrame, outcomes: DataFrame, stage: str, now: Colu
 
 
 def write_ledger(ledger: DataFrame, root: str) -> str:
-    """Write a new ledger version below ``root`` and make it current; returns its folder.
-
-    The pointer is itself a tiny table whose last row names the current version,
-    so a reader sees either the old version or the complete new one.
-    """
-    version = f"version-{uuid4().hex}"
-    ledger.select(*LEDGER_COLUMNS).write.parquet(f"{root}/{version}")
-    pointer = ledger.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    pointer.write.mode("append").parquet(f"{root}/current")
-    return f"{root}/{version}"
+    """Write a new ledger version below ``root`` and make it current; returns its folder."""
+    return write_version(ledger.select(*LEDGER_COLUMNS), root)
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """The current ledger version; the pointer table holds one row per version written."""
-    latest = spark.read.parquet(f"{root}/current").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.schema(nullable(LEDGER)).parquet(f"{root}/{latest}")
+    """The current ledger version."""
+    return read_version(spark, root, nullable(LEDGER))

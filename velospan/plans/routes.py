@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from velospan.operators.pairs import pair_coverage, pending_pairs, rank_pairs
-from velospan.plans.catalog import TABLE_VIEWS, existing
+from velospan.plans.catalog import TABLE_VIEWS
+from velospan.sources.files import has_files
 from velospan.sources.route_cache import append_routes, parse_route_responses, read_route_lines, route_cache_snapshot
 from velospan.sources.trips import scan_trips
 
@@ -29,9 +30,8 @@ def pending(
     """The busiest pairs of validated trips that the provider's cache does not hold yet."""
     trips, stations = _tables(spark, root)
     ranked = rank_pairs(trips, stations, day)
-    cached = existing(lambda: spark.read.schema("pair_from string, pair_to string").json(f"{root}/{LINES[provider]}"))
-    if cached is None:
-        cached = spark.createDataFrame([], "pair_from string, pair_to string")
+    lines, schema = f"{root}/{LINES[provider]}", "pair_from string, pair_to string"
+    cached = spark.read.schema(schema).json(lines) if has_files(spark, lines) else spark.createDataFrame([], schema)
     return pending_pairs(ranked, cached, PAIR_LIMITS[provider] if limit is None else limit)
 
 

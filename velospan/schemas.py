@@ -88,6 +88,22 @@ ROUTE_CACHE = _struct("""
     error             string
 """)
 
+#: A document of an export: what it is, where its files lie, what it counts, and what a day was made of.
+EXPORT_ENTRY = _struct("""
+    kind                  string!
+    id                    string!
+    part                  bigint!
+    path                  string!
+    hash                  string!
+    bytes                 bigint!
+    gzip_bytes            bigint!
+    trips_in_slice        bigint
+    routed_in_slice       bigint
+    routes_in_shard       bigint
+    stations_in_document  bigint
+    input                 string
+""")
+
 SCHEMA_VERSION = "trips_v1"
 STATION_ID_PREFIX = "BikePoints_"
 KEY_SEPARATOR = "\u001f"

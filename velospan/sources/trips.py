@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velospan.schemas import TRIP, nullable
+from velospan.sources.files import has_files
 
 SOURCE_PART = "source_part"
 
@@ -24,10 +25,10 @@ def scan_with_defaults(spark: SparkSession, path: str | list[str], schema: T.Str
 
 def scan_trips(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All validated trips below a folder; a folder without Parquet files is an error."""
-    trips = scan_with_defaults(spark, path)
-    if not trips.inputFiles():
+    paths = [path] if isinstance(path, str) else list(path)
+    if not any(has_files(spark, p) for p in paths):
         raise FileNotFoundError(f"{path} holds no trips")
-    return trips
+    return scan_with_defaults(spark, paths)
 
 
 def write_by_source(df: DataFrame, path: str, *extra_partitions: str) -> None:

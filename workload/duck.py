@@ -231,6 +231,17 @@ CTES["ledger"] = """
           FROM orders WHERE o_orderkey % 5 <> 0)"""
 
 
+# Routes are packed in order, a shard closing before the route that would overfill it.
+CTES["route_sizes"] = """
+    SELECT row_number() OVER (ORDER BY place) AS n, place, route_key, length(cast(to_json(map {route_key: coordinates}) AS VARCHAR)) AS route_bytes FROM routes"""
+CTES["packed_routes"] = """
+    SELECT z.place, z.route_key, z.route_bytes, 'shard-' || lpad(cast(w.shard AS VARCHAR), 4, '0') AS shard_id FROM route_sizes z JOIN
+      (WITH RECURSIVE walk AS (SELECT n, route_bytes AS held, 0 AS shard FROM route_sizes WHERE n = 1
+         UNION ALL SELECT z.n, CASE WHEN w.held + z.route_bytes > 4000 THEN z.route_bytes ELSE w.held + z.route_bytes END,
+           CASE WHEN w.held + z.route_bytes > 4000 THEN w.shard + 1 ELSE w.shard END
+           FROM walk w JOIN route_sizes z ON z.n = w.n + 1) SELECT n, shard FROM walk) w ON w.n = z.n"""
+
+
 def with_tables(sql: str) -> str:
     """Prefix ``sql`` with the tables it names, in order, and those they name."""
     needed: list[str] = []
@@ -246,4 +257,4 @@ def with_tables(sql: str) -> str:
     if not needed:
         return sql
     parts = ",\n".join(f"{name} AS ({CTES[name].strip()})" for name in needed)
-    return f"WITH RECURSIVE {parts}\n{sql.strip()}" if "RECURSIVE" in sql else f"WITH {parts}\n{sql.strip()}"
+    return f"WITH {parts}\n{sql.strip()}"

@@ -53,6 +53,12 @@ def _stamp(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
 
+def _sharded_replay(t: Tables) -> DataFrame:
+    """Replay trips that know the shard of their route."""
+    packed = staged(routes.pack_shards(t.routes, *SHARD_TARGET), "packed")
+    return replay.replay_trips(routes.route_join(t.located, routes.route_lookup(t.routes, packed)))
+
+
 def _r(column: str, digits: int = 6) -> Column:
     return F.round(column, digits).alias(column.split(".")[-1])
 
@@ -322,13 +328,17 @@ def activity_domain(t: Tables) -> DataFrame:
     return timeline.activity_domain(replay.activity_bins(t.located)).withColumn("day", F.col("day").cast("string"))
 
 
-@query("""SELECT journey_id AS id, bike_id AS bikeId, start_second AS start, end_second AS "end", duration_seconds AS durationSeconds,
-          end_station_id AS toStationId, round(start_lon, 6) AS from_lon, route_key AS routeKey, round(route_distance_meters, 3) AS routeDistanceMeters,
-          route_reversed AS routeReversed FROM replay""")
+@query("""SELECT journey_id AS id, bike_id AS bikeId, bike_model AS bikeModel, start_second AS start, end_second AS "end", duration_seconds AS durationSeconds,
+          start_station_id AS fromStationId, start_station_name AS fromStationName, end_station_id AS toStationId, end_station_name AS toStationName,
+          round(start_lon, 6) AS from_lon, round(start_lat, 6) AS from_lat, round(end_lon, 6) AS to_lon, round(end_lat, 6) AS to_lat, r.route_key AS routeKey,
+          p.shard_id AS routeShard, round(route_distance_meters, 3) AS routeDistanceMeters, route_reversed AS routeReversed
+          FROM replay r LEFT JOIN (SELECT route_key AS packed_key, shard_id FROM packed_routes) p ON p.packed_key = r.route_key""")
 def trip_records(t: Tables) -> DataFrame:
-    names = ["id", "bikeId", "start", "end", "durationSeconds", "toStationId"]
-    rows = replay.trip_records(t.replay).withColumn("from_lon", F.round(F.get("fromCoord", 0), 6))
-    return rows.select(*names, "from_lon", "routeKey", F.round("routeDistanceMeters", 3).alias("routeDistanceMeters"), "routeReversed")
+    rows = replay.trip_records(_sharded_replay(t))
+    ends = {f"{side}_{name}": F.round(F.get(f"{side}Coord", at), 6) for side in ("from", "to") for at, name in enumerate(("lon", "lat"))}
+    distance = F.round("routeDistanceMeters", 3).alias("routeDistanceMeters")
+    plain = [c for c in rows.columns if c not in ("fromCoord", "toCoord", "routeDistanceMeters")]
+    return rows.withColumns(ends).select(*plain, *ends, distance)
 
 
 # -- pairs --------------------------------------------------------------------
@@ -397,16 +407,7 @@ def route_path(t: Tables) -> DataFrame:
     return points.select("journey_id", (F.col("at") + 1).cast("bigint").alias("point"), lon, lat)
 
 
-_PACKED = """SELECT r.place, r.route_key, r.route_bytes, 'shard-' || lpad(cast(r.shard AS VARCHAR), 4, '0') AS shard_id FROM (
-    SELECT s.*, max(p.shard) OVER (ORDER BY s.n) AS shard FROM sized s LEFT JOIN packed p ON p.n = s.n) r""".replace(
-    "FROM sized s", "FROM (SELECT row_number() OVER (ORDER BY place) AS n, place, route_key, length(cast(to_json(map {route_key: coordinates}) AS VARCHAR)) AS route_bytes FROM routes) s"
-).replace("packed p", """(WITH RECURSIVE sized AS (SELECT row_number() OVER (ORDER BY place) AS n, length(cast(to_json(map {route_key: coordinates}) AS VARCHAR)) AS b FROM routes),
-      walk AS (SELECT n, b AS held, 0 AS shard, true AS opens FROM sized WHERE n = 1
-        UNION ALL SELECT z.n, CASE WHEN w.held + z.b > 4000 THEN z.b ELSE w.held + z.b END, CASE WHEN w.held + z.b > 4000 THEN w.shard + 1 ELSE w.shard END,
-          w.held + z.b > 4000 FROM walk w JOIN sized z ON z.n = w.n + 1) SELECT n, shard FROM walk) p""")
-
-
-@query(_PACKED)
+@query("SELECT place, route_key, route_bytes, shard_id FROM packed_routes")
 def pack_shards(t: Tables) -> DataFrame:
     return routes.pack_shards(t.routes, *SHARD_TARGET)
 
@@ -502,9 +503,10 @@ def trip_traces(t: Tables) -> DataFrame:
     return points.select("journey_id", "clock", (F.col("at") + 1).cast("bigint").alias("point"), lon, lat)
 
 
-@query("SELECT DISTINCT cast(day AS VARCHAR) AS day, route_key FROM replay WHERE route_key IS NOT NULL")
+@query("""SELECT DISTINCT cast(day AS VARCHAR) AS day, r.route_key, p.shard_id AS route_shard FROM replay r
+          JOIN (SELECT route_key AS packed_key, shard_id FROM packed_routes) p ON p.packed_key = r.route_key""")
 def required_routes(t: Tables) -> DataFrame:
-    return timeline.required_routes(t.replay).select(_day(), "route_key")
+    return timeline.required_routes(_sharded_replay(t)).select(_day(), "route_key", "route_shard")
 
 
 @query("""SELECT cast(day AS VARCHAR) AS day, trips, round(trips / max(trips) OVER (), 6) AS share, dayofweek(day) = 1 AS is_monday, day(day) = 1 AS is_month_start,
@@ -728,24 +730,26 @@ def route_cache_snapshot(t: Tables) -> DataFrame:
 
 def _exported(t: Tables) -> tuple[str, DataFrame]:
     root = fresh_path(t.spark, "export")
-    row = export.export(t.trips, t.stations, t.routes, "all", root, target_gzip_bytes=SHARD_TARGET[0], compression_ratio=SHARD_TARGET[1])
+    row, _ = export.export(t.trips, t.stations, t.routes, "all", root, target_gzip_bytes=SHARD_TARGET[0], compression_ratio=SHARD_TARGET[1])
     return root, row
 
 
-@query("""SELECT cast(day AS VARCHAR) AS day, count(*) AS trips, min(journey_id) AS first_id, cast(sum(end_second) AS BIGINT) AS end_sum,
-          count(route_key) AS routed, 288 AS bins FROM replay GROUP BY day""")
+@query("""SELECT cast(d.day AS VARCHAR) AS day, coalesce(r.trips, 0) AS trips, r.first_id, r.end_sum, coalesce(r.routed, 0) AS routed, 288 AS bins, d.total
+          FROM (SELECT cast(start_at AS DATE) AS day, count(*) FILTER (end_station_name IS NOT NULL) AS total FROM trips GROUP BY 1) d LEFT JOIN
+          (SELECT day, count(*) AS trips, min(journey_id) AS first_id, cast(sum(end_second) AS BIGINT) AS end_sum, count(route_key) AS routed
+           FROM replay GROUP BY day) r ON r.day = d.day""")
 def load_day(t: Tables) -> DataFrame:
     days = export.load_day(t.spark, _exported(t)[0])
-    # The slice with a day's activity may hold no trip.
-    trip = days.select("date", F.explode_outer("trips").alias("trip"), F.size("activity").alias("bins"))
-    counted = trip.groupBy(F.col("date").alias("day")).agg(
+    # The slice with a day's activity may hold no trip, and a day no trip at all.
+    trip = days.select("date", F.explode_outer("trips").alias("trip"), F.size("activity").alias("bins"), "summary.totalTrips")
+    return trip.groupBy(F.col("date").alias("day")).agg(
         F.count("trip.id").alias("trips"),
         F.min("trip.id").alias("first_id"),
         F.sum("trip.end").alias("end_sum"),
         F.count("trip.routeKey").alias("routed"),
         F.max("bins").alias("bins"),
+        F.max("totalTrips").alias("total"),
     )
-    return counted.filter("trips > 0")
 
 
 @query("""SELECT route_key, len(coordinates) AS points, round(coordinates[1][1], 6) AS lon FROM routes WHERE route_key IN (SELECT route_key FROM replay)""")
@@ -775,32 +779,51 @@ def export_days(t: Tables) -> DataFrame:
     return _day_documents(t).select("id", "part", "trips_in_slice", "routed_in_slice")
 
 
-@query("""SELECT 'day' AS kind, cast(day AS VARCHAR) AS id, true AS has_bytes, true AS packs_smaller, true AS named_by_hash
-          FROM replay GROUP BY day""")
+@query(f"""SELECT 'day' AS kind, cast(day AS VARCHAR) AS id, count(*) AS documents, count(*) AS of_that_size, count(*) AS named_by_content,
+           count(*) AS packed_smaller FROM {_SLICES} GROUP BY day""")
 def export_sizes(t: Tables) -> DataFrame:
     root, documents = fresh_path(t.spark, "day-export"), staged(_day_documents(t), "day-documents")
     export.write_documents(documents, root)
     sizes = export.export_sizes(documents, root)
-    text = F.sum("bytes")
-    return sizes.groupBy("kind", "id").agg(
-        (text > 0).alias("has_bytes"),
-        (F.sum("gzip_bytes") < text).alias("packs_smaller"),
-        F.bool_and(F.col("path").contains(F.col("hash"))).alias("named_by_hash"),
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    contents = files.select(name.alias("name"), F.substring(F.sha2("content", 256), 1, export.HASH_DIGITS).alias("of_content"))
+    found = sizes.withColumn("name", name).join(contents, "name", "left")
+    return found.groupBy("kind", "id").agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("file_bytes") == F.col("bytes")).alias("of_that_size"),
+        F.count_if((F.col("of_content") == F.col("hash")) & F.col("name").contains(F.col("hash"))).alias("named_by_content"),
+        F.count_if(F.col("gzip_bytes") < F.col("file_bytes")).alias("packed_smaller"),
     )
 
 
-@query(f"""SELECT shard_id AS id, count(DISTINCT route_key) AS routes_in_shard, true AS named_by_hash, true AS has_bytes
-          FROM ({_PACKED}) GROUP BY shard_id""")
+@query("""SELECT p.shard_id AS id, count(DISTINCT r.route_key) AS routes_in_shard, min(r.route_key) AS first_key, max(r.route_key) AS last_key,
+          cast(sum(len(coordinates)) AS BIGINT) AS points, round(sum(list_sum(list_transform(coordinates, lambda c: c[1]))), 3) AS lon_sum
+          FROM routes r JOIN (SELECT route_key AS packed_key, shard_id FROM packed_routes) p ON p.packed_key = r.route_key GROUP BY p.shard_id""")
 def export_shards(t: Tables) -> DataFrame:
     packed = routes.pack_shards(t.routes, *SHARD_TARGET)
     documents = export.shard_documents(t.routes, packed, "all")
-    named = F.col("path").contains(F.col("hash")).alias("named_by_hash")
-    return documents.select("id", "routes_in_shard", named, (F.col("bytes") > 0).alias("has_bytes"))
+    body = F.from_json("json", "version int, routes map<string, array<array<double>>>")
+    entries = documents.select("id", "routes_in_shard", F.explode(body["routes"]).alias("key", "coordinates"))
+    lon = F.aggregate("coordinates", F.lit(0.0), lambda total, c: total + c[0])
+    return entries.groupBy("id", "routes_in_shard").agg(
+        F.min("key").alias("first_key"),
+        F.max("key").alias("last_key"),
+        F.sum(F.size("coordinates")).alias("points"),
+        F.round(F.sum(lon), 3).alias("lon_sum"),
+    )
 
 
-@query("SELECT 'stations' AS id, 0 AS part, count(*) AS stations_in_document FROM stations")
+@query("""SELECT 0 AS part, row_number() OVER (ORDER BY bikepoint_id, ordinal) - 1 AS place, bikepoint_id AS "bikepointId", bikepoint_number AS "bikepointNumber",
+          common_name AS name, terminal_name AS "terminalName", round(lon, 6) AS lon, round(lat, 6) AS lat, installed, locked, temporary, nb_docks AS "nbDocks"
+          FROM stations""")
 def station_master_document(t: Tables) -> DataFrame:
-    return export.station_master_document(t.stations).select("id", "part", "stations_in_document")
+    schema = """version int, stations array<struct<bikepointId: string, bikepointNumber: string, name: string, terminalName: string,
+        coord: array<double>, installed: boolean, locked: boolean, temporary: boolean, nbDocks: bigint>>"""
+    pages = export.station_master_document(t.stations)
+    listed = pages.select("part", F.posexplode(F.from_json("json", schema)["stations"]).alias("place", "s")).select("part", "place", "s.*")
+    coord = [F.round(F.get("coord", at), 6).alias(name) for at, name in enumerate(("lon", "lat"))]
+    return listed.select("part", F.col("place").cast("bigint").alias("place"), *[c for c in listed.columns[2:] if c != "coord"], *coord)
 
 
 @query(f"""SELECT 1 AS version, (SELECT count(*) FROM trips) AS trip_count, (SELECT count(*) FROM routes) AS route_count,
