@@ -33,6 +33,8 @@ from velospan.staging import staged
 LENGTH, GRAM = 400, 48
 #: Bytes of a shard, pieces that share bytes in one shard, and strings of a piece where there are more.
 SHARD_BYTES, CROWD, CUTS = 1 << 20, 1024, (64, 16, 4, 1)
+#: Strings that are told at once to share their bytes with no other piece of a shard.
+ALONE = 32
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 21
 _PLACE_BITS = 23
@@ -151,6 +153,20 @@ def _taken(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield _batch(_PIECES, [[row["t1"]] * len(wanted), [row["t2"]] * len(wanted), *columns, parts])
 
 
+def _edges(strings: int, at: int, range_: int) -> list[int]:
+    """Where the strings of a segment change from one range of distances to their anchor to the next, with both ends.
+
+    String i is ``at`` - i from the anchor; equal strings have equal distances.
+    """
+    return sorted({0, strings, *range(at % range_ + 1, strings, range_)})
+
+
+def _core(data: bytes, at: int, low: int, range_: int, length: int) -> tuple[int, bytes]:
+    """The range of distances that string ``low`` is in, and the bytes that all strings of the range share."""
+    far = (at - low) // range_
+    return far, data[at - far * range_ : at - (far + 1) * range_ + 1 + length]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], length: int, strings: int) -> Iterator[pa.RecordBatch]:
     """Shorter pieces, keyed by the bytes that all strings of one share.
 
@@ -160,12 +176,10 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, strings: int) -> Iterat
     for batch in batches:
         for row in batch.to_pylist():
             data, n, at = row["bytes"], row["strings"], row["at"]
-            # String i is at - i from the anchor; ranges change where that is a multiple less one.
-            cuts = sorted({0, n, *range(at % strings + 1, n, strings)})
+            cuts = _edges(n, at, strings)
             columns: list[list] = [[] for _ in _CUTS]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                far = (at - low) // strings
-                core = data[at - far * strings : at - (far + 1) * strings + 1 + length]
+                far, core = _core(data, at, low, strings, length)
                 piece = data[low : high + length - 1]
                 (key, _), (s1, s2) = _digests((b"%d " % far + core, b"%d " % (at - low) + piece)).tolist()
                 values = (row["t1"], row["t2"], row["first"] + low, high - low, row["n"], at - low, key, s1, s2, piece)
@@ -177,9 +191,39 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, strings: int) -> Iterat
 # -- shards ------------------------------------------------------------------------
 
 
+def _not_alone(table: pa.Table, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """What of a shard's pieces may stand twice: bytes, piece, first string and number of strings.
+
+    Strings of one range of distances go only where another piece has the bytes that the
+    range shares, and one of the two is single.
+    """
+    columns = [table[c].to_pylist() for c in ("bytes", "strings", "at", "n")]
+    edges = [_edges(strings, at, ALONE) for strings, at in zip(columns[1], columns[2], strict=True)]
+    cores = [[_core(data, at, low, ALONE, length) for low in e[:-1]] for data, at, e in zip(columns[0], columns[2], edges, strict=True)]
+    times: dict[tuple[int, bytes], int] = {}
+    single: set[tuple[int, bytes]] = set()
+    for own, n in zip(cores, columns[3], strict=True):
+        for core in own:
+            times[core] = times.get(core, 0) + 1
+        if n == 1:
+            single.update(own)
+    parts, piece, first, strings = [], [], [], []
+    for number, (data, e, own) in enumerate(zip(columns[0], edges, cores, strict=True)):
+        wanted = [times[core] > 1 and core in single for core in own]
+        # Neighbouring ranges that both go are one part.
+        begins = [low for low, here, left in zip(e, wanted, [False, *wanted]) if here and not left]
+        ends = [high for high, here, right in zip(e[1:], wanted, [*wanted[1:], False]) if here and not right]
+        for low, high in zip(begins, ends, strict=True):
+            parts.append(data[low : high + length - 1])
+            piece.append(number)
+            first.append(low)
+            strings.append(high - low)
+    return parts, np.array(piece, np.int64), np.array(first, np.int64), np.array(strings, np.int64)
+
+
 def _shard_spans(table: pa.Table, length: int) -> pa.Table:
     """The stretches of a shard's single pieces whose strings stand twice in the shard."""
-    parts = table["bytes"].to_pylist()
+    parts, piece, inside, strings = _not_alone(table, length)
     sizes = np.array([len(x) + 1 for x in parts], np.int64)
     begins = np.cumsum(sizes) - sizes
     s = np.frombuffer(b"\0".join(parts) + b"\0\0", np.uint8).astype(np.int64) + _FIRST
@@ -188,18 +232,17 @@ def _shard_spans(table: pa.Table, length: int) -> pa.Table:
     prefix = permuted_common_prefix(s, order, np.append(begins, len(s) - 1))
     before = np.empty(len(s), np.int64)
     before[order[1:]], before[order[0]] = order[:-1], 0
-    strings = table["strings"].to_numpy()
     owner = np.repeat(np.arange(len(parts)), strings)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings) + begins[owner]
     again = place[prefix[place] >= length]
     twice = np.zeros(len(s), bool)
     twice[again] = twice[before[again]] = True
-    mine = twice[place] & (table["n"].to_numpy() == 1)[owner]
+    mine = twice[place] & (table["n"].to_numpy() == 1)[piece][owner]
     owner, place = owner[mine], place[mine]
     head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1])][: len(place)])
     last = np.r_[head[1:], len(place)][: len(head)] - 1
-    own = owner[head]
-    shift = table["first"].to_numpy()[own] - begins[own]
+    own = piece[owner[head]]
+    shift = table["first"].to_numpy()[own] + inside[owner[head]] - begins[owner[head]]
     columns = [table["t1"].to_numpy()[own], table["t2"].to_numpy()[own], place[head] + shift, place[last] + shift + length]
     return pa.Table.from_batches([_batch(_SPANS, columns)])
 
@@ -217,7 +260,7 @@ def _among_pieces(pieces: DataFrame, length: int) -> Iterator[DataFrame]:
         size = cold.agg(F.sum(F.length("bytes"))).first()[0] or 0
         if size:
             shard = F.pmod(F.xxhash64("key"), F.lit(1 + size // SHARD_BYTES)).alias("shard")
-            dealt = cold.select("t1", "t2", "first", "strings", "n", "bytes", shard)
+            dealt = cold.select("t1", "t2", "first", "strings", "n", "at", "bytes", shard)
             yield dealt.groupBy("shard").applyInArrow(lambda t: _shard_spans(t, length), _ddl(_SPANS))
         hot = pieces.filter(F.col("kinds") > CROWD)
         if strings is None or hot.isEmpty():
