@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
+import zlib
 from dataclasses import replace
 from datetime import date
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from velospan.plans import catalog, ingest
 from velospan.plans import ledger as L
+from velospan.sources import trip_files
 from velospan.sources.listing import read_listing
 from velospan.sources.station_master import flatten_stations, read_station_master
 from velospan.operators.normalize import normalize_trips
@@ -267,3 +270,113 @@ def test_a_source_is_replaced_whole(spark, tmp_path):
     write_by_source(rows.filter("v = 2"), path)
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [2, 3]
     assert (tmp_path / "t" / "source_part=x__1.csv").exists()
+
+
+def random_csv(rng, newline, rows, header):
+    def field():
+        kind = rng.random()
+        if kind < 0.3:
+            return '"' + "".join(rng.choice(["a", ",", '""', newline, newline, "é", " "]) for _ in range(rng.randint(0, 9))) + '"'
+        if kind < 0.4:
+            return 'x"y' + rng.choice(["", '"'])
+        return "" if kind < 0.45 else "".join(rng.choices("abc ", k=rng.randint(1, 5)))
+
+    lines = [header]
+    for i in range(rows):
+        lines.append(f"{i},{field()},{field()}")
+        if rng.random() < 0.05:
+            lines.append("")
+    return newline.join(lines) + rng.choice(["", newline])
+
+
+@pytest.fixture()
+def small_blocks(spark):
+    """Files are read in many blocks."""
+    for key, value in (("maxPartitionBytes", "3000"), ("openCostInBytes", "1")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    yield
+    for key in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{key}")
+
+
+def test_quoted_line_breaks_are_read_in_blocks(spark, tmp_path, small_blocks):
+    """Rows, numbers and headers are those of the CSV reader, which reads such a file in one task."""
+    rng = random.Random(4)
+    headers = ["h1,h2,h3", "h1,h2,h3", 'h1,"h\n2",h3']
+    for number, (newline, header) in enumerate(zip(["\n", "\r\n", "\n"], headers)):
+        path = tmp_path / f"f{number}.csv"
+        path.write_text(random_csv(rng, newline, 700, header), newline="")
+        assert spark.read.option("lineSep", "\n").text(str(path)).rdd.getNumPartitions() > 2
+    folder = str(tmp_path)
+    reader = spark.read.schema("c0 string, c1 string, c2 string").options(header=False, multiLine=True, quote='"', escape='"')
+    want = {}
+    for r in reader.csv(folder).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect():
+        want.setdefault(r.file, []).append([r.c0, r.c1, r.c2])
+    got = {}
+    for r in trip_files.read_trip_csv(spark, [folder]).orderBy("file", "source_row_number").collect():
+        rows = got.setdefault(r.file, [r.header])
+        assert r.source_row_number == len(rows)
+        rows.append(r.fields)
+    assert got == want and len(want) == 3
+
+
+def test_checksums_of_files_read_in_blocks(spark, tmp_path, small_blocks):
+    rng, want = random.Random(5), {}
+    for i in range(12):
+        content = b"\n".join(rng.randbytes(rng.randint(0, 60)).replace(b"\n", b"") for _ in range(rng.choice([1, 3, 500])))
+        content = b"\xef\xbb\xbf" * (i % 3 == 0) + content + b"\n" * (i % 2) if i < 10 else [b"\n\n\n", b"\r\n\xff\r\n"][i - 10]
+        (tmp_path / f"f{i}.csv").write_bytes(content)
+        want[f"f{i}.csv"] = len(content), zlib.crc32(content)
+    found = trip_files.csv_fingerprints(spark, [str(tmp_path)]).collect()
+    assert {r.file.rsplit("/", 1)[1]: (r.file_size, r.crc32) for r in found} == want
+
+
+def test_checksums_join_like_byte_strings():
+    rng = random.Random(6)
+    for n in (0, 1, 7, 300, 70_000):
+        first, second = rng.randbytes(rng.randint(0, 50)), rng.randbytes(n)
+        assert trip_files.joined_crc(zlib.crc32(first), zlib.crc32(second), n) == zlib.crc32(first + second)
+
+
+def test_members_of_one_archive_are_read_apart(spark, tmp_path):
+    rng, path = random.Random(7), tmp_path / "many.zip"
+    texts = {f"m{i}.CSV": random_csv(rng, rng.choice(["\n", "\r\n"]), 60, "h1,h2,h3") for i in range(5)}
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in texts.items():
+            archive.writestr(name, text.encode("windows-1252" if name == "m3.CSV" else "utf-8"))
+        archive.writestr("empty.csv", "")
+        archive.writestr("notes.txt", "x")
+    rows = trip_files.read_zip_members(spark, [str(path)])
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    got = {}
+    for r in rows.orderBy("source_member", "source_row_number").collect():
+        assert r.error is None and r.source_row_number == len(got.setdefault(r.source_member, [r.header]))
+        # Line ends inside quotes stay as they are; the reader below makes them line feeds.
+        got[r.source_member].append([x and x.replace("\r\n", "\n") for x in r.fields])
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+        reader = spark.read.schema("c0 string, c1 string, c2 string").options(header=False, multiLine=True, quote='"', escape='"')
+        assert got[name] == [list(r) for r in reader.csv(str(tmp_path / f"{name}.csv")).collect()]
+    assert set(got) == set(texts)
+
+
+def test_a_flat_file_is_hashed_once(spark, tmp_path, monkeypatch):
+    hashed, real, land = [], ingest.csv_fingerprints, Landing(tmp_path)
+
+    def counted(session, paths):
+        hashed.append(sorted(p.rsplit("/", 1)[1] for p in paths))
+        return real(session, paths)
+
+    monkeypatch.setattr(ingest, "csv_fingerprints", counted)
+    text = "\n".join([NEW, new_row(1), new_row(2)])
+    land.put("usage/flat.csv", text)
+    land.put("usage/other.csv", text + "\n" + new_row(3))
+    more = "\n".join([NEW, new_row(8)])
+    for name, members in (("a", {"flat.csv": text}), ("b", {"flat.csv": text, "more.csv": more})):
+        land.put(f"usage/{name}.zip", packed(members))
+        ingest.run_raw(spark, str(tmp_path), str(land.pages), "usage/")
+        ingest.run_normalize(spark, str(tmp_path))
+    states = land.states(spark)
+    assert (states["a.zip"].normalized_status, states["b.zip"].row_count_normalized) == ("skipped", 1)
+    # Only the file as long as a member is hashed, and only once.
+    assert hashed == [["flat.csv"]]

@@ -38,6 +38,7 @@ from velospan.staging import staged
 # Folders of the data root.
 RAW = "raw"
 LEDGER = "metadata/files"
+FINGERPRINTS = "metadata/fingerprints"
 NORMALIZED = TRIP_VIEWS["normalized_trips"]
 VALIDATED = TRIP_VIEWS["trips"]
 REJECTED = "validation/invalid"
@@ -104,15 +105,33 @@ def _flat_files(spark: SparkSession, root: str, paths: list[str]) -> tuple[DataF
     return rows, found
 
 
-def _archives(spark: SparkSession, root: str, paths: list[str], flat_paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def _fingerprints(spark: SparkSession, root: str, directory: DataFrame, known: DataFrame) -> DataFrame:
+    """(file_size, crc32) of landed flat files that are as long as a member of an archive.
+
+    A file is hashed once: its checksum is kept beside the ledger with its size and time.
+    """
+    table, columns = f"{root}/{FINGERPRINTS}", "source_key string, file_size bigint, modified timestamp, crc32 bigint"
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{RAW}")
+    key = _key_of(F.col("path"), False, root).alias("source_key")
+    listing = listing.select(key, F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    listing = listing.join(known.filter(F.lower("source_key").endswith(".csv")), "source_key", "left_semi")
+    wanted = staged(listing.join(directory.select("file_size").distinct(), "file_size", "left_semi"), "same-length")
+    kept = spark.read.schema(columns).parquet(table) if has_files(spark, table) else spark.createDataFrame([], columns)
+    same = ["source_key", "file_size", "modified"]
+    paths = _paths(spark, root, wanted.join(kept, same, "left_anti"), ".csv")
+    if paths:
+        found = csv_fingerprints(spark, paths).select(_key_of(F.col("file"), True, root).alias("source_key"), "crc32")
+        wanted.join(found, "source_key").select(*same, "crc32").write.mode("append").parquet(table)
+        kept = spark.read.schema(columns).parquet(table)
+    return kept.join(wanted, same, "left_semi").select("file_size", "crc32")
+
+
+def _archives(spark: SparkSession, root: str, paths: list[str], known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, one row per archive with its error and whether a member was left) of ZIP archives."""
     directory = staged(zip_directory(spark, paths), "zip-directory")
-    members = directory.filter(F.col("source_member").isNotNull())
-    if flat_paths:
-        members = unique_members(directory, csv_fingerprints(spark, flat_paths))
+    members = unique_members(directory, _fingerprints(spark, root, directory, known))
     members = staged(members.select("file", "source_member"), "unique-members")
-    # Staged because unpacking is the costly part and rows and outcomes both need it.
-    rows = staged(read_zip_members(spark, paths, members), "zip-rows")
+    rows = read_zip_members(spark, paths, members)
     unknown = F.when(
         F.col("error").isNull() & F.col("header").isNotNull() & detect_layout(F.col("header")).isNull(),
         unknown_layout_message(F.col("header")),
@@ -142,8 +161,6 @@ def run_normalize(
     landed = staged(landed_sizes(spark, root).select("source_key").distinct(), "landed-keys")
     there = plan.join(landed, "source_key", "left_semi")
     csv_paths, zip_paths = _paths(spark, root, there, ".csv"), _paths(spark, root, there, ".zip")
-    known = L.downloaded_files(ledger).join(landed, "source_key", "left_semi")
-    flat_paths = _paths(spark, root, known, ".csv") if zip_paths else []
 
     states = [
         spark.createDataFrame([], "source_key string, error string, members bigint"),
@@ -155,7 +172,7 @@ def run_normalize(
         rows.append(flat.select(*columns))
         states.append(found.withColumn("members", F.lit(1).cast("bigint")))
     if zip_paths:
-        packed, found = _archives(spark, root, zip_paths, flat_paths)
+        packed, found = _archives(spark, root, zip_paths, L.downloaded_files(ledger).select("source_key"))
         rows.append(packed.filter(F.col("error").isNull()).select(*columns))
         states.append(found)
     state = states[0]
