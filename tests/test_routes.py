@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,9 +69,10 @@ def _greedy(sizes, target):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("span_targets", [1, 2, 256])
-def test_packing_equals_the_greedy_loop(spark, monkeypatch, seed, span_targets):
+@pytest.mark.parametrize("span_targets,fan", [(1, 2), (1, 64), (2, 3), (256, 64)])
+def test_packing_equals_the_greedy_loop(spark, monkeypatch, seed, span_targets, fan):
     monkeypatch.setattr(R, "_SPAN_TARGETS", span_targets)
+    monkeypatch.setattr(R, "_FAN", fan)
     rng = random.Random(seed)
     points = [rng.choice([1, 2, 3, 5, 40 if seed % 2 else 4]) for _ in range(120)]
     rows = [(i * 3, f"r{i}", [[0.5, 1.5]] * n) for i, n in enumerate(points)]
@@ -80,6 +83,26 @@ def test_packing_equals_the_greedy_loop(spark, monkeypatch, seed, span_targets):
     assert packed[0].route_bytes == len('{"r0":[' + ",".join(["[0.5,1.5]"] * points[0]) + "]}")
 
 
+def test_merged_spans_are_entered_like_their_spans_in_a_row():
+    """Tables merged in levels leave the state that one table after the other does, from every state that can enter."""
+    rng = random.Random(12)
+    for _ in range(200):
+        target, width = rng.randint(1, 30), rng.randint(1, 40)
+        edges = np.cumsum([rng.choice([1, 2, 5, 60]) for _ in range(rng.randint(1, 60))])
+        rows = pd.DataFrame({"low": np.r_[0, edges[:-1]], "high": edges})
+        rows["span"] = rows["low"] // width
+        tables = pd.concat([R._crossings(g, target, width) for _, g in rows.groupby("span")])
+        own = tables[["span", "high", "exit_limit", "opened"]]
+        one = R._merged(own.assign(above=0), target, width)
+        last = own["span"].max() + 1
+        closing = pd.DataFrame({"span": [last], "high": [1 << 60], "exit_limit": [0], "opened": [1]})
+        leaves = []
+        for tables in (own, one.assign(span=0)):
+            state = pd.concat([tables, closing])[["span", "high", "exit_limit", "opened"]].assign(limit=-1, shard=-1)
+            leaves.append(R._chain(state).set_index("span").loc[last].tolist())
+        assert leaves[0] == leaves[1]
+
+
 def test_packing_rejects_bad_limits(spark):
     empty = spark.createDataFrame([], "place bigint, route_key string, coordinates array<array<double>>")
     for limits in ((0, 1.0), (1, 0.0)):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velospan.operators.running import with_running_totals
+from velospan.staging import staged
 
 # Defaults of the shard size and its estimated compression.
 SHARD_GZIP_BYTES = 1_500_000
@@ -15,7 +18,8 @@ SHARD_COMPRESSION = 6.0
 
 _GEOMETRY = "struct<type: string, coordinates: array<array<double>>>"
 _PLACE_BITS = 56
-_SPAN_TARGETS = 256
+#: Targets of bytes in a span, and spans whose tables are merged at a time.
+_SPAN_TARGETS, _FAN = 256, 64
 
 
 def load_routes(cache: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def pack_shards(
     To keep that chain out of one task, the byte axis is cut into spans of many
     targets. Each span first works out where a shard entering it would leave it,
     for every row that can be entered (those within one target of its edge); the
-    spans' short tables are then chained, and each span labels its own rows.
+    spans' short tables are then merged in levels, and each span labels its own rows.
     """
     if target_gzip_bytes <= 0:
         raise ValueError("shards need room: target_gzip_bytes is not positive")
@@ -149,8 +153,7 @@ def pack_shards(
         lambda span: _crossings(span, target, span_bytes),
         "span bigint, high bigint, exit_limit bigint, opened bigint",
     )
-    # One short table per span: a single group here holds 1/256th of the routes at most.
-    entries = crossings.groupBy().applyInPandas(_chain, "span bigint, limit bigint, shard bigint")
+    entries = _entered(staged(crossings, "shard-crossings"), target, span_bytes)
     labelled = rows.join(entries, "span").groupBy("span").applyInPandas(
         lambda span: _label(span, target),
         "place bigint, route_key string, route_bytes bigint, shard bigint",
@@ -183,10 +186,61 @@ def _crossings(span: pd.DataFrame, target: int, span_bytes: int) -> pd.DataFrame
     )
 
 
-def _chain(crossings: pd.DataFrame) -> pd.DataFrame:
-    """Per span: the byte limit of the shard open at its edge and that shard's number."""
-    limit, shard, rows = -1, -1, []
-    for number, span in crossings.sort_values(["span", "high"]).groupby("span", sort=True):
+def _entered(crossings: DataFrame, target: int, span_bytes: int) -> DataFrame:
+    """(span, limit, shard): the shard open at every span's edge, by merging neighbours in levels.
+
+    The tables of neighbouring spans make one table, and those of its neighbours one again,
+    until few are left. Their chain then tells what enters each of them, and so back down.
+    No group holds more than ``_FAN`` short tables.
+    """
+    above = F.floor(F.col("span") / _FAN).cast("bigint").alias("above")
+    schema = "span bigint, high bigint, exit_limit bigint, opened bigint"
+    levels, wide = [crossings], span_bytes
+    while (levels[-1].agg(F.max("span")).first()[0] or 0) >= _FAN:
+        grouped = levels[-1].select("*", above).groupBy("above")
+        levels.append(staged(grouped.applyInPandas(_merging(target, wide), schema), "shard-level"))
+        wide *= _FAN
+    entries = None
+    for tables in reversed(levels):
+        if entries is None:
+            opened = tables.select("*", above, F.lit(-1).cast("bigint").alias("limit"), F.lit(-1).cast("bigint").alias("shard"))
+        else:
+            opened = tables.select("*", above).join(entries.withColumnRenamed("span", "above"), "above")
+        entries = opened.groupBy("above").applyInPandas(_chain, "span bigint, limit bigint, shard bigint")
+        entries = staged(entries, "shard-entries")
+    return entries
+
+
+def _merging(target: int, span_bytes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda tables: _merged(tables, target, span_bytes)
+
+
+def _merged(tables: pd.DataFrame, target: int, span_bytes: int) -> pd.DataFrame:
+    """One table for the spans of a group: what enters the first leaves the last as theirs in a row would have it."""
+    number = int(tables["above"].iloc[0])
+    high, limit, opened = (np.empty(0, np.int64) for _ in range(3))
+    for span, table in sorted(tables.groupby("span"), reverse=True):
+        table = table.sort_values("high")
+        own = table["exit_limit"].to_numpy()
+        entry = np.searchsorted(high, own, side="right")
+        enters = entry < len(high)
+        at = entry[enters]
+        left, count = own.copy(), table["opened"].to_numpy().copy()
+        left[enters] = limit[at]
+        count[enters] += opened[at]
+        # A shard that reaches over a whole span enters a later one.
+        own_high, most = table["high"].to_numpy(), int(span) * span_bytes + target
+        passing = 0 if len(own_high) and own_high[-1] > most else int(np.searchsorted(high, most, side="right")) + 1
+        high = np.concatenate([own_high, high[:passing]])
+        limit = np.concatenate([left, limit[:passing]])
+        opened = np.concatenate([count, opened[:passing]])
+    return pd.DataFrame({"span": number, "high": high, "exit_limit": limit, "opened": opened})
+
+
+def _chain(tables: pd.DataFrame) -> pd.DataFrame:
+    """Per span of a group: the byte limit of the shard open at its edge and that shard's number."""
+    limit, shard, rows = int(tables["limit"].iloc[0]), int(tables["shard"].iloc[0]), []
+    for number, span in tables.sort_values(["span", "high"]).groupby("span", sort=True):
         rows.append((number, limit, shard))
         entry = int(np.searchsorted(span["high"].to_numpy(), limit, side="right"))
         if entry < len(span):
