@@ -137,6 +137,11 @@ def test_values_that_do_not_cast_fail_their_row(spark):
     failed = {r.journey_id: r.failed_rules for r in checked.collect()}
     assert failed == {"j": [], "k": ["duration_ms|dtype", "duration_ms|nullability"]}
     assert valid_trips(checked).count() == 1 and rejected_trips(checked).count() == 1
+    # The rejects have a column for the cast, also when what was checked has been written and read again.
+    for rejects in (rejected_trips(checked), split_valid(rows.withColumn("duration_ms", text))[1]):
+        row = rejects.first().asDict()
+        assert row["duration_ms|dtype"] == row["duration_ms|nullability"] == "invalid" and row["primary_key"] == "valid"
+        assert [c for c in rejects.columns if c.endswith("|dtype")] == ["duration_ms|dtype"]
 
 
 def test_a_key_with_many_copies_is_not_gathered(spark):

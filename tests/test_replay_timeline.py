@@ -121,6 +121,17 @@ def test_balance_at_clocks_and_over_time(spark):
     assert line == [(90, 1), (150, 1), (200, 2), (400, 3)]
 
 
+def test_drawn_stations_without_events_have_zeros(spark):
+    trips = replay(spark)
+    day = trips.first().day
+    drawn = spark.createDataFrame([(day, "s1"), (day, "idle")], "day date, id string")
+    got = {(r.station_key, r.clock): (r.departures, r.arrivals, r.net) for r in T.station_balance(trips, [50, 999], drawn).collect()}
+    assert got == {
+        ("s1", 50): (0, 0, 0), ("s2", 50): (0, 0, 0), ("idle", 50): (0, 0, 0),
+        ("s1", 999): (3, 0, -3), ("s2", 999): (1, 4, 3), ("idle", 999): (0, 0, 0),
+    }
+
+
 def test_recent_events_and_filter(spark):
     got = sorted((r.id, r.age) for r in T.recent_events(replay(spark), [240]).collect())
     assert got == [("a-arrival", 40), ("b-arrival", 90), ("b-departure", 90), ("c-departure", 50)]

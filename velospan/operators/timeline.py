@@ -137,12 +137,19 @@ def _station_events(replay: DataFrame) -> DataFrame:
     return replay.select("day", F.inline(events))
 
 
-def station_balance(replay: DataFrame, times: Sequence[int]) -> DataFrame:
-    """Departures, arrivals and net per day and station up to each clock time."""
+def station_balance(replay: DataFrame, times: Sequence[int], drawn: DataFrame | None = None) -> DataFrame:
+    """Departures, arrivals and net per day and station up to each clock time.
+
+    With ``drawn`` (``day`` and ``id``, as ``station_records`` gives them) every drawn
+    station has its rows, of zeros while nothing happened there.
+    """
     keys = ["day", "station_key"]
+    events = _station_events(replay)
+    if drawn is not None:
+        idle = [F.lit(times[0] if len(times) else 0).alias("second"), *[F.lit(0).alias(c) for c in ("departures", "arrivals")]]
+        events = events.unionByName(drawn.select("day", F.col("id").alias("station_key"), *idle))
     counted = (
-        _station_events(replay)
-        .select(*keys, _first_at_or_after(times, F.col("second")).alias("clock"), "departures", "arrivals")
+        events.select(*keys, _first_at_or_after(times, F.col("second")).alias("clock"), "departures", "arrivals")
         .groupBy(*keys, "clock")
         .agg(F.sum("departures").alias("departures"), F.sum("arrivals").alias("arrivals"))
     )

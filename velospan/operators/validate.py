@@ -17,6 +17,7 @@ CLOCK_TOLERANCE_MS = 120_000
 LONGEST_TRIP_MS = 14 * 24 * 60 * 60 * 1000
 
 _KEY = ["source_key", "journey_id"]
+_RULES = "rules"
 
 
 def _row_rules(cast_columns: list[str]) -> dict[str, Column]:
@@ -70,7 +71,8 @@ def repeated_keys(trips: DataFrame) -> DataFrame:
 def check_trips(trips: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Every trip with ``failed_rules``, the names of the rules it breaks (empty: valid).
 
-    The repeated keys are staged first: they are few in healthy data, and as a
+    Columns of another type than the trip's are cast first, and a value that is lost by
+    it breaks the rule ``column|dtype``. The repeated keys are staged first: they are few in healthy data, and as a
     table of known size they reach the rows by a broadcast when that is safe and
     by a shuffle join (whose hot partitions AQE splits) when it is not. Either
     way the full rows are never grouped by key.
@@ -82,9 +84,9 @@ def check_trips(trips: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     same = [F.col(name).eqNullSafe(F.col(f"_repeat_{name}")) for name in _KEY]
     rules = {"primary_key": F.col("_repeated").isNull()} | _row_rules(changed)
     broken = [F.when(~passes, F.lit(name)) for name, passes in rules.items()]
-    return conformed.join(repeats, same, "left").select(
-        *TRIP.fieldNames(), F.array_compact(F.array(*broken)).alias("failed_rules")
-    )
+    # The column carries the rules that were checked, those of changed columns among them.
+    failed = F.array_compact(F.array(*broken)).alias("failed_rules", metadata={_RULES: list(rules)})
+    return conformed.join(repeats, same, "left").select(*TRIP.fieldNames(), failed)
 
 
 def rule_names(changed: list[str] | None = None) -> list[str]:
@@ -95,18 +97,24 @@ def valid_trips(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("failed_rules") == 0).drop("failed_rules")
 
 
+def checked_rules(checked: DataFrame) -> list[str]:
+    """The rules that ``check_trips`` looked at, also where its result was written and read again."""
+    return checked.schema["failed_rules"].metadata.get(_RULES) or rule_names()
+
+
 def rejected_trips(checked: DataFrame) -> DataFrame:
-    """Rejected rows with a ``valid`` / ``invalid`` column per rule."""
+    """Rejected rows with a ``valid`` / ``invalid`` column per rule, casts of changed columns included."""
     rejects = checked.filter(F.size("failed_rules") > 0)
     statuses = [
         F.when(F.array_contains("failed_rules", name), "invalid").otherwise("valid").alias(name)
-        for name in rule_names()
+        for name in checked_rules(checked)
     ]
     return rejects.select("*", *statuses)
 
 
 def split_valid(trips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    checked = check_trips(trips)
+    """Valid and rejected rows of trips that are checked once."""
+    checked = staged(check_trips(trips), "checked-trips")
     return valid_trips(checked), rejected_trips(checked)
 
 

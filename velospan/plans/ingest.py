@@ -257,7 +257,8 @@ def run_validate(
         return spark.createDataFrame([], "source_key string, status string, error string, valid_rows bigint, invalid_rows bigint")
     trips = _parted(spark, f"{root}/{NORMALIZED}", plan)
     keys = staged(repeated_keys(trips), "repeated-keys")
-    checked = check_trips(trips, keys)
+    # Counts, valid and rejected trips all read what was checked once.
+    checked = staged(check_trips(trips, keys), "checked-trips")
     valid = F.size("failed_rules") == 0
     counts = checked.groupBy("source_key").agg(
         F.count_if(valid).alias("valid_rows"), F.count_if(~valid).alias("invalid_rows")

@@ -197,8 +197,8 @@ CTES["dirty"] = """
            start_station_id, CASE WHEN event_id % 67 = 0 THEN '' ELSE start_station_name END AS start_station_name,
            end_station_id, end_station_name,
            CASE WHEN event_id % 59 = 0 THEN duration_seconds + 300 WHEN event_id % 71 = 0 THEN 1296000 ELSE duration_seconds END AS duration_seconds,
-           CASE WHEN event_id % 71 = 0 THEN 1296000000 ELSE duration_ms END AS duration_ms,
-           source_key, source_etag, source_row_number, event_id
+           CASE WHEN event_id % 83 = 0 THEN 'n/a' WHEN event_id % 71 = 0 THEN '1296000000' ELSE cast(duration_ms AS VARCHAR) END AS ms_text,
+           source_key, source_etag, CASE WHEN event_id % 79 = 0 THEN 0 ELSE source_row_number END AS source_row_number, event_id
     FROM trips"""
 CTES["flagged"] = """
     SELECT *, list_filter([
@@ -209,8 +209,11 @@ CTES["flagged"] = """
       CASE WHEN end_at < start_at THEN 'end_not_before_start' END,
       CASE WHEN NOT (duration_ms >= duration_seconds * 1000 AND duration_ms < (duration_seconds + 1) * 1000) THEN 'duration_units_agree' END,
       CASE WHEN abs(duration_ms - (epoch_us(end_at) - epoch_us(start_at)) // 1000) > 120000 THEN 'duration_matches_timestamps' END,
-      CASE WHEN duration_ms > 1209600000 THEN 'plausible_duration' END], lambda r: r IS NOT NULL) AS failed
-    FROM dirty"""
+      CASE WHEN duration_ms > 1209600000 THEN 'plausible_duration' END,
+      CASE WHEN source_row_number < 1 THEN 'source_row_number|min' END,
+      CASE WHEN ms_text IS NOT NULL AND duration_ms IS NULL THEN 'duration_ms|dtype' END,
+      CASE WHEN duration_ms IS NULL THEN 'duration_ms|nullability' END], lambda r: r IS NOT NULL) AS failed
+    FROM (SELECT *, try_cast(ms_text AS BIGINT) AS duration_ms FROM dirty)"""
 CTES["listing"] = """
     SELECT 'files/' || o_orderkey || '.csv' AS source_key,
            CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE cast(floor(o_totalprice) AS BIGINT) END AS size_bytes,

@@ -169,12 +169,15 @@ def validate_valid(t: Tables) -> DataFrame:
 
 
 @query("""SELECT source_row_number, journey_id, array_to_string(list_sort(failed), ',') AS rules,
-          CASE WHEN list_contains(failed, 'primary_key') THEN 'invalid' ELSE 'valid' END AS primary_key
+          CASE WHEN list_contains(failed, 'primary_key') THEN 'invalid' ELSE 'valid' END AS primary_key,
+          CASE WHEN list_contains(failed, 'duration_ms|dtype') THEN 'invalid' ELSE 'valid' END AS duration_cast,
+          CASE WHEN list_contains(failed, 'source_row_number|min') THEN 'invalid' ELSE 'valid' END AS number_min
           FROM flagged WHERE len(failed) > 0""")
 def validate_rejects(t: Tables) -> DataFrame:
     rejects = validate.rejected_trips(validate.check_trips(t.dirty))
     rules = F.array_join(F.array_sort("failed_rules"), ",").alias("rules")
-    return rejects.select("source_row_number", "journey_id", rules, "primary_key")
+    more = {"duration_cast": "duration_ms|dtype", "number_min": "source_row_number|min"}
+    return rejects.select("source_row_number", "journey_id", rules, "primary_key", *[F.col(f"`{c}`").alias(n) for n, c in more.items()])
 
 
 @query("SELECT rule, count(*) AS rejected FROM (SELECT unnest(failed) AS rule FROM flagged) GROUP BY rule")
@@ -439,9 +442,13 @@ _EVENTS = """SELECT day, start_station_key AS station_key, start_second AS secon
 
 @query(f"""SELECT cast(day AS VARCHAR) AS day, station_key, clock, cast(coalesce(sum(dep) FILTER (second <= clock), 0) AS BIGINT) AS departures,
            cast(coalesce(sum(arr) FILTER (second <= clock), 0) AS BIGINT) AS arrivals,
-           cast(coalesce(sum(arr - dep) FILTER (second <= clock), 0) AS BIGINT) AS net FROM ({_EVENTS}), {_CLOCKS_SQL} GROUP BY ALL""")
+           cast(coalesce(sum(arr - dep) FILTER (second <= clock), 0) AS BIGINT) AS net FROM
+           ({_EVENTS} UNION ALL SELECT DISTINCT e.day, coalesce(e.station_id, '') || chr(31) || e.station_name, 0, 0, 0 FROM ends e
+            JOIN matches m ON m.station_id IS NOT DISTINCT FROM e.station_id AND m.station_name = e.station_name WHERE m.lat IS NOT NULL),
+           {_CLOCKS_SQL} GROUP BY ALL""")
 def station_balance(t: Tables) -> DataFrame:
-    return timeline.station_balance(t.replay, CLOCKS).withColumn("day", F.col("day").cast("string"))
+    drawn = stations.station_records(stations.station_matches(t.playback, t.stations, F.col("day")), "day")
+    return timeline.station_balance(t.replay, CLOCKS, drawn).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""SELECT DISTINCT cast(day AS VARCHAR) AS day, station_key, second AS clock,

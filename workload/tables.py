@@ -242,7 +242,8 @@ class Tables:
 
     @cached_property
     def dirty(self) -> DataFrame:
-        """Trips with faults: no bike, swapped times, a wrong duration, a repeated id, no name, two weeks and more."""
+        """Trips with faults: no bike, swapped times, a wrong duration, a repeated id, no name, two weeks and more,
+        a row number of 0, a duration in letters (that column is text)."""
         event = F.col("journey_id").cast("bigint")
         long_ms = F.lit(15 * 86_400_000).cast("bigint")
         late = event % 71 == 0
@@ -255,7 +256,8 @@ class Tables:
             "duration_seconds": F.when(event % 59 == 0, F.col("duration_seconds") + 300)
             .when(late, F.lit(15 * 86_400).cast("bigint"))
             .otherwise(F.col("duration_seconds")),
-            "duration_ms": F.when(late, long_ms).otherwise(F.col("duration_ms")),
+            "duration_ms": F.when(event % 83 == 0, "n/a").otherwise(F.when(late, long_ms).otherwise(F.col("duration_ms")).cast(_text)),
+            "source_row_number": F.when(event % 79 == 0, F.lit(0).cast("bigint")).otherwise(F.col("source_row_number")),
             "journey_id": F.when(event % 61 == 0, "repeated").otherwise(F.col("journey_id")),
             "start_station_name": F.when(event % 67 == 0, "").otherwise(F.col("start_station_name")),
         }
