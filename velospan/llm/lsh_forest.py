@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from velospan.llm.columns import ascii_lower, require, whole_text, words
 from velospan.llm.components import components
+from velospan.llm.memory import give_back
 from velospan.staging import staged
 
 SHINGLE = 5
@@ -116,12 +117,16 @@ def _described(lists: pa.Array) -> pa.Array:
         else {"n": 0, "digest": None, "signature": None}
         for s in _shingle_sets(lists)
     ]
-    return pa.array(rows, pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())]))
+    made = pa.array(rows, pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())]))
+    give_back()
+    return made
 
 
 @F.arrow_udf(T.BinaryType())
 def _set_bytes(lists: pa.Array) -> pa.Array:
-    return pa.array([s.tobytes() for s in _shingle_sets(lists)], pa.binary())
+    made = pa.array([s.tobytes() for s in _shingle_sets(lists)], pa.binary())
+    give_back()
+    return made
 
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
@@ -291,7 +296,10 @@ def _links(dealt: DataFrame, percent: int) -> DataFrame:
     """``a`` and ``b``: each set of a ``grp`` and the least one that it reaches there."""
 
     def confirmed(table: pa.Table) -> pa.Table:
-        return _confirmed(table, percent)
+        found = _confirmed(table, percent)
+        if table.num_rows > 100:
+            give_back()
+        return found
 
     return dealt.groupBy("grp").applyInArrow(confirmed, "a binary, b binary")
 

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velospan.llm.columns import require
+from velospan.llm.memory import give_back
 from velospan.llm.token_ids import WORD_BPE, tokenizer_path, word_encoder
 from velospan.staging import staged
 
@@ -248,7 +249,10 @@ def token_pieces(
                 row = {"n": len(whole), "crcs": [zlib.crc32(cut.tobytes()) for cut in cuts]}
                 rows.append(row | ({"ids": [cut.tolist() for cut in cuts]} if keep_ids else {}))
         kept = [("ids", pa.list_(pa.list_(pa.int64())))] if keep_ids else []
-        return pa.array(rows, pa.struct([("n", pa.int64()), ("crcs", pa.list_(pa.int64())), *kept]))
+        made = pa.array(rows, pa.struct([("n", pa.int64()), ("crcs", pa.list_(pa.int64())), *kept]))
+        del rows
+        give_back()
+        return made
 
     done = docs.select(F.col(doc_id).alias("doc_id"), encoded(F.col(text).cast("string")).alias("e"))
     cut = done.select("doc_id", "e", F.posexplode("e.crcs").alias("piece", "ids_crc32"))

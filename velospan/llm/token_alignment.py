@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from velospan.llm.columns import require
+from velospan.llm.memory import give_back
 from velospan.llm.token_ids import _byte_names, tokenizer_path
 from velospan.staging import staged
 
@@ -328,6 +329,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], first: str, second: str, digests
         for low, high in _slices(batch["text"]):
             part = batch.slice(low, high - low)
             yield from _block_rows(pair, names, number, part["doc_id"], part["text"].to_pylist(), digests)
+            give_back()
             number += 1
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from velospan.llm.columns import require, unused, whole_text
+from velospan.llm.memory import give_back
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -146,6 +147,8 @@ def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         "weights": [model.weights],
         "factors": [model.factors.ravel()],
     })
+    del rows, model
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -180,7 +183,9 @@ def score(model: Model, hashed: Column) -> Column:
     def scored(lists: pa.Array) -> pa.Array:
         starts = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]].astype(np.int64)
-        return pa.array(1 / (1 + np.exp(-np.clip(model.logits(values, starts - starts[0]), -500, 500))))
+        made = pa.array(1 / (1 + np.exp(-np.clip(model.logits(values, starts - starts[0]), -500, 500))))
+        give_back()
+        return made
 
     return scored(hashed)
 
