@@ -4,6 +4,9 @@ import html
 import itertools
 import random
 import re
+import time
+
+import pytest
 
 from velospan.llm import page_cut
 from velospan.llm.queries import QUERIES
@@ -95,3 +98,18 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
     assert sorted(r["text"] for r in page_cut.extract(pages).collect()) == ["", "", "", LONG]
     assert page_cut.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broken", ["<a ", '<a "', "<a", '<a ""', "<a '\"", "<!", "< ", "&", "<!--", "</", "<p>"])
+def test_broken_markup_costs_no_more_than_its_length(broken):
+    began = time.perf_counter()
+    page_cut.main_text("<p>one two three</p>" + broken * (2_000_000 // len(broken)) + '">')
+    assert time.perf_counter() - began < 30
+
+
+def test_many_undecided_blocks():
+    rng = random.Random(2)
+    net = [rng.uniform(-0.3, 0.3) for _ in range(20_000)]
+    began = time.perf_counter()
+    kept = page_cut.minimum_cut(net, [(i, i + 1, 0.9) for i in range(len(net) - 1)])
+    assert time.perf_counter() - began < 60 and 0 < sum(kept) < len(net)

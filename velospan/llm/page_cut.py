@@ -49,7 +49,11 @@ _NOT_ITSELF = re.compile(
 )
 #: The head of an article, which is not that of the page.
 _OWN_HEAD = re.compile(r"(?:^|[_-])(?:entry|post|article|story)[_-]+header$", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^<]*\Z", re.S)
+# A tag ends at a > outside of quotes; a < outside of quotes before that begins another one. No part is
+# gone back into, so broken markup costs no more than its length.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^<>]*+>|<(?=[a-zA-Z/!?])[^<]*+\Z", re.S
+)
 _NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _END_MARKS = tuple(".!?…:;\"'”»)")
@@ -300,33 +304,69 @@ def minimum_cut(net: list[float], edges: list[tuple[int, int, float]]) -> list[b
 
 
 def _source_side(rest: list[int], net: list[float], near: list, label: list) -> set[int]:
-    """Nodes on the source's side of a minimum cut, by shortest augmenting paths."""
-    source, sink, tiny = -1, -2, 1e-9
-    room: dict[int, dict[int, float]] = {i: {} for i in (*rest, source, sink)}
-    for i in rest:
-        room[source][i], room[i][source] = max(net[i], 0.0), 0.0
-        room[i][sink], room[sink][i] = max(-net[i], 0.0), 0.0
+    """Nodes on the source's side of a minimum cut: what the source reaches when no flow can be added.
+
+    Flow is added in phases. A phase numbers nodes by their distance from the source and
+    fills every shortest way; each node remembers which of its edges have no way left.
+    """
+    tiny = 1e-9
+    place = {i: k for k, i in enumerate(rest)}
+    source, sink = len(rest), len(rest) + 1
+    # Edge e goes to ends[e] and has room[e] left; its reverse is e ^ 1.
+    ends: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(len(rest) + 2)]
+
+    def join(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(ends))
+        out[b].append(len(ends) + 1)
+        ends.extend((b, a))
+        room.extend((there, back))
+
+    for i, k in place.items():
+        if net[i] > 0:
+            join(source, k, net[i], 0.0)
+        elif net[i] < 0:
+            join(k, sink, -net[i], 0.0)
         for j, w in near[i]:
-            if label[j] is None:
-                room[i][j] = room[i].get(j, 0.0) + w
+            if label[j] is None and place[j] > k:
+                join(k, place[j], w, w)
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
-            i = queue.popleft()
-            for j, left in room[i].items():
-                if left > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if sink not in came:
-            return set(came)
-        path, at = [], sink
-        while at != source:
-            path.append((came[at], at))
-            at = came[at]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] += flow
+        level = [-1] * len(out)
+        level[source], queue = 0, deque([source])
+        while queue:
+            a = queue.popleft()
+            for e in out[a]:
+                if room[e] > tiny and level[ends[e]] < 0:
+                    level[ends[e]] = level[a] + 1
+                    queue.append(ends[e])
+        if level[sink] < 0:
+            return {i for i, k in place.items() if level[k] >= 0}
+        tried = [0] * len(out)
+        way: list[int] = []
+        while True:
+            a = ends[way[-1]] if way else source
+            if a == sink:
+                flow = min(room[e] for e in way)
+                for e in way:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                # Go on from before the first edge that is full now.
+                del way[next(k for k, e in enumerate(way) if room[e] <= tiny) :]
+                continue
+            edges = out[a]
+            while tried[a] < len(edges):
+                e = edges[tried[a]]
+                if room[e] > tiny and level[ends[e]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            if tried[a] < len(edges):
+                way.append(edges[tried[a]])
+            elif way:
+                way.pop()
+                tried[ends[way[-1]] if way else source] += 1
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:
