@@ -50,3 +50,17 @@ def test_files_hold_nothing_but_ids(spark, odd):
     assert [r["ordinal"] for r in rows] == list(range(odd.count()))
     ids = np.fromfile(f"{folder.removeprefix('file://')}/{rows[0]['file']}", "<u2")
     assert (ids == token_scan.END_ID).sum() == odd.count() and ids[-1] == token_scan.END_ID
+
+
+def test_long_white_space_is_encoded_like_any(monkeypatch):
+    rng = random.Random(5)
+    encoding = token_scan._encoding(token_scan.BYTE_BPE)
+    parts = [" ", "  ", "\n", "\t", "　", "\x1c", "word", "é", "12", ".", "'s", " \n "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)] + ["   a", "a   ", " \n", "\n\n\nb"]
+    whole = [encoding.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(token_scan, "LONG_SPACE", 2)
+    assert [token_scan.token_ids(encoding, t) for t in texts] == whole
+    monkeypatch.undo()
+    for blank in (" ", "\n"):
+        ids = token_scan.token_ids(encoding, f"a{blank * 2_000_000}b")
+        assert b"".join(map(encoding.decode_single_token_bytes, ids)) == f"a{blank * 2_000_000}b".encode()

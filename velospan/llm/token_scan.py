@@ -41,6 +41,33 @@ def _encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+# Fixed value: what the tokenizer's pattern takes for white space.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space in a row from which on it is encoded apart: the pattern looks ahead once for each of it.
+LONG_SPACE = 5000
+
+
+@cache
+def _long_space(least: int) -> re.Pattern:
+    return re.compile(f"{_SPACE}{{{least},}}")
+
+
+def token_ids(encoding, text: str) -> list[int]:
+    """The ids of a whole text, however much white space stands in a row.
+
+    The pattern takes such a run as one part, without its last character where something
+    follows, which goes with that; so the run can be encoded apart from the rest.
+    """
+    ids: list[int] = []
+    at = 0
+    for run in _long_space(LONG_SPACE).finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def _system(uri: str):
     """The file system of a path and the path in it; a path without a scheme is local."""
     from pyarrow import fs
@@ -67,7 +94,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = _encoding(tokenizer).encode_ordinary
+        encoding = _encoding(tokenizer)
         name = f"part-{TaskContext.get().partitionId():06d}.bin"
         system, root = _system(folder)
         system.create_dir(root, recursive=True)
@@ -76,7 +103,7 @@ def write_token_files(
             if batch.num_rows and out is None:
                 out = system.open_output_stream(hidden)
             for value in batch.column("text").to_pylist():
-                out.write(np.array([*encode(value or ""), END_ID], kind).tobytes())
+                out.write(np.array([*token_ids(encoding, value or ""), END_ID], kind).tobytes())
             n = batch.num_rows
             files = pa.array([name] * n, pa.string())
             ordinals = pa.array(np.arange(ordinal, ordinal + n), pa.int64())
