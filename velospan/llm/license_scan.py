@@ -146,7 +146,7 @@ def scan_text(text: str | None) -> dict:
         matched = line[begin:end].strip()
         notices.append({
             "label": label,
-            "word": line.count(" ", 0, begin + 1) - 1,
+            "word": words.number(begin + 1),
             "words": matched.count(" ") + 1,
             "errors": errors,
             "matched": matched,
