@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,8 @@ LEAST_DEPTH, REGION = 2, 512
 CLUSTER_NODES, CLUSTER_SHINGLES = 1024, 2_000_000
 #: Partners of one set that are compared in one task, and the parts into which a shingle's sets are dealt.
 PARTNERS, SALTS = 256, 16
+#: Shingles of the sets whose rarest are looked up together.
+BLOCK_SHINGLES = 500_000
 ROWS_A_PARTITION = 200_000
 _SLICE_WORDS = 1_000_000
 
@@ -325,11 +328,6 @@ def _compared_in(groups: DataFrame, member: DataFrame) -> DataFrame:
 # -- what regions part -------------------------------------------------------------
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _longs(sets: pa.Array) -> pa.Array:
-    return pa.array([np.frombuffer(x, np.int64) for x in sets.to_pylist()], pa.list_(pa.int64()))
-
-
 def _salted(rows: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
     """Rows of nodes joined on ``shingle``; those of one shingle are dealt to several tasks."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
@@ -337,20 +335,67 @@ def _salted(rows: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
     return rows.withColumn("salt", salt).join(copies, ["shingle", "salt"], how).drop("salt")
 
 
+_BLOCK = "block bigint, nodes array<binary>, sizes array<int>, places array<int>, codes array<bigint>, holders array<int>"
+_ARROW_BLOCK = pa.schema([
+    ("block", pa.int64()), ("nodes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())),
+    ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int32())),
+])
+_ARROW_RAREST = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("central", pa.float64()), ("shingle", pa.int64())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block of sets: its distinct shingles, how many sets hold each, and every set as places among them."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        nodes, sets = batch["node"].to_pylist(), [np.frombuffer(x, np.int64) for x in batch["shingles"].to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        part = np.cumsum(sizes) // BLOCK_SHINGLES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sets)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
+                continue
+            codes, places, holders = np.unique(np.concatenate(sets[low:high]), return_inverse=True, return_counts=True)
+            row = [number, nodes[low:high], sizes[low:high], places, codes, holders]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ARROW_BLOCK, strict=True)], schema=_ARROW_BLOCK)
+            number += 1
+
+
+def _rarest_of(block: pa.Table, counted: pa.Table, percent: int) -> pa.Table:
+    """The rarest shingles of each set of a block, less those of one set only."""
+    rows: list[tuple] = []
+    if block.num_rows:
+        nodes, sizes, places, codes = (block[c][0].values for c in ("nodes", "sizes", "places", "codes"))
+        times = np.ones(len(codes), np.int64)
+        times[counted["place"].to_numpy()] = counted["times"].to_numpy()
+        order, at = codes.to_numpy(), 0
+        for node, n in zip(nodes.to_pylist(), sizes.to_pylist(), strict=True):
+            own = places.to_numpy()[at : at + n]
+            at += n
+            held, length = times[own], n - -(-n * percent // 100) + 1
+            first = own[np.lexsort((order[own], held))[:length]]
+            rows += [(node, n, float(held.mean()), code) for code in order[first[times[first] > 1]].tolist()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_RAREST, strict=True)], schema=_ARROW_RAREST)
+
+
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of each set, as many as make linked sets share one, less those of one set only.
 
-    ``central`` is how many sets hold a shingle of this one, on average.
+    ``central`` is how many sets hold a shingle of this one, on average. A block of sets
+    lists each of its shingles once, so one that stands in every set meets the others
+    once a block; what a block holds, and so what is gathered for it, is bounded.
     """
-    each = sets.select("node", F.explode(_longs("shingles")).alias("shingle"))
-    times = each.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
-    counted = F.struct(F.coalesce("times", F.lit(1)).alias("times"), "shingle")
-    held = _salted(each, times, "left").groupBy("node").agg(F.sort_array(F.collect_list(counted)).alias("held"))
-    n = F.size("held")
-    length = n - F.ceil(n * percent / 100).cast("int") + 1
-    central = F.aggregate("held", F.lit(0.0), lambda s, x: s + x["times"]) / n
-    rows = held.select("node", n.alias("n"), central.alias("central"), F.explode(F.slice("held", F.lit(1), length)).alias("x"))
-    return rows.filter("x.times > 1").select("node", "n", "central", "x.shingle")
+    table = staged(sets.select("node", "shingles").mapInArrow(_blocks, _BLOCK), "set-blocks")
+    listed = table.select("block", F.posexplode(F.arrays_zip("codes", "holders")).alias("place", "x"))
+    listed = listed.select("block", "place", F.col("x.codes").alias("code"), F.col("x.holders").alias("holders"))
+    times = listed.groupBy("code").agg(F.sum("holders").alias("times")).filter("times > 1")
+    back = listed.join(times, "code").select(F.col("block").alias("of_block"), "place", "times")
+
+    def rarest(block: pa.Table, counted: pa.Table) -> pa.Table:
+        return _rarest_of(block, counted, percent)
+
+    schema = "node binary, n int, central double, shingle bigint"
+    return table.drop("holders").groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(rarest, schema)
 
 
 def _pair_links(pairs: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
