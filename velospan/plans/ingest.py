@@ -19,6 +19,7 @@ from velospan.operators.stations import sample_station_matches
 from velospan.operators.validate import check_trips, rejected_trips, repeated_keys, valid_trips
 from velospan.plans import ledger as L
 from velospan.plans.catalog import TABLE_VIEWS, TRIP_VIEWS
+from velospan.plans.days import refresh_ranges
 from velospan.schemas import TRIP, nullable
 from velospan.sources.files import has_files
 from velospan.sources.listing import read_listing
@@ -282,6 +283,7 @@ def run_validate(
     write_by_source(rejected_trips(checked), f"{root}/{REJECTED}")
     drop_sources(spark, f"{root}/{VALIDATED}", outcomes.filter("valid_rows = 0"))
     drop_sources(spark, f"{root}/{REJECTED}", outcomes.filter("invalid_rows = 0"))
+    refresh_ranges(spark, f"{root}/{VALIDATED}", outcomes.select(part.alias(SOURCE_PART)).distinct())
     L.write_ledger(L.apply_outcomes(ledger, outcomes, "validate"), f"{root}/{LEDGER}")
     return outcomes
 

@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from velospan.operators.pairs import pair_coverage, pending_pairs, rank_pairs
-from velospan.plans.catalog import TABLE_VIEWS
+from velospan.plans.catalog import TABLE_VIEWS, TRIP_VIEWS
+from velospan.plans.days import scan_days
 from velospan.sources.files import has_files
 from velospan.sources.route_cache import append_routes, parse_route_responses, read_route_lines, route_cache_snapshot
 from velospan.sources.trips import scan_trips
@@ -20,15 +21,17 @@ LINES = {
 }
 
 
-def _tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    return scan_trips(spark, f"{root}/validated/trips_by_file"), spark.read.parquet(f"{root}/{TABLE_VIEWS['bikepoints']}")
+def _tables(spark: SparkSession, root: str, day: date | None = None) -> tuple[DataFrame, DataFrame]:
+    path = f"{root}/{TRIP_VIEWS['trips']}"
+    trips = scan_trips(spark, path) if day is None else scan_days(spark, path, day)
+    return trips, spark.read.parquet(f"{root}/{TABLE_VIEWS['bikepoints']}")
 
 
 def pending(
     spark: SparkSession, root: str, provider: str, day: date | None = None, limit: int | None = None
 ) -> DataFrame:
     """The busiest pairs of validated trips that the provider's cache does not hold yet."""
-    trips, stations = _tables(spark, root)
+    trips, stations = _tables(spark, root, day)
     ranked = rank_pairs(trips, stations, day)
     lines, schema = f"{root}/{LINES[provider]}", "pair_from string, pair_to string"
     cached = spark.read.schema(schema).json(lines) if has_files(spark, lines) else spark.createDataFrame([], schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from velospan.functions.clock import playback_end, second_of_day
 from velospan.functions.text import name_key, numeric_key, station_key
 from velospan.operators import normalize, pairs, replay, routes, stations, timeline, validate
-from velospan.plans import catalog, export, ledger
+from velospan.plans import catalog, days, export, ledger
 from velospan.schemas import LAYOUTS, TRIP_COLUMNS
 from velospan.sources import listing, route_cache, station_master, trip_files, trips
 from velospan.staging import fresh_path, staged
@@ -92,7 +92,7 @@ def trips_per_day(t: Tables) -> DataFrame:
 @query("""SELECT journey_id, cast(day AS VARCHAR) AS day, strftime(end_at, '%Y-%m-%d %H:%M:%S') AS end_at, end_station_id,
           duration_seconds FROM playback WHERE day = DATE '2024-01-03'""")
 def day_filter(t: Tables) -> DataFrame:
-    rows = replay.playback_trips(t.trips, DAY)
+    rows = replay.playback_trips(days.scan_days(t.spark, t.trips_folder, DAY), DAY)
     return rows.select("journey_id", _day(), _stamp("end_at"), "end_station_id", "duration_seconds")
 
 

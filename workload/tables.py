@@ -17,6 +17,7 @@ from velospan.functions.text import name_key, numeric_key
 from velospan.operators.replay import locate_trips, playback_trips, replay_trips
 from velospan.operators.routes import load_routes, merge_providers, route_join, route_lookup
 from velospan.schemas import LAYOUTS, LEDGER_COLUMNS, TRIP_COLUMNS
+from velospan.plans.days import has_ranges, refresh_ranges
 from velospan.sources.trips import scan_trips, write_by_source
 from velospan.staging import fresh_path
 
@@ -65,6 +66,13 @@ class Tables:
             return self.once(name, lambda path: write_by_source(build(), path))
         return self.once(name, lambda path: build().write.parquet(path))
 
+    @cached_property
+    def trips_folder(self) -> str:
+        path = self._written("trips", self._trips, by_source=True)
+        if not has_ranges(self.spark, path):
+            refresh_ranges(self.spark, path)
+        return path
+
     @cached_property
     def trips(self) -> DataFrame:
         return scan_trips(self.spark, self._written("trips", self._trips, by_source=True))
