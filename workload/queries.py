@@ -805,19 +805,20 @@ def export_sizes(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p.shard_id AS id, count(DISTINCT r.route_key) AS routes_in_shard, min(r.route_key) AS first_key, max(r.route_key) AS last_key,
-          cast(sum(len(coordinates)) AS BIGINT) AS points, round(sum(list_sum(list_transform(coordinates, lambda c: c[1]))), 3) AS lon_sum
+          cast(sum(len(coordinates)) AS BIGINT) AS points, cast(sum(list_sum(list_transform(coordinates, lambda c: cast(round(c[1] * 1000000) AS BIGINT)))) AS BIGINT) AS micro_lon_sum
           FROM routes r JOIN (SELECT route_key AS packed_key, shard_id FROM packed_routes) p ON p.packed_key = r.route_key GROUP BY p.shard_id""")
 def export_shards(t: Tables) -> DataFrame:
     packed = routes.pack_shards(t.routes, *SHARD_TARGET)
     documents = export.shard_documents(t.routes, packed, "all")
     body = F.from_json("json", "version int, routes map<string, array<array<double>>>")
     entries = documents.select("id", "routes_in_shard", F.explode(body["routes"]).alias("key", "coordinates"))
-    lon = F.aggregate("coordinates", F.lit(0.0), lambda total, c: total + c[0])
+    # Whole millionths: sums of fractions depend on their order.
+    lon = F.aggregate("coordinates", F.lit(0).cast("bigint"), lambda total, c: total + F.round(c[0] * 1_000_000).cast("bigint"))
     return entries.groupBy("id", "routes_in_shard").agg(
         F.min("key").alias("first_key"),
         F.max("key").alias("last_key"),
         F.sum(F.size("coordinates")).alias("points"),
-        F.round(F.sum(lon), 3).alias("lon_sum"),
+        F.sum(lon).alias("micro_lon_sum"),
     )
 
 
