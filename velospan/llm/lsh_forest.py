@@ -385,7 +385,10 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     lists each of its shingles once, so one that stands in every set meets the others
     once a block; what a block holds, and so what is gathered for it, is bounded.
     """
-    table = staged(sets.select("node", "shingles").mapInArrow(_blocks, _BLOCK), "set-blocks")
+    # As many partitions as make blocks of their size, however finely the sets lie.
+    size = sets.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
+    dealt = sets.select("node", "shingles").coalesce(1 + int(size // BLOCK_SHINGLES))
+    table = staged(dealt.mapInArrow(_blocks, _BLOCK), "set-blocks")
     listed = table.select("block", F.posexplode(F.arrays_zip("codes", "holders")).alias("place", "x"))
     listed = listed.select("block", "place", F.col("x.codes").alias("code"), F.col("x.holders").alias("holders"))
     times = listed.groupBy("code").agg(F.sum("holders").alias("times")).filter("times > 1")
