@@ -80,6 +80,6 @@ def near(a, b, percent):
 def test_queries_are_registered():
     names = set(contract.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
-    assert {"op4_preference", "op8_source_mix", "op10_host_rules"} <= set(contract.oracle_sql())
+    assert {"op4_preference", "op8_source_mix", "op10_host_rules", "op11_period_runs"} <= set(contract.oracle_sql())
