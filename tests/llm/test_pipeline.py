@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -83,3 +84,17 @@ def test_queries_are_registered():
     for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert {"op4_preference", "op8_source_mix", "op10_host_rules", "op11_period_runs"} <= set(contract.oracle_sql())
+
+
+def test_empty_tables_and_more_columns(spark, tmp_path):
+    names = "doc_id bigint, toxic int"
+    for number, (rows, labels) in enumerate([([], []), ([(1, prose(1, 80), "en", "s", 1), (2, prose(2, 80), "en", "s", 1)], [])]):
+        folder = f"{tmp_path}/{number}"
+        docs = spark.createDataFrame(rows, SCHEMA)
+        # Names that stages use for columns of their own.
+        more = {c: F.lit(7) for c in ("score", "size", "block", "node", "n", "terms", "taken", "kept", "host_kept", "root")}
+        docs.withColumns(more).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, names).write.parquet(f"{folder}/labels.parquet")
+        packed = corpus_pipeline.run(spark, folder)
+        want = [len(ids) + 1 for ids in whole_ids(r[1] for r in rows)]
+        assert sorted(r["length"] for r in packed.collect()) == sorted(want)

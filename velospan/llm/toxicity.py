@@ -202,7 +202,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, with the columns of ``docs``."""
+    """The rows of ``docs`` that are not predicted to be toxic, with the columns of ``docs``.
+
+    A model without terms, as without labels of both kinds, tells no text from another: all rows stay.
+    """
     model = train(docs, labels, doc_id, text)
+    if not len(model.keys):
+        return docs
     name = unused(docs, "_toxicity")
     return docs.withColumn(name, score(model, terms(text))).filter(F.col(name) < 0.5).drop(name)
