@@ -40,7 +40,7 @@ BLOCK_BYTES, KEPT_PARTS, ENCODED_AT_ONCE = 1_500_000, 250_000, 8192
 LARGE_GROUP = 64
 # A blank before white space belongs to what is before it. Format characters that some rules take for
 # white space are not trusted either.
-_LOOSE = r"᠎​⁠﻿"
+_LOOSE = "\u180e\u200b\u2060\ufeff"
 _CUT = re.compile(rf"(?<=[^ ]) (?=[^\s{_LOOSE}])")
 _NOT_PLAIN = re.compile(rf"  | $| [\s{_LOOSE}]|^[\s{_LOOSE}]")
 _ANY_BLANK = re.compile(rf"[\s{_LOOSE}]")
@@ -283,7 +283,7 @@ _BLOCKS = (
     "pairs array<int>, times array<bigint>, codes array<bigint>, holders array<int>"
 )
 _ARROW_BLOCKS = pa.schema([
-    *[(c, pa.int64()) for c in ("block",)], ("doc_id", pa.string()),
+    ("block", pa.int64()), ("doc_id", pa.string()),
     *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups", pa.string()),
     ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
     ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int32())),
