@@ -380,3 +380,16 @@ def test_a_flat_file_is_hashed_once(spark, tmp_path, monkeypatch):
     assert (states["a.zip"].normalized_status, states["b.zip"].row_count_normalized) == ("skipped", 1)
     # Only the file as long as a member is hashed, and only once.
     assert hashed == [["flat.csv"]]
+
+
+def test_small_members_share_tasks(spark):
+    from velospan.sources import trip_files
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(f"f{i}.zip", "m.csv", 1000) for i in range(300)]
+    small = spark.createDataFrame(rows, "file string, source_member string, file_size bigint")
+    dealt = trip_files._dealt(small)
+    assert dealt.rdd.getNumPartitions() == 4 * cores and sorted(r.file for r in dealt.collect()) == sorted(r[0] for r in rows)
+    large = small.withColumn("file_size", F.lit(trip_files.MEMBER_BYTES))
+    assert trip_files._dealt(large).rdd.getNumPartitions() == 300
+    assert trip_files._dealt(small.drop("file_size")).rdd.getNumPartitions() == 300

@@ -28,10 +28,10 @@ BOM = b"\xef\xbb\xbf"
 CRC_POLYNOMIAL = 0xEDB88320
 
 _CSV = {"escape": '"', "quote": '"'}
-#: Text of a batch of archive records, and tasks that members are dealt to at most.
-_BATCH_CHARACTERS, MEMBER_TASKS = 4_000_000, 10_000
+#: Text of a batch of archive records, tasks that members are dealt to at most, and bytes of members for one task.
+_BATCH_CHARACTERS, MEMBER_TASKS, MEMBER_BYTES = 4_000_000, 10_000, 32 << 20
 _DIRECTORY = pa.schema([("file", pa.string()), ("source_member", pa.string()), ("file_size", pa.int64()), ("crc32", pa.int64()), ("error", pa.string())])
-_RECORDS = pa.schema([("file", pa.string()), ("source_member", pa.string()), ("number", pa.int64()), ("record", pa.string()), ("error", pa.string())])
+_RECORDS = pa.schema([("file", pa.string()), ("source_member", pa.string()), ("number", pa.int64()), ("record", pa.string()), ("header_line", pa.string()), ("error", pa.string())])
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -430,13 +430,17 @@ def _records(lines: Iterator[str]) -> Iterator[str]:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of every member as text, numbered from 0, in batches of bounded size."""
+    """The records of every member as text, numbered from 0 and with its first one, in batches of bounded size."""
     for batch in batches:
         for path, name in zip(batch["file"].to_pylist(), batch["source_member"].to_pylist(), strict=True):
+            first = None
 
             def rows(numbers: list, texts: list, error: str | None = None) -> pa.RecordBatch:
+                nonlocal first
                 n = len(numbers)
-                columns = [[path] * n, [name] * n, numbers, texts, [error] * n]
+                if numbers and numbers[0] == 0:
+                    first = texts[0]
+                columns = [[path] * n, [name] * n, numbers, texts, [first] * n, [error] * n]
                 return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RECORDS, strict=True)], schema=_RECORDS)
 
             numbers, texts, size = [], [], 0
@@ -456,6 +460,14 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows([None], [None], str(problem))
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members dealt out one by one, to as many tasks as their bytes are worth: one costs what is in it, not what its name hashes to."""
+    sized = "file_size" in members.columns
+    count, size = members.agg(F.count(F.lit(1)), F.sum("file_size") if sized else F.lit(None)).first()
+    tasks = count if size is None else max(-(-size // MEMBER_BYTES), 4 * members.sparkSession.sparkContext.defaultParallelism)
+    return members.repartition(min(max(count, 1), tasks, MEMBER_TASKS)).select("file", "source_member")
+
+
 def read_zip_members(spark: SparkSession, paths: list[str], members: DataFrame | None = None) -> DataFrame:
     """Rows of the CSV members of archives, as ``read_trip_csv`` gives them, plus ``error``.
 
@@ -465,16 +477,15 @@ def read_zip_members(spark: SparkSession, paths: list[str], members: DataFrame |
     """
     if members is None:
         members = zip_directory(spark, paths).filter(F.col("source_member").isNotNull())
-    chosen = staged(members.select("file", "source_member"), "zip-members")
-    # Dealt out one by one: a member costs what is in it, not what its name hashes to.
-    dealt = chosen.repartition(min(max(chosen.count(), 1), MEMBER_TASKS))
-    schema = "file string, source_member string, number bigint, record string, error string"
+    dealt = _dealt(staged(members.select("file", "source_member", *(c for c in ["file_size"] if c in members.columns)), "zip-members"))
+    schema = "file string, source_member string, number bigint, record string, header_line string, error string"
     records = staged(dealt.mapInArrow(_unpacked, schema), "zip-records")
     commas = F.length("record") - F.length(F.replace("record", F.lit(","), F.lit("")))
     first = records.filter("number = 0")
     width = first.agg(F.max(commas + 1)).first()[0] or 1
-    header = _header(_parsed(F.regexp_replace("record", "^\ufeff", ""), width, multiLine=True)).alias("header")
-    headers = first.select("file", "source_member", header)
-    rows = records.filter("number > 0 OR error IS NOT NULL").join(headers, ["file", "source_member"], "left")
+    # Many members have the same header: records meet its cells by its text, few rows that the planner can broadcast.
+    header = _header(_parsed(F.regexp_replace("header_line", "^\ufeff", ""), width, multiLine=True)).alias("header")
+    headers = staged(first.select("header_line").distinct().select("header_line", header), "zip-headers")
+    rows = records.filter("number > 0 OR error IS NOT NULL").join(headers, "header_line", "left")
     fields = F.when(F.col("error").isNull(), _parsed(F.col("record"), width, multiLine=True)).alias("fields")
     return rows.select("file", "source_member", F.col("number").alias("source_row_number"), "header", fields, "error")
