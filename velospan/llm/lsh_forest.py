@@ -340,7 +340,10 @@ _ARROW_BLOCK = pa.schema([
     ("block", pa.int64()), ("nodes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())),
     ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int32())),
 ])
-_ARROW_RAREST = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("central", pa.float64()), ("shingle", pa.int64())])
+_ARROW_RAREST = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("at", pa.int32()), ("central", pa.float64()), ("shingle", pa.int64())])
+_STRETCH = "stretch bigint, block bigint, start bigint, codes array<bigint>, holders array<int>"
+_ARROW_STRETCH = pa.schema([("stretch", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("codes", pa.list_(pa.int64())), ("holders", pa.list_(pa.int32()))])
+_COUNTED = "of_block bigint, start bigint, times array<bigint>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,45 +363,68 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of each block and their holders, cut where one of ``count`` equal stretches of all codes ends."""
+    edges = np.array([-(1 << 63) + (i << 64) // count for i in range(1, count)], np.int64)
+    for batch in batches:
+        for at in range(batch.num_rows):
+            codes, holders = batch["codes"][at].values, batch["holders"][at].values
+            cuts = np.r_[0, np.searchsorted(codes.to_numpy(), edges), len(codes)]
+            held = np.flatnonzero(np.diff(cuts))
+            offsets = pa.array(np.r_[cuts[held], len(codes)], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (codes, holders)]
+            block = np.full(len(held), batch["block"][at].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(block), pa.array(cuts[held]), *lists], schema=_ARROW_STRETCH)
+
+
+def _times(stretch: pa.Table) -> pa.Table:
+    """How many sets of all blocks hold each shingle of a stretch, in the order every block lists them."""
+    codes, holders = (stretch[c].combine_chunks() for c in ("codes", "holders"))
+    _, place = np.unique(codes.flatten().to_numpy(), return_inverse=True)
+    times = np.bincount(place, holders.flatten().to_numpy())[place].astype(np.int64)
+    offsets = np.r_[0, np.cumsum(codes.value_lengths().to_numpy())].astype(np.int32)
+    return pa.table({"of_block": stretch["block"], "start": stretch["start"], "times": pa.ListArray.from_arrays(offsets, times)})
+
+
 def _rarest_of(block: pa.Table, counted: pa.Table, percent: int) -> pa.Table:
-    """The rarest shingles of each set of a block, less those of one set only."""
+    """The rarest shingles of each set of a block and their places among its shingles, less those of one set only."""
     rows: list[tuple] = []
     if block.num_rows:
         nodes, sizes, places, codes = (block[c][0].values for c in ("nodes", "sizes", "places", "codes"))
-        times = np.ones(len(codes), np.int64)
-        times[counted["place"].to_numpy()] = counted["times"].to_numpy()
+        times = np.concatenate([x.values.to_numpy() for x in counted.sort_by("start")["times"]])
         order, at = codes.to_numpy(), 0
         for node, n in zip(nodes.to_pylist(), sizes.to_pylist(), strict=True):
             own = places.to_numpy()[at : at + n]
             at += n
             held, length = times[own], n - -(-n * percent // 100) + 1
             first = own[np.lexsort((order[own], held))[:length]]
-            rows += [(node, n, float(held.mean()), code) for code in order[first[times[first] > 1]].tolist()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
+            shared = np.flatnonzero(times[first] > 1)
+            rows += [(node, n, i, float(held.mean()), code) for i, code in zip(shared.tolist(), order[first[shared]].tolist(), strict=True)]
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_RAREST, strict=True)], schema=_ARROW_RAREST)
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of each set, as many as make linked sets share one, less those of one set only.
 
-    ``central`` is how many sets hold a shingle of this one, on average. A block of sets
-    lists each of its shingles once, so one that stands in every set meets the others
-    once a block; what a block holds, and so what is gathered for it, is bounded.
+    ``central`` is how many sets hold a shingle of this one, on average, and ``at`` how many
+    of this set's shingles are rarer. A block of sets lists each of its shingles once, so one
+    that stands in every set meets the others once a block; lists travel in stretches of all
+    codes, and what a block or a stretch holds is bounded.
     """
     # As many partitions as make blocks of their size, however finely the sets lie.
     size = sets.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
-    dealt = sets.select("node", "shingles").coalesce(1 + int(size // BLOCK_SHINGLES))
+    count = 1 + int(size // BLOCK_SHINGLES)
+    dealt = sets.select("node", "shingles").coalesce(count)
     table = staged(dealt.mapInArrow(_blocks, _BLOCK), "set-blocks")
-    listed = table.select("block", F.posexplode(F.arrays_zip("codes", "holders")).alias("place", "x"))
-    listed = listed.select("block", "place", F.col("x.codes").alias("code"), F.col("x.holders").alias("holders"))
-    times = listed.groupBy("code").agg(F.sum("holders").alias("times")).filter("times > 1")
-    back = listed.join(times, "code").select(F.col("block").alias("of_block"), "place", "times")
+    cut = table.select("block", "codes", "holders").mapInArrow(partial(_stretches, count=count), _STRETCH)
+    times = cut.groupBy("stretch").applyInArrow(_times, _COUNTED)
 
     def rarest(block: pa.Table, counted: pa.Table) -> pa.Table:
         return _rarest_of(block, counted, percent)
 
-    schema = "node binary, n int, central double, shingle bigint"
-    return table.drop("holders").groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(rarest, schema)
+    schema = "node binary, n int, at int, central double, shingle bigint"
+    return table.drop("holders").groupBy("block").cogroup(times.groupBy("of_block")).applyInArrow(rarest, schema)
 
 
 def _pair_links(pairs: DataFrame, sets: DataFrame, total: int, percent: int) -> DataFrame:
@@ -414,24 +440,28 @@ def parted_links(sets: DataFrame, links: DataFrame, percent: int = PERCENT) -> D
 
     First every set is compared with the most central one of each of its rarest shingles,
     which is linear in the sets and settles stars and crowds. Pairs are then made only
-    between components.
+    between components, and only on a shingle behind which both sets have enough left:
+    the rarest one that linked sets share is followed by all others that they share.
     """
     total = sets.count()
     rarest = staged(_rarest(sets, percent), "set-rarest")
     pivots = rarest.groupBy("shingle").agg(F.max(F.struct("central", "node", "n")).alias("p"))
     pivots = staged(pivots.select("shingle", F.col("p.node").alias("a"), F.col("p.n").alias("a_n")), "set-pivots")
-    alike = 100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")
+    whole = F.col("n").cast("bigint"), F.col("a_n").cast("bigint")
+    alike = 100 * F.least(*whole) >= percent * F.greatest(*whole)
     spokes = _salted(rarest, pivots).filter((F.col("node") != F.col("a")) & alike)
     first = _pair_links(spokes.select("a", F.col("node").alias("b")).distinct(), sets, total, percent)
 
     rooted = components(links.union(first))
     root = F.coalesce("root", "node").alias("root")
-    labelled = staged(rarest.join(rooted, "node", "left").select("shingle", "node", "n", root), "set-labelled")
+    labelled = staged(rarest.join(rooted, "node", "left").select("shingle", "node", "n", "at", root), "set-labelled")
     heads = pivots.select("shingle", F.col("a").alias("node")).join(rooted, "node", "left")
     heads = heads.select("shingle", F.coalesce("root", "node").alias("a_root"))
     others = _salted(labelled, heads).filter("root <> a_root")
-    others = others.select("shingle", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-    across = _salted(labelled, staged(others, "set-others")).filter((F.col("root") != F.col("a_root")) & alike)
+    others = others.select("shingle", *[F.col(c).alias(name) for c, name in (("node", "a"), ("n", "a_n"), ("at", "a_at"), ("root", "a_root"))])
+    left = F.least(whole[0] - F.col("at"), whole[1] - F.col("a_at"))
+    enough = (100 + percent) * left >= percent * (whole[0] + whole[1])
+    across = _salted(labelled, staged(others, "set-others")).filter((F.col("root") != F.col("a_root")) & enough)
     pairs = across.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     return first.union(_pair_links(pairs, sets, total, percent))
 
