@@ -109,3 +109,21 @@ def test_packing_rejects_bad_limits(spark):
         with pytest.raises(ValueError):
             R.pack_shards(empty, *limits)
     assert R.pack_shards(empty, 10, 1.0).count() == 0
+
+
+def test_trips_without_a_pair_do_not_meet_in_one_partition(spark):
+    rows = [(i, None, "BikePoints_1") for i in range(2000)] + [(i, "BikePoints_1", "BikePoints_1") for i in range(2000, 3000)]
+    trips = spark.createDataFrame(rows, "journey_id bigint, start_bikepoint_id string, end_bikepoint_id string")
+    lookup = spark.createDataFrame([("a|b", None, 1.0)], "route_key string, shard_id string, distance_meters double")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = R.route_join(trips, lookup)
+        held = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) > 1 and max(r["count"] for r in held) < 1500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert joined.count() == 3000 and joined.filter("route_key IS NOT NULL OR route_reversed").count() == 0
