@@ -254,3 +254,42 @@ def test_files_are_whole_or_absent_and_repeat_safely(spark, tmp_path):
     found = {r.path: r.length for r in files.listed(spark, str(tmp_path / "w")).collect()}
     assert found["a/x.1.json"] == 3 and len(found) == 6
     assert files.listed(spark, str(tmp_path / "none")).count() == 0 and not files.has_files(spark, str(tmp_path / "none"))
+
+
+def test_no_row_of_a_day_grows_with_it(spark, tmp_path, monkeypatch):
+    at = datetime(2024, 1, 1, 8)
+    rows = [(f"t{i:05}", at + timedelta(seconds=i % 50), 60, "1", "3") for i in range(3000)] + [("t00007", at + timedelta(seconds=7), 90, "3", "1")]
+    routed = route_join(locate_trips(playback_trips(trips(spark, rows)), stations(spark)), route_lookup(sample(spark)[1]))
+    matches = E.station_matches(routed, stations(spark), F.col("day"))
+    summary = E.day_summary(routed, routed, stations(spark), matches=matches)
+    assert summary.collect() == E.day_summary(routed, routed, stations(spark)).collect()
+    pieces = E.day_documents(replay_trips(routed), E.station_records(matches, "day"), E.activity_bins(routed), summary)
+    assert pieces.filter("trip IS NOT NULL").count() == 3001 and pieces.count() == 3001 + 2 + 2 * 3
+    # Files are packed and pieces come in many parts.
+    monkeypatch.setattr("velospan.sources.files.PART_BYTES", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        written = {r.part: r for r in E.write_days(pieces, str(tmp_path / "d")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(p, r.trips_in_slice, r.routed_in_slice) for p, r in written.items()} == {(0, 0, 0), (1, 3001, 3001)}
+    assert {(r.part, r.trips_in_slice, r.routed_in_slice) for r in E.day_counts(pieces).collect()} == {(0, 0, 0), (1, 3001, 3001)}
+    for r in written.values():
+        text = (tmp_path / "d" / r.path).read_bytes()
+        assert (r.hash, r.bytes) == (hashlib.sha256(text).hexdigest()[:12], len(text)) and r.path.split(".")[-2] == r.hash
+        packed = (tmp_path / "d" / f"{r.path}.gz").read_bytes()
+        assert gzip.decompress(packed) == text and len(packed) == r.gzip_bytes
+    document = json.loads((tmp_path / "d" / written[1].path).read_bytes())
+    keys = [(t["start"], t["id"], t["durationSeconds"]) for t in document["trips"]]
+    assert keys == sorted(keys) and len(keys) == 3001
+    assert not list((tmp_path / "d").rglob(".*"))
+
+
+def test_a_row_of_files_is_a_batch_of_its_own(spark, tmp_path, monkeypatch):
+    from velospan.sources import files
+
+    seen, plain, name = [], files.staged, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(files, "staged", lambda df, label: seen.append(df.sparkSession.conf.get(name)) or plain(df, label))
+    before = spark.conf.get(name)
+    files.write_files(spark.createDataFrame([("a.json", "1"), ("b.json", "2")], "path string, content string"), str(tmp_path / "w"))
+    assert seen == ["1"] and spark.conf.get(name) == before
