@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from velospan.operators.replay import locate_trips, playback_trips, replay_trips
@@ -293,3 +295,72 @@ def test_a_row_of_files_is_a_batch_of_its_own(spark, tmp_path, monkeypatch):
     before = spark.conf.get(name)
     files.write_files(spark.createDataFrame([("a.json", "1"), ("b.json", "2")], "path string, content string"), str(tmp_path / "w"))
     assert seen == ["1"] and spark.conf.get(name) == before
+
+
+def merged(stretches):
+    """The document that stretches in their order are made of."""
+    whole = {}
+    for piece in stretches:
+        for name, value in piece.items():
+            whole[name] = whole[name] + value if isinstance(value, list) and name in whole else value
+    return whole
+
+
+@pytest.mark.parametrize("part", [3, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_stretches_are_objects_that_hold_everything_once(monkeypatch, part, indent):
+    from velospan.sources import files
+
+    monkeypatch.setattr(files, "PART_BYTES", part)
+    item = {"id": 'a},{"id":"\\', "at": [1.5, None, -2e30], "in": {"x": [], "é\U0001f6b2": "]}"}}
+    document = {"date": "2024-01-01", "n": -12.25e-3, "stations": [], "trips": [item] * 50 + [7, 78.125, None, True], "activity": [{"time": 5}] * 9, "gone": None}
+    for text in (json.dumps(document, indent=indent), json.dumps(document, indent=indent, ensure_ascii=False)):
+        stretches = [json.loads(t) for t in files._stretches(files._Values(io.BytesIO(text.encode())), ["stations", "trips", "gone"], 200)]
+        assert merged(stretches) == document and len(stretches) > 10 and {s["date"] for s in stretches} == {"2024-01-01"}
+        assert max(len(s["trips"]) for s in stretches) < 9 and [s for s in stretches if "activity" in s] == stretches[-1:]
+        assert list(files._stretches(files._Values(io.BytesIO(b" {} ")), ["trips"], 1)) == ["{}"]
+        for broken in (text[:-3], text[:300], text.replace("0.01225", "0.01225 1"), "", "[]"):
+            with pytest.raises(ValueError):
+                list(files._stretches(files._Values(io.BytesIO(broken.encode())), ["stations", "trips"], 200))
+
+
+def test_a_day_read_in_stretches_is_the_day_read_whole(spark, tmp_path):
+    at, root = datetime(2024, 1, 1, 8), str(tmp_path / "out")
+    rows = [(f't}},{{"id":"é{i}' if i else None, at + timedelta(seconds=i), 60, "1", "3") for i in range(300)]
+    rows.append(("u1", at + timedelta(days=1), 60, "404", "405"))
+    E.export(trips(spark, rows), stations(spark), sample(spark)[1], "all", root)
+    whole = {(r.id, r.part): r.asDict(True) for r in E.load_day(spark, root).collect()}
+    assert sorted(whole) == [("2024-01-01", 0), ("2024-01-01", 1), ("2024-01-02", 0)]
+
+    def read(**more):
+        found = {}
+        for r in E.load_day(spark, root, **more).orderBy("id", "part", "stretch").collect():
+            row = r.asDict(True)
+            slices = found.setdefault((row.pop("id"), row.pop("part")), [])
+            assert row.pop("stretch") == len(slices)
+            slices.append({k: v for k, v in row.items() if v is not None})
+        return found
+
+    stretches = read(characters=3000)
+    assert {k: {"id": k[0], "part": k[1], **merged(v)} for k, v in stretches.items()} == whole
+    # No row grows with the day, and none is cut off.
+    assert len(stretches["2024-01-01", 1]) > 20 and max(len(s["trips"]) for s in stretches["2024-01-01", 1]) < 10
+    assert {k: len(v) for k, v in read(characters=1 << 20).items()} == dict.fromkeys(whole, 1)
+    assert sorted(read(day=date(2024, 1, 2), characters=1)) == [("2024-01-02", 0)] and read(day=date(2024, 1, 3), characters=1) == {}
+    # A document that has gone gives no row, read either way.
+    next((tmp_path / "out/days").glob("2024-01-02.*.json")).unlink()
+    assert sorted(read(characters=3000)) == sorted((r.id, r.part) for r in E.load_day(spark, root).collect()) == sorted(whole)[:2]
+
+
+def test_the_query_holds_no_document(spark, tmp_path, monkeypatch):
+    from workload import queries
+
+    at, root = datetime(2024, 1, 1, 8), str(tmp_path / "out")
+    rows = [(f"t{i:03}", at + timedelta(hours=i % 12), 60, "1", "3") for i in range(200)]
+    E.export(trips(spark, [*rows, ("u1", at + timedelta(days=1), 60, "404", "405")]), stations(spark), sample(spark)[1], "all", root)
+    monkeypatch.setattr(queries, "_exported", lambda t: (root, None))
+    monkeypatch.setattr(E, "STRETCH_CHARACTERS", 2000)
+    found = queries.QUERIES["load_day"](spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if "/days/" in f]
+    expected = [("2024-01-01", 200, "t000", sum(((8 + i % 12) * 3600 + 60) for i in range(200)), 200, 288, 200), ("2024-01-02", 0, None, None, 0, 288, 1)]
+    assert [tuple(r) for r in found.orderBy("day").collect()] == expected
