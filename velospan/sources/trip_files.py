@@ -465,7 +465,7 @@ def _dealt(members: DataFrame) -> DataFrame:
     sized = "file_size" in members.columns
     count, size = members.agg(F.count(F.lit(1)), F.sum("file_size") if sized else F.lit(None)).first()
     tasks = count if size is None else max(-(-size // MEMBER_BYTES), 4 * members.sparkSession.sparkContext.defaultParallelism)
-    return members.repartition(min(max(count, 1), tasks, MEMBER_TASKS)).select("file", "source_member")
+    return members.repartition(max(1, min(count, tasks, MEMBER_TASKS))).select("file", "source_member")
 
 
 def read_zip_members(spark: SparkSession, paths: list[str], members: DataFrame | None = None) -> DataFrame:
